@@ -1,0 +1,257 @@
+"""Network tables and graph analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera import fixtures as fx
+from tessera.catalogue import query
+from tessera.catalogue.geometry import lonlat_buildings, lonlat_roads
+from tessera.catalogue.joins import DIST, GAP
+from tessera.fixtures import with_views
+from tessera.operators import networks as nw
+from tessera.operators.components import component_sizes, connected_components
+
+KEY = "location_id"
+
+
+def r(name, digits=6):
+    return F.round(F.col(name), digits).alias(name)
+
+
+def urban(spark, sf_dir):
+    return nw.urban_network(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
+
+
+def roads_only(spark, sf_dir):
+    return nw.road_network(fx.roads(spark, sf_dir))
+
+
+# Check tables of the networks. Shared road nodes are named by scaled coordinates; `scale` is the
+# number of units per metre.
+def road_ctes(scale):
+    def key(x, y):
+        return f"'r:' || CAST({x} * {scale} AS BIGINT) || ':' || CAST({y} * {scale} AS BIGINT)"
+
+    return f"""
+      seg AS (SELECT location_id, road_id, type, vertex_index - 1 AS i, lag(x) OVER w AS ax, lag(y) OVER w AS ay, x AS qx, y AS qy
+        FROM road_vertices WINDOW w AS (PARTITION BY road_id ORDER BY vertex_index)),
+      len AS (SELECT road_id, sum(sqrt(power(ax - qx, 2) + power(ay - qy, 2))) AS length FROM seg GROUP BY road_id),
+      rn AS (SELECT location_id, {key("x", "y")} AS node, any_value(x) AS x, any_value(y) AS y,
+        min(road_id * 1000 + vertex_index) AS node_order, arg_min(type, road_id * 1000 + vertex_index) AS road_type
+        FROM road_vertices GROUP BY location_id, {key("x", "y")}),
+      re AS (SELECT location_id, least(a, b) AS src, greatest(a, b) AS dst, arg_min(length, road_id * 1000 + i) AS weight,
+          'road' AS edge_type, arg_min(type, road_id * 1000 + i) AS road_type
+        FROM (SELECT seg.*, length, {key("ax", "ay")} AS a, {key("qx", "qy")} AS b FROM seg JOIN len USING (road_id) WHERE ax IS NOT NULL)
+        GROUP BY location_id, least(a, b), greatest(a, b))"""
+
+
+URBAN = (
+    road_ctes(100)
+    + f""",
+  nr AS (SELECT * FROM (SELECT location_id, building_id, node, {DIST} AS d,
+      row_number() OVER (PARTITION BY building_id ORDER BY {DIST}, node_order) AS k
+    FROM buildings JOIN rn USING (location_id) WHERE {DIST} <= 100) WHERE k = 1),
+  un AS (SELECT location_id, 'b:' || building_id AS node, 'building' AS node_type, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y,
+      CAST(building_id AS VARCHAR) AS building_id, type AS building_type, area_m2 AS area, CAST(NULL AS VARCHAR) AS road_type FROM buildings
+    UNION ALL SELECT location_id, node, 'road', x, y, NULL, NULL, NULL, road_type FROM rn),
+  ue AS (SELECT location_id, src, dst, weight, edge_type, road_type FROM re
+    UNION ALL SELECT location_id, 'b:' || building_id, node, d, 'building_road_connection', NULL FROM nr)"""
+)
+
+ROAD6 = (
+    road_ctes(1000000)
+    + """,
+  un AS (SELECT location_id, node, 'road' AS node_type, x, y FROM rn),
+  ue AS (SELECT location_id, src, dst, weight, edge_type FROM re)"""
+)
+
+BUILDING = f"""
+  un AS (SELECT location_id, 'b:' || building_id AS node, 'building' AS node_type, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM buildings),
+  bp AS (SELECT a.location_id, a.building_id AS i, b.building_id AS j, {GAP} AS d
+    FROM buildings a JOIN buildings b ON a.location_id = b.location_id AND a.building_id < b.building_id WHERE {GAP} <= 100),
+  ue AS (SELECT location_id, least('b:' || i, 'b:' || j) AS src, greatest('b:' || i, 'b:' || j) AS dst, d AS weight,
+    'building_building' AS edge_type FROM bp)"""
+
+MIXED = (
+    road_ctes(1000000)
+    + ","
+    + BUILDING.replace("un AS", "bn AS").replace("ue AS", "be AS")
+    + f""",
+  un AS (SELECT * FROM bn UNION ALL SELECT location_id, node, 'road', x, y FROM rn),
+  ue AS (SELECT * FROM be UNION ALL SELECT location_id, src, dst, weight, edge_type FROM re
+    UNION ALL SELECT location_id, 'b:' || building_id, node, {DIST}, 'building_road_connection'
+      FROM buildings JOIN rn USING (location_id) WHERE {DIST} <= 50)"""
+)
+
+LL = {
+    c: f"(139 + {c} / 100000.0::DOUBLE)" if c[0] == "x" else f"(35 + {c} / 100000.0::DOUBLE)"
+    for c in ("x0", "x1", "y0", "y1", "x", "y")
+}
+DEGREES = f"""
+  lb AS (SELECT location_id, building_id, ({LL["x0"]} + {LL["x1"]}) / 2 AS cx, ({LL["y0"]} + {LL["y1"]}) / 2 AS cy FROM buildings),
+  lv AS (SELECT location_id, road_id, vertex_index, {LL["x"]} AS x, {LL["y"]} AS y,
+    'r:' || road_id || '_' || vertex_index AS node, max(vertex_index) OVER (PARTITION BY road_id) AS last_v FROM road_vertices),
+  ls AS (SELECT location_id, least(a, node) AS src, greatest(a, node) AS dst, sqrt((ax - x) * (ax - x) + (ay - y) * (ay - y)) AS weight
+    FROM (SELECT *, lag(node) OVER w AS a, lag(x) OVER w AS ax, lag(y) OVER w AS ay FROM lv
+      WINDOW w AS (PARTITION BY road_id ORDER BY vertex_index)) WHERE a IS NOT NULL),
+  lp AS (SELECT lb.location_id, building_id, node, road_id, vertex_index, last_v,
+    sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) AS d FROM lb JOIN lv USING (location_id)),
+  un AS (SELECT location_id, 'b:' || building_id AS node FROM lb UNION ALL SELECT location_id, node FROM lv)
+"""
+CORRECTED = DEGREES + """,
+  ue AS (SELECT location_id, src, dst, weight, 'road' AS edge_type FROM ls
+    UNION ALL SELECT location_id, 'b:' || building_id, node, d, 'building_road_connection' FROM (
+      SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY d, road_id, vertex_index) AS k
+      FROM lp WHERE vertex_index < last_v AND d <= 0.001::DOUBLE) WHERE k = 1)"""
+COORDINATE = DEGREES + """,
+  ue AS (SELECT location_id, src, dst, weight, 'road_segment' AS edge_type FROM ls
+    UNION ALL SELECT location_id, 'b:' || building_id, node, d, 'building_road_connection' FROM lp WHERE d <= 0.001::DOUBLE
+    UNION ALL SELECT location_id, least('b:' || i, 'b:' || j), greatest('b:' || i, 'b:' || j), d, 'building_connection' FROM (
+      SELECT a.location_id, a.building_id AS i, b.building_id AS j,
+        sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d
+      FROM lb a JOIN lb b ON a.location_id = b.location_id AND a.building_id < b.building_id) WHERE d <= 0.002::DOUBLE)"""
+
+
+def graph_sql(body, ctes):
+    return with_views(body, "buildings", "road_vertices", ctes=ctes)
+
+
+EDGE_SQL = "SELECT location_id, src, dst, round(weight, {d}) AS weight, edge_type FROM ue"
+
+
+def edge_rows(network, digits=6):
+    return network.edges.select(KEY, "src", "dst", r("weight", digits), "edge_type")
+
+
+@query("urban_nodes", graph_sql("SELECT * FROM un", URBAN))
+def urban_nodes(spark, sf_dir):
+    return urban(spark, sf_dir).nodes
+
+
+@query(
+    "urban_edges",
+    graph_sql("SELECT location_id, src, dst, round(weight, 6) AS weight, edge_type, road_type FROM ue", URBAN),
+)
+def urban_edges(spark, sf_dir):
+    return urban(spark, sf_dir).edges.withColumn("weight", F.round("weight", 6))
+
+
+@query("road_network", graph_sql(EDGE_SQL.format(d=6), ROAD6))
+def road_network(spark, sf_dir):
+    return edge_rows(roads_only(spark, sf_dir))
+
+
+@query("building_network", graph_sql(EDGE_SQL.format(d=6), BUILDING))
+def building_network(spark, sf_dir):
+    return edge_rows(nw.building_network(fx.buildings(spark, sf_dir)))
+
+
+@query("mixed_network", graph_sql(EDGE_SQL.format(d=6), MIXED))
+def mixed_network(spark, sf_dir):
+    return edge_rows(nw.mixed_network(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir)))
+
+
+@query("corrected_network", graph_sql(EDGE_SQL.format(d=12), CORRECTED))
+def corrected_network(spark, sf_dir):
+    return edge_rows(
+        nw.corrected_network(lonlat_buildings(spark, sf_dir), lonlat_roads(spark, sf_dir)), 12
+    )
+
+
+@query("coordinate_network", graph_sql(EDGE_SQL.format(d=12), COORDINATE))
+def coordinate_network(spark, sf_dir):
+    return edge_rows(
+        nw.coordinate_network(lonlat_buildings(spark, sf_dir), lonlat_roads(spark, sf_dir)), 12
+    )
+
+
+@query(
+    "road_subgraph",
+    graph_sql("SELECT location_id, src, dst, round(weight, 6) AS weight, edge_type FROM ue WHERE edge_type = 'road'", URBAN),
+)
+def road_subgraph(spark, sf_dir):
+    return edge_rows(nw.induced_subgraph(urban(spark, sf_dir), "road"))
+
+
+@query(
+    "building_subgraph",
+    graph_sql("SELECT location_id, src, dst, round(weight, 6) AS weight, edge_type FROM ue WHERE edge_type = 'building_building'", MIXED),
+)
+def building_subgraph(spark, sf_dir):
+    mixed = nw.mixed_network(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
+    return edge_rows(nw.induced_subgraph(mixed, "building"))
+
+
+@query(
+    "network_export_nodes",
+    graph_sql("SELECT location_id, node, x, y, node_type FROM un", URBAN),
+)
+def network_export_nodes(spark, sf_dir):
+    return nw.network_export(urban(spark, sf_dir)).nodes
+
+
+@query(
+    "network_export_edges",
+    graph_sql("SELECT location_id, src AS source, dst AS target, round(coalesce(weight, 1), 6) AS weight, edge_type FROM ue", URBAN),
+)
+def network_export_edges(spark, sf_dir):
+    return nw.network_export(urban(spark, sf_dir)).edges.withColumn("weight", F.round("weight", 6))
+
+
+SYM = "sym AS (SELECT location_id, src AS u, dst AS v, weight AS w FROM ue UNION ALL SELECT location_id, dst, src, weight FROM ue)"
+# Components by flooding from every node: label = smallest node reachable.
+COMPONENTS = (
+    SYM
+    + """,
+  reach(location_id, node, other) AS (SELECT location_id, node, node FROM un
+    UNION SELECT reach.location_id, reach.node, v FROM reach JOIN sym ON sym.location_id = reach.location_id AND u = other),
+  comp AS (SELECT location_id, node, min(other) AS component FROM reach GROUP BY location_id, node)"""
+)
+
+
+@query(
+    "degrees",
+    graph_sql(
+        """SELECT un.location_id, node, count(v) AS degree, count(v) > 3 AS is_hub
+        FROM un LEFT JOIN sym ON sym.location_id = un.location_id AND u = node GROUP BY ALL""",
+        URBAN + "," + SYM,
+    ),
+)
+def degrees(spark, sf_dir):
+    return nw.degrees(urban(spark, sf_dir))
+
+
+@query("components", graph_sql("SELECT * FROM comp", URBAN + "," + COMPONENTS))
+def components(spark, sf_dir):
+    return connected_components(*urban(spark, sf_dir))
+
+
+@query(
+    "component_sizes",
+    graph_sql(
+        "SELECT location_id, component, count(*) AS size FROM comp GROUP BY location_id, component",
+        ROAD6 + "," + COMPONENTS,
+    ),
+)
+def road_component_sizes(spark, sf_dir):
+    return component_sizes(connected_components(*roads_only(spark, sf_dir)))
+
+
+@query(
+    "network_statistics",
+    graph_sql(
+        """SELECT n.*, e.* EXCLUDE (location_id), num_components, largest_component_size,
+          round(2 * num_edges / (num_nodes * (num_nodes - 1)), 9) AS density, num_components = 1 AS is_connected
+        FROM (SELECT location_id, count(*) AS num_nodes, count(*) FILTER (node_type = 'building') AS building_nodes,
+            count(*) FILTER (node_type = 'road') AS road_nodes FROM un GROUP BY location_id) n
+        JOIN (SELECT location_id, count(*) AS num_edges, count(*) FILTER (edge_type = 'road') AS road_edges,
+            count(*) FILTER (edge_type = 'building_road_connection') AS building_road_connection_edges,
+            0::BIGINT AS building_building_edges FROM ue GROUP BY location_id) e USING (location_id)
+        JOIN (SELECT location_id, count(*) AS num_components, max(size) AS largest_component_size FROM (
+            SELECT location_id, component, count(*) AS size FROM comp GROUP BY ALL) GROUP BY location_id) USING (location_id)""",
+        URBAN + "," + COMPONENTS,
+    ),
+)
+def network_statistics(spark, sf_dir):
+    return nw.network_statistics(urban(spark, sf_dir)).withColumn("density", F.round("density", 9))

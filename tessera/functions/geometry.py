@@ -66,32 +66,107 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def path_length(path: Column) -> Column:
-    return total(F.transform(segments(path), lambda s: gap(s.a.x - s.b.x, s.a.y - s.b.y)))
-
-
 def gap(dx: Column, dy: Column) -> Column:
     """Euclidean length, written so that any engine rounds it the same way."""
     return F.sqrt(dx * dx + dy * dy)
 
 
-def _cross_terms(ring: Column) -> Column:
-    # Relative to the first vertex: large projected coordinates would cancel digits away.
-    origin = F.element_at(ring, 1)
-    return F.transform(
-        segments(ring),
-        lambda s: F.struct(
-            (
-                (s.a.x - origin.x) * (s.b.y - origin.y) - (s.b.x - origin.x) * (s.a.y - origin.y)
-            ).alias("c"),
-            (s.a.x + s.b.x - F.lit(2.0) * origin.x).alias("sx"),
-            (s.a.y + s.b.y - F.lit(2.0) * origin.y).alias("sy"),
+def path_length(path: Column) -> Column:
+    start = F.element_at(path, 1)
+    walk = F.aggregate(
+        path,
+        F.struct(start.x.alias("x"), start.y.alias("y"), F.lit(0.0).alias("length")),
+        lambda s, p: F.struct(
+            p.x.alias("x"), p.y.alias("y"), (s.length + gap(p.x - s.x, p.y - s.y)).alias("length")
         ),
     )
+    return walk.getField("length")
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def ring_measure(ring: Column) -> Column:
+    """All measures of a ring in one pass: bounding box, centroid, area, ``is_box``.
+
+    Coordinates are taken relative to the first vertex: large projected values would otherwise
+    cancel digits away in the cross products. The centroid is area-weighted, or the vertex mean
+    when the ring encloses no area. ``is_box``: the ring is exactly its own bounding box.
+
+    One struct-valued expression on purpose. Spread over several columns that refer to one
+    another, the optimizer's constraint inference on later joins grows exponentially.
+    """
+    start = F.element_at(ring, 1)
+    zero = F.lit(0.0)
+    initial = F.struct(
+        start.x.alias("ox"),
+        start.y.alias("oy"),
+        zero.alias("dx"),
+        zero.alias("dy"),
+        zero.alias("twice"),
+        zero.alias("mx"),
+        zero.alias("my"),
+        zero.alias("sx"),
+        zero.alias("sy"),
+        F.lit(True).alias("square"),
+        F.lit(0).alias("n"),
+        start.x.alias("x_min"),
+        start.y.alias("y_min"),
+        start.x.alias("x_max"),
+        start.y.alias("y_max"),
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        dx, dy = p.x - s.ox, p.y - s.oy
+        cross = s.dx * dy - dx * s.dy
+        return F.struct(
+            s.ox.alias("ox"),
+            s.oy.alias("oy"),
+            dx.alias("dx"),
+            dy.alias("dy"),
+            (s.twice + cross).alias("twice"),
+            (s.mx + cross * (s.dx + dx)).alias("mx"),
+            (s.my + cross * (s.dy + dy)).alias("my"),
+            (s.sx + dx).alias("sx"),
+            (s.sy + dy).alias("sy"),
+            (s.square & ((dx == s.dx) | (dy == s.dy))).alias("square"),
+            (s.n + 1).alias("n"),
+            F.least(s.x_min, p.x).alias("x_min"),
+            F.least(s.y_min, p.y).alias("y_min"),
+            F.greatest(s.x_max, p.x).alias("x_max"),
+            F.greatest(s.y_max, p.y).alias("y_max"),
+        )
+
+    def finish(m: Column) -> Column:
+        full = (m.x_max - m.x_min) * (m.y_max - m.y_min)
+        area = F.abs(m.twice) / F.lit(2.0)
+        box = (m.n == 5) & m.square & (full > 0) & (F.abs(area - full) <= full * 1e-9)
+        vertices = F.greatest(m.n - 1, F.lit(1)).cast("double")
+
+        def centre(low, high, origin, moment, mean):
+            return (
+                F.when(box, (low + high) / F.lit(2.0))
+                .when(m.twice != 0, origin + moment / (F.lit(3.0) * m.twice))
+                .otherwise(origin + mean / vertices)
+            )
+
+        return F.struct(
+            m.x_min.alias("x_min"),
+            m.y_min.alias("y_min"),
+            m.x_max.alias("x_max"),
+            m.y_max.alias("y_max"),
+            centre(m.x_min, m.x_max, m.ox, m.mx, m.sx).alias("cx"),
+            centre(m.y_min, m.y_max, m.oy, m.my, m.sy).alias("cy"),
+            box.alias("is_box"),
+            area.alias("ring_area"),
+        )
+
+    return F.aggregate(ring, initial, step, finish)
 
 
 def ring_area(ring: Column) -> Column:
-    return F.abs(total(F.transform(_cross_terms(ring), lambda t: t.c))) / F.lit(2.0)
+    return ring_measure(ring).getField("ring_area")
 
 
 def xs(path: Column) -> Column:
@@ -111,61 +186,19 @@ def bounding_box(path: Column) -> Column:
     )
 
 
-def ring_centroid(ring: Column) -> Column:
-    """Area-weighted centroid; the vertex mean when the ring encloses no area."""
-    terms = _cross_terms(ring)
-    twice = total(F.transform(terms, lambda t: t.c))
-    weighted_x = total(F.transform(terms, lambda t: t.c * t.sx))
-    weighted_y = total(F.transform(terms, lambda t: t.c * t.sy))
-    count = F.greatest(F.size(ring) - 1, F.lit(1)).cast("double")
-    body = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1)))
-    origin = F.element_at(ring, 1)
-    return F.when(
-        twice != 0,
-        point(
-            origin.x + weighted_x / (F.lit(3.0) * twice),
-            origin.y + weighted_y / (F.lit(3.0) * twice),
-        ),
-    ).otherwise(point(total(xs(body)) / count, total(ys(body)) / count))
-
-
-def is_aligned_box(ring: Column, box: Column, area: Column) -> Column:
-    """True when the ring is exactly its own bounding box."""
-    full = (box.x_max - box.x_min) * (box.y_max - box.y_min)
-    return (
-        (F.size(ring) == 5)
-        & (full > 0)
-        & (F.abs(area - full) <= full * 1e-9)
-        & F.forall(
-            ring,
-            lambda p: ((p.x == box.x_min) | (p.x == box.x_max))
-            & ((p.y == box.y_min) | (p.y == box.y_max)),
-        )
-    )
+MEASURES = ["x_min", "y_min", "x_max", "y_max", "cx", "cy", "is_box", "ring_area"]
 
 
 def measure_rings(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """Add ``x_min, y_min, x_max, y_max, cx, cy, is_box, ring_area`` for a ring column."""
-    shape = F.col(ring)
-    boxed = df.withColumn("_box", bounding_box(shape)).withColumn("ring_area", ring_area(shape))
-    flagged = boxed.withColumn("is_box", is_aligned_box(shape, F.col("_box"), F.col("ring_area")))
-    middle = point(
-        (F.col("_box.x_min") + F.col("_box.x_max")) / F.lit(2.0),
-        (F.col("_box.y_min") + F.col("_box.y_max")) / F.lit(2.0),
-    )
-    centred = flagged.withColumn(
-        "_c", F.when(F.col("is_box"), middle).otherwise(ring_centroid(shape))
-    )
-    return centred.select(
-        *[c for c in df.columns if c not in {"x_min", "y_min", "x_max", "y_max", "cx", "cy"}],
-        F.col("_box.x_min").alias("x_min"),
-        F.col("_box.y_min").alias("y_min"),
-        F.col("_box.x_max").alias("x_max"),
-        F.col("_box.y_max").alias("y_max"),
-        F.col("_c.x").alias("cx"),
-        F.col("_c.y").alias("cy"),
-        "is_box",
-        "ring_area",
+    """Add the measures of a ring column as columns.
+
+    A table that already carries them, measured once at ingest, is returned as it is.
+    """
+    if set(MEASURES) <= set(df.columns):
+        return df
+    kept = [c for c in df.columns if c not in MEASURES]
+    return df.withColumn("_m", ring_measure(F.col(ring))).select(
+        *kept, *[F.col(f"_m.{c}").alias(c) for c in MEASURES]
     )
 
 
