@@ -62,10 +62,6 @@ def segments(path: Column) -> Column:
     )
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-
 def gap(dx: Column, dy: Column) -> Column:
     """Euclidean length, written so that any engine rounds it the same way."""
     return F.sqrt(dx * dx + dy * dy)
@@ -83,11 +79,7 @@ def path_length(path: Column) -> Column:
     return walk.getField("length")
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-
-def ring_measure(ring: Column) -> Column:
+def ring_measure(ring: str) -> Column:
     """All measures of a ring in one pass: bounding box, centroid, area, ``is_box``.
 
     Coordinates are taken relative to the first vertex: large projected values would otherwise
@@ -97,75 +89,37 @@ def ring_measure(ring: Column) -> Column:
     One struct-valued expression on purpose. Spread over several columns that refer to one
     another, the optimizer's constraint inference on later joins grows exponentially.
     """
-    start = F.element_at(ring, 1)
-    zero = F.lit(0.0)
-    initial = F.struct(
-        start.x.alias("ox"),
-        start.y.alias("oy"),
-        zero.alias("dx"),
-        zero.alias("dy"),
-        zero.alias("twice"),
-        zero.alias("mx"),
-        zero.alias("my"),
-        zero.alias("sx"),
-        zero.alias("sy"),
-        F.lit(True).alias("square"),
-        F.lit(0).alias("n"),
-        start.x.alias("x_min"),
-        start.y.alias("y_min"),
-        start.x.alias("x_max"),
-        start.y.alias("y_max"),
-    )
 
-    def step(s: Column, p: Column) -> Column:
-        dx, dy = p.x - s.ox, p.y - s.oy
-        cross = s.dx * dy - dx * s.dy
-        return F.struct(
-            s.ox.alias("ox"),
-            s.oy.alias("oy"),
-            dx.alias("dx"),
-            dy.alias("dy"),
-            (s.twice + cross).alias("twice"),
-            (s.mx + cross * (s.dx + dx)).alias("mx"),
-            (s.my + cross * (s.dy + dy)).alias("my"),
-            (s.sx + dx).alias("sx"),
-            (s.sy + dy).alias("sy"),
-            (s.square & ((dx == s.dx) | (dy == s.dy))).alias("square"),
-            (s.n + 1).alias("n"),
-            F.least(s.x_min, p.x).alias("x_min"),
-            F.least(s.y_min, p.y).alias("y_min"),
-            F.greatest(s.x_max, p.x).alias("x_max"),
-            F.greatest(s.y_max, p.y).alias("y_max"),
-        )
-
-    def finish(m: Column) -> Column:
-        full = (m.x_max - m.x_min) * (m.y_max - m.y_min)
-        area = F.abs(m.twice) / F.lit(2.0)
-        box = (m.n == 5) & m.square & (full > 0) & (F.abs(area - full) <= full * 1e-9)
-        vertices = F.greatest(m.n - 1, F.lit(1)).cast("double")
-
-        def centre(low, high, origin, moment, mean):
-            return (
-                F.when(box, (low + high) / F.lit(2.0))
-                .when(m.twice != 0, origin + moment / (F.lit(3.0) * m.twice))
-                .otherwise(origin + mean / vertices)
-            )
-
-        return F.struct(
-            m.x_min.alias("x_min"),
-            m.y_min.alias("y_min"),
-            m.x_max.alias("x_max"),
-            m.y_max.alias("y_max"),
-            centre(m.x_min, m.x_max, m.ox, m.mx, m.sx).alias("cx"),
-            centre(m.y_min, m.y_max, m.oy, m.my, m.sy).alias("cy"),
-            box.alias("is_box"),
-            area.alias("ring_area"),
-        )
-
-    return F.aggregate(ring, initial, step, finish)
-
-
-def ring_area(ring: Column) -> Column:
+    def centre(axis: str) -> str:
+        return f"""CASE WHEN r.is_box THEN (r.m.{axis}_min + r.m.{axis}_max) / 2D
+            WHEN r.m.twice <> 0 THEN r.m.o{axis} + r.m.m{axis} / (3D * r.m.twice)
+            ELSE r.m.o{axis} + r.m.s{axis} / greatest(r.m.n - 1, 1) END AS c{axis}"""
+
+    start = f"{ring}[0]"
+    cross = "(s.dx * (p.y - s.oy) - (p.x - s.ox) * s.dy)"
+    full = "(m.x_max - m.x_min) * (m.y_max - m.y_min)"
+    return F.expr(f"""
+      aggregate({ring},
+        named_struct('ox', {start}.x, 'oy', {start}.y, 'dx', 0D, 'dy', 0D, 'twice', 0D,
+          'mx', 0D, 'my', 0D, 'sx', 0D, 'sy', 0D, 'square', true, 'n', 0,
+          'x_min', {start}.x, 'y_min', {start}.y, 'x_max', {start}.x, 'y_max', {start}.y),
+        (s, p) -> named_struct('ox', s.ox, 'oy', s.oy, 'dx', p.x - s.ox, 'dy', p.y - s.oy,
+          'twice', s.twice + {cross},
+          'mx', s.mx + {cross} * (s.dx + (p.x - s.ox)),
+          'my', s.my + {cross} * (s.dy + (p.y - s.oy)),
+          'sx', s.sx + (p.x - s.ox), 'sy', s.sy + (p.y - s.oy),
+          'square', s.square AND (p.x - s.ox = s.dx OR p.y - s.oy = s.dy), 'n', s.n + 1,
+          'x_min', least(s.x_min, p.x), 'y_min', least(s.y_min, p.y),
+          'x_max', greatest(s.x_max, p.x), 'y_max', greatest(s.y_max, p.y)),
+        m -> transform(
+          array(named_struct('m', m, 'is_box', m.n = 5 AND m.square AND {full} > 0
+            AND abs(abs(m.twice) / 2D - {full}) <= 1e-9D * {full})),
+          r -> struct(r.m.x_min, r.m.y_min, r.m.x_max, r.m.y_max, {centre("x")}, {centre("y")},
+            r.is_box, abs(r.m.twice) / 2D AS ring_area))[0])
+    """)
+
+
+def ring_area(ring: str) -> Column:
     return ring_measure(ring).getField("ring_area")
 
 
@@ -197,7 +151,7 @@ def measure_rings(df: DataFrame, ring: str = "ring") -> DataFrame:
     if set(MEASURES) <= set(df.columns):
         return df
     kept = [c for c in df.columns if c not in MEASURES]
-    return df.withColumn("_m", ring_measure(F.col(ring))).select(
+    return df.withColumn("_m", ring_measure(ring)).select(
         *kept, *[F.col(f"_m.{c}").alias(c) for c in MEASURES]
     )
 
@@ -205,100 +159,74 @@ def measure_rings(df: DataFrame, ring: str = "ring") -> DataFrame:
 # --- distances and predicates -------------------------------------------------------------
 
 
-def _clamp01(v: Column) -> Column:
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+# These build SQL text: the parser makes the large nested expressions far faster than one call
+# per operator would. Arguments are SQL expressions for a ring/path or a coordinate.
 
 
-def point_segment_distance(p: Column, s: Column) -> Column:
-    ux, uy = s.b.x - s.a.x, s.b.y - s.a.y
-    length2 = ux * ux + uy * uy
-    t = F.when(
-        length2 > 0, _clamp01(((p.x - s.a.x) * ux + (p.y - s.a.y) * uy) / length2)
-    ).otherwise(F.lit(0.0))
-    return gap(p.x - (s.a.x + t * ux), p.y - (s.a.y + t * uy))
+def _edges(path: str) -> str:
+    """Edges with direction and squared length, computed once per ring."""
+    n = f"greatest(size({path}) - 1, 0)"
+    return f"""zip_with(slice({path}, 1, {n}), slice({path}, 2, {n}), (a, b) -> named_struct(
+      'ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y, 'ux', b.x - a.x, 'uy', b.y - a.y,
+      'l2', (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))"""
 
 
-def _side(a: Column, b: Column, p: Column) -> Column:
-    return F.signum((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))
+def _to_edge(x: str, y: str, e: str) -> str:
+    """Squared distance from a point to an edge."""
+    t = f"""CASE WHEN {e}.l2 > 0 THEN least(1D, greatest(0D,
+      (({x} - {e}.ax) * {e}.ux + ({y} - {e}.ay) * {e}.uy) / {e}.l2)) ELSE 0D END"""
+    dx, dy = f"({x} - {e}.ax - ({t}) * {e}.ux)", f"({y} - {e}.ay - ({t}) * {e}.uy)"
+    return f"({dx} * {dx} + {dy} * {dy})"
 
 
-def segment_distance(s: Column, t: Column) -> Column:
-    crossing = (_side(s.a, s.b, t.a) * _side(s.a, s.b, t.b) < 0) & (
-        _side(t.a, t.b, s.a) * _side(t.a, t.b, s.b) < 0
-    )
-    return F.when(crossing, F.lit(0.0)).otherwise(
-        F.least(
-            point_segment_distance(s.a, t),
-            point_segment_distance(s.b, t),
-            point_segment_distance(t.a, s),
-            point_segment_distance(t.b, s),
-        )
-    )
+def _side(e: str, x: str, y: str) -> str:
+    return f"signum({e}.ux * ({y} - {e}.ay) - {e}.uy * ({x} - {e}.ax))"
 
 
-def inside_ring(p: Column, ring: Column) -> Column:
-    """Even-odd rule; the rim itself is left to the distance tests."""
-    crossings = F.filter(
-        segments(ring),
-        lambda s: ((s.a.y > p.y) != (s.b.y > p.y))
-        & (p.x < (s.b.x - s.a.x) * (p.y - s.a.y) / (s.b.y - s.a.y) + s.a.x),
+def _between_edges(s: str, t: str) -> str:
+    """Squared distance of two edges, 0 when they cross."""
+    crossing = (
+        f"{_side(s, f'{t}.ax', f'{t}.ay')} * {_side(s, f'{t}.bx', f'{t}.by')} < 0 AND "
+        f"{_side(t, f'{s}.ax', f'{s}.ay')} * {_side(t, f'{s}.bx', f'{s}.by')} < 0"
     )
-    return F.size(crossings) % 2 == 1
-
-
-def point_ring_distance(p: Column, ring: Column) -> Column:
-    return F.when(inside_ring(p, ring), F.lit(0.0)).otherwise(
-        F.array_min(F.transform(segments(ring), lambda s: point_segment_distance(p, s)))
+    ends = ", ".join(
+        _to_edge(f"{e}.{end}x", f"{e}.{end}y", o) for e, o in ((s, t), (t, s)) for end in "ab"
     )
+    return f"CASE WHEN {crossing} THEN 0D ELSE least({ends}) END"
 
 
-def ring_distance(a: Column, b: Column) -> Column:
-    """Polygon-to-polygon distance: 0 when they touch, cross or contain one another."""
-    nested = inside_ring(F.element_at(a, 1), b) | inside_ring(F.element_at(b, 1), a)
-    pairwise = F.transform(
-        segments(a),
-        lambda s: F.array_min(F.transform(segments(b), lambda t: segment_distance(s, t))),
-    )
-    return F.when(nested, F.lit(0.0)).otherwise(F.array_min(pairwise))
-
-
-def box_gap(left: str, right: str) -> Column:
-    """Distance between two bounding boxes given as column-name prefixes."""
+def inside_ring(x: str, y: str, ring: str) -> str:
+    """Even-odd rule; the rim itself is left to the distance tests."""
+    return f"""size(filter({_edges(ring)}, e -> (e.ay > {y}) <> (e.by > {y})
+      AND {x} < e.ux * ({y} - e.ay) / e.uy + e.ax)) % 2 = 1"""
 
-    def along(axis: str) -> Column:
-        return F.greatest(
-            F.lit(0.0),
-            F.col(f"{right}{axis}_min") - F.col(f"{left}{axis}_max"),
-            F.col(f"{left}{axis}_min") - F.col(f"{right}{axis}_max"),
-        )
 
-    return gap(along("x"), along("y"))
+def point_ring_distance(x: str, y: str, ring: str) -> Column:
+    nearest = f"sqrt(array_min(transform({_edges(ring)}, e -> {_to_edge(x, y, 'e')})))"
+    return F.expr(f"CASE WHEN {inside_ring(x, y, ring)} THEN 0D ELSE {nearest} END")
 
 
-def segment_meets_box(
-    s: Column, x0: Column, y0: Column, x1: Column, y1: Column
-) -> Column:
-    """Closed segment against closed rectangle, by separating axes."""
-    overlap = (
-        (F.least(s.a.x, s.b.x) <= x1)
-        & (F.greatest(s.a.x, s.b.x) >= x0)
-        & (F.least(s.a.y, s.b.y) <= y1)
-        & (F.greatest(s.a.y, s.b.y) >= y0)
-    )
-    corners = F.array(
-        *[_side(s.a, s.b, point(x, y)) for x, y in ((x0, y0), (x0, y1), (x1, y0), (x1, y1))]
+def ring_distance(a: str, b: str) -> Column:
+    """Polygon-to-polygon distance: 0 when they touch, cross or contain one another."""
+    nested = (
+        f"{inside_ring(f'{a}[0].x', f'{a}[0].y', b)} OR {inside_ring(f'{b}[0].x', f'{b}[0].y', a)}"
     )
-    return overlap & (F.array_min(corners) <= 0) & (F.array_max(corners) >= 0)
+    pairwise = f"""transform({_edges(a)}, s ->
+      array_min(transform({_edges(b)}, t -> {_between_edges('s', 't')})))"""
+    return F.expr(f"CASE WHEN {nested} THEN 0D ELSE sqrt(array_min({pairwise})) END")
 
 
-def ring_meets_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.exists(segments(ring), lambda s: segment_meets_box(s, x0, y0, x1, y1)) | inside_ring(
-        point(x0, y0), ring
-    )
+def path_meets_box(path: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    """Whether some closed edge meets the closed rectangle, by separating axes."""
+    corners = ", ".join(_side("e", x, y) for x in (x0, x1) for y in (y0, y1))
+    return f"""exists({_edges(path)}, e ->
+      least(e.ax, e.bx) <= {x1} AND greatest(e.ax, e.bx) >= {x0}
+      AND least(e.ay, e.by) <= {y1} AND greatest(e.ay, e.by) >= {y0}
+      AND array_min(array({corners})) <= 0 AND array_max(array({corners})) >= 0)"""
 
 
-def path_meets_box(path: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.exists(segments(path), lambda s: segment_meets_box(s, x0, y0, x1, y1))
+def ring_meets_box(ring: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"({path_meets_box(ring, x0, y0, x1, y1)} OR {inside_ring(x0, y0, ring)})"
 
 
 # --- study windows and tiles --------------------------------------------------------------

@@ -58,17 +58,21 @@ def usable(value: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probabilities: dict[str, float],
+    times: int = 1,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles, named by ``probabilities``.
 
-    Equal values are counted before anything is sorted.
+    Equal values are counted before anything is sorted; every row counts ``times`` times.
     """
     counts = (
         df.select(*group, usable(F.col(value)).alias(value))
         .filter(F.col(value).isNotNull())
         .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) * times).alias("_n"))
     )
     placed = running_positions(counts, group, [value], weight="_n")
     last = (F.col("group_total") - 1).cast("double")

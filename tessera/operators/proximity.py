@@ -40,10 +40,11 @@ def renamed(df: DataFrame, prefix: str, keep: Sequence[str] = (KEY,)) -> DataFra
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _ring(prefix: str) -> Column:
-    x0, y0, x1, y1 = (F.col(prefix + c) for c in BOX)
+def _ring(prefix: str) -> str:
+    x0, y0, x1, y1 = (prefix + c for c in BOX)
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
-    return F.coalesce(F.col(prefix + "shape"), F.array(*[g.point(x, y) for x, y in corners]))
+    ring = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in corners)
+    return f"coalesce({prefix}shape, array({ring}))"
 
 
 def shape_distance(left: str, right: str) -> Column:
@@ -53,7 +54,7 @@ def shape_distance(left: str, right: str) -> Column:
 
 
 def point_shape_distance(x: str, y: str, right: str) -> Column:
-    exact = g.point_ring_distance(g.point(F.col(x), F.col(y)), F.col(right + "shape"))
+    exact = g.point_ring_distance(x, y, right + "shape")
     return F.when(F.col(right + "shape").isNull(), F.col("box_gap")).otherwise(exact)
 
 
