@@ -260,7 +260,7 @@ def grid_roads(spark, sf_dir):
 def open_cte(grid_size, roads):
     road = "gr.ix IS NOT NULL" if roads == "crossed" else "true" if roads == "all" else "false"
     return f""",
-  os AS (SELECT g.location_id, g.ix, g.iy, coalesce(area, 0) / {grid_size * grid_size} AS building_density,
+  os AS MATERIALIZED (SELECT g.location_id, g.ix, g.iy, coalesce(area, 0) / {grid_size * grid_size} AS building_density,
     coalesce(area, 0) / {grid_size * grid_size} <= 0.3::DOUBLE OR {road} AS is_open_space
     FROM g LEFT JOIN ga USING (location_id, ix, iy) LEFT JOIN gr USING (location_id, ix, iy))"""
 
@@ -282,11 +282,11 @@ def open_space_all_roads(spark, sf_dir):
 
 # Clusters of (location_id, ix, iy) cells `oc`: row runs, flooded from every run.
 PERCOLATION = """,
-  runs AS (SELECT location_id, iy, min(ix) AS a, max(ix) AS b, count(*) AS n, iy * 4294967296 + min(ix) AS run
+  runs AS MATERIALIZED (SELECT location_id, iy, min(ix) AS a, max(ix) AS b, count(*) AS n, iy * 4294967296 + min(ix) AS run
     FROM (SELECT *, ix - row_number() OVER (PARTITION BY location_id, iy ORDER BY ix) AS k FROM oc) GROUP BY location_id, iy, k),
   up AS (SELECT l.location_id, l.run AS u, h.run AS v FROM runs l JOIN runs h ON l.location_id = h.location_id
     AND h.iy = l.iy + 1 AND h.a <= l.b AND h.b >= l.a),
-  adj AS (SELECT location_id, u, v FROM up UNION ALL SELECT location_id, v, u FROM up),
+  adj AS MATERIALIZED (SELECT location_id, u, v FROM up UNION ALL SELECT location_id, v, u FROM up),
   flood(location_id, run, other) AS (SELECT location_id, run, run FROM runs
     UNION SELECT flood.location_id, flood.run, v FROM flood JOIN adj ON adj.location_id = flood.location_id AND u = other),
   pc AS (SELECT location_id, cluster, sum(n) AS cells FROM (
