@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
 from tessera.catalogue import query
+from tessera.catalogue.joins import GAUSS, OPEN_POINTS, POINT_GAP
+from tessera.catalogue.networks import BUILDING, URBAN, distances, graph_sql, symmetric, urban
 from tessera.fixtures import with_views
 from tessera.operators import cluster as cl
 from tessera.operators import grid as gr
@@ -352,3 +354,92 @@ PERMEABILITY_B = (
 def permeability_b(spark, sf_dir):
     out = ind.permeability_b(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
     return out.select(KEY, r("permeability"))
+
+
+# --- network-based indicators -------------------------------------------------------------
+
+EMERGENCE_B = """
+  ib4 AS (SELECT b.location_id, least(1, mean * n_b / area * 1000) AS emergence
+    FROM (SELECT location_id, count(*) AS n_b, (max(x1) - min(x0)) * (max(y1) - min(y0)) AS area FROM buildings GROUP BY location_id) b
+    JOIN (SELECT n.location_id, 2 * m / (n * (n - 1)) AS mean FROM (SELECT location_id, count(*) AS n FROM un GROUP BY location_id) n
+      JOIN (SELECT location_id, count(*) AS m FROM ue GROUP BY location_id) e ON e.location_id = n.location_id) c ON c.location_id = b.location_id)
+"""
+
+
+@query(
+    "emergence_b",
+    graph_sql("SELECT location_id, round(emergence, 6) AS emergence FROM ib4", URBAN + "," + EMERGENCE_B),
+)
+def emergence_b(spark, sf_dir):
+    return ind.emergence_b(fx.buildings(spark, sf_dir), urban(spark, sf_dir)).select(KEY, r("emergence"))
+
+
+WITHIN_200 = BUILDING.replace("<= 100", "<= 200")
+EMERGENCE_CLOSENESS = (
+    symmetric(WITHIN_200)
+    + ","
+    + distances("dist", "sym.w")
+    + ","
+    + OPEN_POINTS
+    + f""",
+  cl AS (SELECT location_id, s AS node, CASE WHEN total > 0 THEN (r - 1) / total * (r - 1) / (n - 1) ELSE 0 END AS c
+    FROM (SELECT location_id, s, count(*) AS r, sum(d) AS total FROM dist GROUP BY ALL)
+    JOIN (SELECT location_id, count(*) AS n FROM un GROUP BY location_id) USING (location_id)),
+  nn AS (SELECT * FROM (SELECT location_id, ix, iy, node, row_number() OVER (PARTITION BY location_id, ix, iy ORDER BY d, length(node), node) AS k
+    FROM (SELECT op.location_id, ix, iy, node, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM op JOIN un USING (location_id)) WHERE d <= 200) WHERE k = 1),
+  dn AS (SELECT op.location_id, ix, iy, coalesce(sum(area_m2 * {GAUSS}) FILTER ({POINT_GAP} <= 200), 0) / (pi() * 40000) AS density
+    FROM op JOIN buildings b USING (location_id) GROUP BY ALL),
+  sc AS (SELECT dn.location_id, coalesce(c, 0) AS c, coalesce(c, 0) / (1 + density) AS e FROM dn
+    LEFT JOIN nn USING (location_id, ix, iy) LEFT JOIN cl USING (location_id, node))"""
+)
+
+
+@query(
+    "emergence_a_closeness",
+    graph_sql(
+        """SELECT location_id, round(sum(e) / (3 * count(*)), 9) AS emergence, count(*) AS num_open_spaces,
+          3 * count(*) AS num_emergence_scores, 0.0::DOUBLE AS mean_betweenness, round(avg(c), 9) AS mean_closeness,
+          0.0::DOUBLE AS mean_eigenvector FROM sc GROUP BY location_id""",
+        EMERGENCE_CLOSENESS,
+    ),
+)
+def emergence_a_closeness(spark, sf_dir):
+    out = ind.emergence_a(fx.buildings(spark, sf_dir), method="closeness")
+    return out.withColumn("emergence", F.round("emergence", 9)).withColumn(
+        "mean_closeness", F.round("mean_closeness", 9)
+    )
+
+
+@query("emergence_a")
+def emergence_a(spark, sf_dir):
+    return ind.emergence_a(fx.buildings(spark, sf_dir))
+
+
+@query("emergence_a_eigenvector")
+def emergence_a_eigenvector(spark, sf_dir):
+    return ind.emergence_a(fx.buildings(spark, sf_dir), method="eigenvector")
+
+
+@query("resilience_a")
+def resilience_a(spark, sf_dir):
+    return ind.resilience_a(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
+
+
+@query("resilience_single")
+def resilience_single(spark, sf_dir):
+    return ind.resilience_single(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
+
+
+@query("resilience_b")
+def resilience_b(spark, sf_dir):
+    return ind.resilience_b(urban(spark, sf_dir))
+
+
+@query("all_indicators")
+def all_indicators(spark, sf_dir):
+    return ind.all_indicators(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
+
+
+@query("detailed_indicators")
+def detailed_indicators(spark, sf_dir):
+    return ind.detailed_indicators(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))

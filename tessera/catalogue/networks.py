@@ -9,6 +9,7 @@ from tessera.catalogue import query
 from tessera.catalogue.geometry import lonlat_buildings, lonlat_roads
 from tessera.catalogue.joins import DIST, GAP
 from tessera.fixtures import with_views
+from tessera.operators import graph as gp
 from tessera.operators import networks as nw
 from tessera.operators.components import component_sizes, connected_components
 
@@ -255,3 +256,161 @@ def road_component_sizes(spark, sf_dir):
 )
 def network_statistics(spark, sf_dir):
     return nw.network_statistics(urban(spark, sf_dir)).withColumn("density", F.round("density", 9))
+
+
+# --- analytics ----------------------------------------------------------------------------
+
+
+@query(
+    "density",
+    graph_sql(
+        """SELECT location_id, num_nodes, num_edges, round(2 * num_edges / (num_nodes * (num_nodes - 1)), 9) AS density
+        FROM (SELECT location_id, count(*) AS num_nodes FROM un GROUP BY location_id)
+        JOIN (SELECT location_id, count(*) AS num_edges FROM ue GROUP BY location_id) USING (location_id)""",
+        URBAN,
+    ),
+)
+def graph_density(spark, sf_dir):
+    return gp.graph_density(*urban(spark, sf_dir)).withColumn("density", F.round("density", 9))
+
+
+@query(
+    "degree_centrality",
+    graph_sql(
+        """SELECT un.location_id, node, round(count(v) / (n - 1), 9) AS degree_centrality
+        FROM un JOIN (SELECT location_id, count(*) AS n FROM un GROUP BY location_id) c ON c.location_id = un.location_id
+        LEFT JOIN sym ON sym.location_id = un.location_id AND u = node GROUP BY un.location_id, node, n""",
+        URBAN + "," + SYM,
+    ),
+)
+def degree_centrality(spark, sf_dir):
+    return gp.degree_centrality(urban(spark, sf_dir)).select(KEY, "node", r("degree_centrality", 9))
+
+
+CLUSTERING_SQL = """
+  SELECT un.location_id, un.node, round(coalesce(t / (d * (d - 1)), 0), 6) AS clustering
+  FROM un LEFT JOIN (SELECT location_id, u, count(*) AS d FROM sym GROUP BY ALL) g ON g.location_id = un.location_id AND g.u = un.node
+  LEFT JOIN (SELECT a.location_id, a.u, count(*) AS t FROM sym a
+    JOIN sym b ON a.location_id = b.location_id AND a.u = b.u AND a.v <> b.v
+    JOIN sym c ON c.location_id = a.location_id AND c.u = a.v AND c.v = b.v GROUP BY ALL) k
+    ON k.location_id = un.location_id AND k.u = un.node"""
+
+
+@query("clustering", graph_sql(CLUSTERING_SQL, BUILDING + "," + SYM))
+def clustering(spark, sf_dir):
+    network = nw.building_network(fx.buildings(spark, sf_dir))
+    return gp.clustering(network.nodes, network.edges).select(KEY, "node", r("clustering"))
+
+
+# All-source distances: rows (s, v, d) replaced while they improve.
+def distances(name, weight):
+    return f"""
+  {name}(location_id, s, v, d) USING KEY (location_id, s, v) AS (
+    SELECT location_id, node, node, 0::DOUBLE FROM un
+    UNION SELECT x.location_id, x.s, sym.v, min(x.d + {weight}) FROM {name} x JOIN sym ON sym.location_id = x.location_id AND sym.u = x.v
+      LEFT JOIN recurring.{name} AS old ON old.location_id = x.location_id AND old.s = x.s AND old.v = sym.v
+      WHERE old.d IS NULL OR x.d + {weight} < old.d GROUP BY x.location_id, x.s, sym.v)"""
+
+
+def symmetric(ctes):
+    return ctes + "," + SYM.replace("sym AS", "sym AS MATERIALIZED")
+
+
+@query(
+    "hops",
+    graph_sql(
+        """SELECT location_id, size AS largest_cc_size, parts = 1 AS is_connected, diameter,
+          round(CASE WHEN size > 1 THEN hops / (size * (size - 1)) ELSE 0 END, 6) AS avg_path_length
+        FROM (SELECT *, count(*) OVER (PARTITION BY location_id) AS parts,
+            row_number() OVER (PARTITION BY location_id ORDER BY size DESC, component) AS k
+          FROM (SELECT location_id, component, count(DISTINCT s) AS size, max(d) AS diameter, sum(d) AS hops
+            FROM hop JOIN (SELECT location_id, s, min(v) AS component FROM hop GROUP BY ALL) USING (location_id, s)
+            GROUP BY location_id, component)) WHERE k = 1""",
+        symmetric(ROAD6) + "," + distances("hop", "1"),
+    ),
+)
+def hops(spark, sf_dir):
+    stats = gp.path_statistics(*roads_only(spark, sf_dir))
+    return gp.hop_statistics(stats).withColumn("avg_path_length", F.round("avg_path_length", 6))
+
+
+@query(
+    "closeness",
+    graph_sql(
+        """SELECT location_id, s AS node, round(CASE WHEN total > 0 THEN (r - 1) / total * (r - 1) / (n - 1) ELSE 0 END, 9) AS closeness
+        FROM (SELECT location_id, s, count(*) AS r, sum(d) AS total FROM dist GROUP BY ALL)
+        JOIN (SELECT location_id, count(*) AS n FROM un GROUP BY location_id) USING (location_id)""",
+        symmetric(ROAD6) + "," + distances("dist", "sym.w"),
+    ),
+)
+def closeness(spark, sf_dir):
+    return gp.closeness(gp.path_statistics(*roads_only(spark, sf_dir))).select(
+        KEY, "node", r("closeness", 9)
+    )
+
+
+# Path counts forward and dependencies backward along the tight edges, one step per round.
+BETWEENNESS = (
+    symmetric(ROAD6)
+    + ","
+    + distances("dist", "sym.w")
+    + """,
+  tight AS MATERIALIZED (SELECT a.location_id, a.s, a.v AS u, b.v FROM dist a JOIN sym ON sym.location_id = a.location_id AND sym.u = a.v
+    JOIN dist b ON b.location_id = a.location_id AND b.s = a.s AND b.v = sym.v WHERE abs(a.d + w - b.d) <= 1e-9),
+  fw(location_id, s, v, val, k) AS (SELECT location_id, node, node, 1::DOUBLE, 0 FROM un
+    UNION ALL SELECT fw.location_id, fw.s, tight.v, sum(val), any_value(k) + 1 FROM fw JOIN tight ON tight.location_id = fw.location_id AND tight.s = fw.s AND tight.u = fw.v
+    GROUP BY fw.location_id, fw.s, tight.v),
+  sigma AS MATERIALIZED (SELECT location_id, s, v, sum(val) AS sg FROM fw GROUP BY ALL),
+  bw(location_id, s, v, val, k) AS (SELECT location_id, s, v, 1 / sg, 0 FROM sigma
+    UNION ALL SELECT bw.location_id, bw.s, tight.u, sum(val), any_value(k) + 1 FROM bw JOIN tight ON tight.location_id = bw.location_id AND tight.s = bw.s AND tight.v = bw.v
+    GROUP BY bw.location_id, bw.s, tight.u),
+  dep AS (SELECT location_id, v AS node, sum(sg * y - 1) AS dependency FROM sigma
+    JOIN (SELECT location_id, s, v, sum(val) AS y FROM bw GROUP BY ALL) USING (location_id, s, v) WHERE s <> v GROUP BY location_id, v)"""
+)
+
+
+@query(
+    "betweenness",
+    graph_sql(
+        """SELECT un.location_id, un.node, round(CASE WHEN n > 2 THEN coalesce(dependency, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 9) + 0 AS betweenness
+        FROM un JOIN (SELECT location_id, count(*) AS n FROM un GROUP BY location_id) c ON c.location_id = un.location_id
+        LEFT JOIN dep ON dep.location_id = un.location_id AND dep.node = un.node""",
+        BETWEENNESS,
+    ),
+)
+def betweenness(spark, sf_dir):
+    stats = gp.path_statistics(*roads_only(spark, sf_dir))
+    out = gp.betweenness(stats)
+    return out.select(KEY, "node", (F.round("betweenness", 9) + F.lit(0.0)).alias("betweenness"))
+
+
+@query(
+    "laplacian",
+    graph_sql(
+        """SELECT location_id, node AS row, node AS col, round(coalesce(d, 0), 6) AS value
+        FROM un LEFT JOIN (SELECT location_id, u AS node, sum(w) AS d FROM sym GROUP BY ALL) USING (location_id, node)
+        UNION ALL SELECT location_id, u, v, round(-w, 6) FROM sym""",
+        ROAD6 + "," + SYM,
+    ),
+)
+def laplacian(spark, sf_dir):
+    return gp.laplacian(*roads_only(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query("eigenvector")
+def eigenvector(spark, sf_dir):
+    return gp.eigenvector(*roads_only(spark, sf_dir)).select(KEY, "node", r("eigenvector"))
+
+
+@query("fiedler")
+def fiedler(spark, sf_dir):
+    """Per component; locations whose road graph is one component also have it as a whole."""
+    return gp.component_fiedler(*roads_only(spark, sf_dir))
+
+
+for _strategy in ("degree", "betweenness", "random"):
+
+    @query(f"robustness_{_strategy}")
+    def robustness(spark, sf_dir, strategy=_strategy):
+        network = nw.building_network(fx.buildings(spark, sf_dir), 200.0)
+        return gp.robustness(network, gp.removal_order(network, strategy))

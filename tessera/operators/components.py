@@ -2,17 +2,22 @@
 
 Each round every node hooks onto its neighbour of smallest hash, pointer jumping turns the hooks
 into stars, and the edges are rewritten between star centres. The edge table shrinks
-geometrically; hashing the hooking order keeps the chains short on grids and long streets.
+geometrically; hashing the hooking order keeps the chains short on grids and long streets. Once
+few enough edges are left (a checked count), each location's remainder is labelled inside a task
+instead of paying for more rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
 
 KEY = "location_id"
+FINISH_EDGES = 1_000_000
 
 
 def _priority(name: str):
@@ -46,7 +51,24 @@ def _stars(edges: DataFrame) -> DataFrame:
         parents = parents.drop("moved")
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
+def _label_remainder(part: pd.DataFrame) -> pd.DataFrame:
+    """Star centres for the edges of one location: hook roots, then halve the paths."""
+    codes, names = pd.factorize(pd.concat([part["u"], part["v"]], ignore_index=True))
+    u, v = codes[: len(part)], codes[len(part) :]
+    root = np.arange(len(names))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, root[u], root[v])
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    out = pd.DataFrame({"u": names, "parent": names[root]})
+    out.insert(0, KEY, part[KEY].iloc[0])
+    return out
+
+
+def component_labels(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """``(location_id, u, component)`` for every node that has an edge."""
     forward = edges.filter(F.col("src") != F.col("dst")).select(
         KEY, F.col("src").alias("u"), F.col("dst").alias("v")
@@ -54,9 +76,16 @@ def component_labels(edges: DataFrame) -> DataFrame:
     current = cut(
         forward.unionByName(forward.select(KEY, F.col("v").alias("u"), F.col("u").alias("v")))
     )
+    kind = dict(current.dtypes)["u"]
     labels = None
-    while not current.isEmpty():
-        stars = _stars(current)
+    while remaining := current.count():
+        finish = remaining <= finish_edges
+        if finish:
+            stars = current.groupBy(KEY).applyInPandas(
+                _label_remainder, f"{KEY} long, u {kind}, parent {kind}"
+            )
+        else:
+            stars = _stars(current)
         if labels is None:
             labels = stars
         else:
@@ -64,6 +93,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
             labels = labels.join(step, [KEY, "parent"], "left").select(
                 KEY, "u", F.coalesce("next", "parent").alias("parent")
             )
+        if finish:
+            break
         left = stars.select(KEY, "u", F.col("parent").alias("pu"))
         right = stars.select(KEY, F.col("u").alias("v"), F.col("parent").alias("pv"))
         current = cut(

@@ -483,12 +483,17 @@ def _lanczos_fiedler(links: DataFrame, steps: int = 300, check_every: int = 10)
     return last.withColumn("fiedler", F.lit(None).cast("double"))
 
 
-def component_fiedler(nodes: DataFrame, edges: DataFrame, small: int = SMALL_COMPONENT) -> DataFrame:
+def component_fiedler(
+    nodes: DataFrame,
+    edges: DataFrame,
+    small: int = SMALL_COMPONENT,
+    components: DataFrame | None = None,
+) -> DataFrame:
     """``location_id, component, size, fiedler`` of every component with two or more nodes.
 
     A component held together only by zero-weight edges is split for the Laplacian: exactly 0.
     """
-    parts = cut(connected_components(nodes, edges))
+    parts = cut(components if components is not None else connected_components(nodes, edges))
     sizes = component_sizes(parts).filter("size >= 2")
     weighted = edges.filter("weight > 0 AND src <> dst")
     if edges.filter("weight <= 0").isEmpty():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.lineage import cut
 from tessera.operators.components import connected_components
 from tessera.operators.proximity import footprints
 
@@ -230,6 +231,7 @@ def percolation_clusters(cells: DataFrame, grid_size: float = 50.0) -> DataFrame
         F.col("iy") * F.lit(4294967296)
         + F.last("start", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)),
     )
+    runs = cut(runs)
     above = runs.select(KEY, "ix", (F.col("iy") - 1).alias("iy"), F.col("run").alias("dst"))
     links = (
         runs.join(above, [KEY, "ix", "iy"]).select(KEY, F.col("run").alias("src"), "dst").distinct()

@@ -10,8 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
 from tessera.operators import cluster as cl
+from tessera.operators import graph as gp
 from tessera.operators import grid as gr
+from tessera.operators import networks as nw
+from tessera.operators import overlap as ov
+from tessera.operators import proximity as px
+from tessera.operators.components import connected_components
+from tessera.operators.networks import Network
 from tessera.operators.proximity import footprints
 
 KEY = "location_id"
@@ -194,3 +201,216 @@ def permeability_b(buildings: DataFrame, roads: DataFrame, resolution: float = 5
             F.when(F.col("has_roads"), value).otherwise(F.lit(0.0)).alias("permeability"),
         )
     )
+
+
+# --- resilience ---------------------------------------------------------------------------
+
+
+def materialised(network: Network) -> Network:
+    """The tables of a network, computed once for the several analyses that read them."""
+    return Network(cut(network.nodes), cut(network.edges))
+
+
+def network_metrics(network: Network) -> DataFrame:
+    """Fiedler value and the accompanying measures of each location's graph."""
+    nodes, edges = materialised(network)
+    parts = cut(connected_components(nodes, edges))
+    stats = cut(gp.path_statistics(nodes, edges, parts))
+    fiedler = gp.graph_fiedler(nodes, gp.component_fiedler(nodes, edges, components=parts))
+    means = (
+        gp.betweenness(stats)
+        .join(gp.closeness(stats), [KEY, "node"])
+        .join(gp.clustering(nodes, edges), [KEY, "node"])
+        .groupBy(KEY)
+        .agg(
+            F.avg("clustering").alias("avg_clustering"),
+            F.avg("betweenness").alias("avg_betweenness"),
+            F.avg("closeness").alias("avg_closeness"),
+        )
+    )
+    hops = gp.hop_statistics(stats).withColumn(
+        "largest_cc_size", F.when(~F.col("is_connected"), F.col("largest_cc_size"))
+    )
+    return (
+        gp.graph_density(nodes, edges)
+        .join(fiedler, KEY)
+        .join(means, KEY)
+        .join(hops.drop("is_connected"), KEY)
+    )
+
+
+def resilience_a(buildings: DataFrame, roads: DataFrame) -> DataFrame:
+    """Measures of the road, building and mixed graphs; the headline is the first available."""
+    graphs = {
+        "road": nw.road_network(roads),
+        "building": nw.building_network(buildings),
+        "mixed": nw.mixed_network(buildings, roads),
+    }
+    out = None
+    for name, network in graphs.items():
+        found = network_metrics(network)
+        found = found.withColumn("resilience", F.col("fiedler")).withColumnRenamed(
+            "fiedler", "fiedler_value"
+        )
+        named = found.select(
+            KEY, *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != KEY]
+        )
+        out = named if out is None else out.join(named, KEY, "full")
+    headline = F.coalesce(
+        "mixed_resilience", "building_resilience", "road_resilience", F.lit(0.0)
+    )
+    return out.withColumn("resilience", headline)
+
+
+def resilience_single(
+    buildings: DataFrame, roads: DataFrame | None = None, network: Network | None = None
+) -> DataFrame:
+    """One Fiedler value: of the given graph, else the building graph, else the road graph."""
+    choices = [network] if network is not None else []
+    choices.append(nw.building_network(buildings))
+    if roads is not None:
+        choices.append(nw.road_network(roads))
+    out, names = None, []
+    for i, choice in enumerate(choices):
+        nodes, edges = materialised(choice)
+        big = nodes.groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1").select(KEY)
+        value = gp.graph_fiedler(nodes, gp.component_fiedler(nodes, edges)).join(
+            big, KEY, "left_semi"
+        )
+        names.append(f"f{i}")
+        value = value.withColumnRenamed("fiedler", f"f{i}")
+        out = value if out is None else out.join(value, KEY, "full")
+    return out.select(KEY, F.coalesce(*names, F.lit(0.0)).alias("resilience"))
+
+
+def resilience_b(network: Network) -> DataFrame:
+    """Smallest Fiedler value over the components with an edge, a tenth of it, within [0, 1]."""
+    nodes, edges = materialised(network)
+    least = gp.component_fiedler(nodes, edges).groupBy(KEY).agg(F.min("fiedler").alias("f"))
+    value = F.when(F.col("f").isNotNull(), _clip(F.col("f") / 10.0, 0.0, 1.0)).otherwise(0.0)
+    return nodes.select(KEY).distinct().join(least, KEY, "left").select(KEY, value.alias("resilience"))
+
+
+# --- emergence ----------------------------------------------------------------------------
+
+CENTRALITIES = ["betweenness", "closeness", "eigenvector"]
+
+
+def emergence_a(
+    buildings: DataFrame,
+    network: Network | None = None,
+    method: str = "betweenness",
+    density_method: str = "gaussian",
+    radius: float = 200.0,
+    reach: float = 200.0,
+) -> DataFrame:
+    """Mean of centrality / (1 + density) over open points and the three centrality types.
+
+    Only ``method`` is computed; the other types, and points with no node within ``reach``, count
+    as zeros. The graph defaults to buildings within 200 m of one another.
+    """
+    graph = network if network is not None else nw.building_network(buildings, 200.0)
+    nodes, edges = materialised(graph)
+    if method == "eigenvector":
+        scores = gp.eigenvector(nodes, edges)
+    else:
+        stats = gp.path_statistics(nodes, edges)
+        scores = gp.betweenness(stats) if method == "betweenness" else gp.closeness(stats)
+    points = cut(px.open_points(buildings))
+    order = F.col("node_type").alias("kind"), F.length("node").alias("len"), F.col("node").alias("name")
+    ranked = nodes.withColumn("node_order", F.struct(*order))
+    nearest = px.nearest_node(points, ranked, reach, ("px", "py"))
+    dense = px.building_density(points, buildings, radius, density_method)
+    scored = (
+        dense.join(nearest.select(KEY, "px", "py", "node"), [KEY, "px", "py"], "left")
+        .join(scores, [KEY, "node"], "left")
+        .withColumn("c", F.coalesce(method, F.lit(0.0)))
+    )
+    kinds = len(CENTRALITIES)
+    sums = scored.groupBy(KEY).agg(
+        (F.sum(F.col("c") / (1 + F.col("density"))) / (F.count("*") * kinds)).alias("emergence"),
+        F.count("*").alias("num_open_spaces"),
+        (F.count("*") * kinds).alias("num_emergence_scores"),
+        *[
+            (F.avg("c") if k == method else F.lit(0.0)).alias(f"mean_{k}") for k in CENTRALITIES
+        ],
+    )
+    return buildings.select(KEY).distinct().join(sums, KEY, "left").fillna(0)
+
+
+def emergence_b(buildings: DataFrame, network: Network) -> DataFrame:
+    """Mean degree centrality × buildings per square metre × 1000, at most 1."""
+    shapes = footprints(buildings)
+    area = (F.max("x_max") - F.min("x_min")) * (F.max("y_max") - F.min("y_min"))
+    built = shapes.groupBy(KEY).agg(F.count("*").alias("b"), area.alias("area"))
+    # The mean over nodes of degree/(n − 1) needs the two counts only.
+    counts = gp.graph_density(network.nodes, network.edges)
+    n, m = F.col("num_nodes"), F.col("num_edges")
+    mean = F.when(n > 1, F.lit(2.0) * m / (n * (n - 1))).otherwise(F.lit(1.0))
+    density = F.when(F.col("area") > 0, F.col("b") / F.col("area")).otherwise(F.lit(0.0))
+    return built.join(counts, KEY).select(
+        KEY, F.least(F.lit(1.0), mean * density * 1000).alias("emergence")
+    )
+
+
+# --- all together -------------------------------------------------------------------------
+
+# The row reported when a location could not be computed.
+DEFAULT_ROW = {
+    "sparsity": 0.5, "resilience": 0.5, "multi_nodality": 0.5, "permeability": 0.5,
+    "emergence": 0.5, "overlap": 0.0,
+}
+
+
+def all_indicators(
+    buildings: DataFrame,
+    roads: DataFrame,
+    locations: DataFrame | None = None,
+    missing: str = "drop",
+    overlap_mode: str = "documented",
+) -> DataFrame:
+    """The result table: six batch indicators per location.
+
+    A location without any feature is dropped, or gets the default row (``missing='default'``).
+    """
+    network = materialised(nw.urban_network(buildings, roads))
+    parts = {
+        "sparsity": sparsity_b(buildings),
+        "resilience": resilience_b(network),
+        "multi_nodality": multi_nodality_b(buildings),
+        "permeability": permeability_b(buildings, roads),
+        "emergence": emergence_b(buildings, network),
+        "overlap": ov.overlap(buildings, overlap_mode),
+    }
+    with_features = buildings.select(KEY).union(roads.select(KEY)).distinct()
+    out = with_features
+    for name, df in parts.items():
+        out = out.join(df.select(KEY, name), KEY, "left").fillna(0.0, [name])
+    if locations is None:
+        return out
+    kept = locations.join(out, KEY, "inner" if missing == "drop" else "left")
+    return kept if missing == "drop" else kept.fillna(DEFAULT_ROW)
+
+
+def detailed_indicators(
+    buildings: DataFrame, roads: DataFrame, road_mode: str = "crossed", overlap_mode: str = "documented"
+) -> DataFrame:
+    """The detailed variants side by side, with the sizes of the data behind them."""
+    network = materialised(nw.urban_network(buildings, roads))
+    counts = gp.graph_density(*network).select(
+        KEY, F.col("num_nodes").alias("network_nodes"), F.col("num_edges").alias("network_edges")
+    )
+    parts = [
+        sparsity_a(buildings).select(KEY, "sparsity", "fractal_dimension"),
+        multi_nodality_a(buildings).select(KEY, "multi_nodality", "num_cores"),
+        permeability_a(buildings, roads, road_mode=road_mode).select(KEY, "permeability", "num_clusters"),
+        emergence_a(buildings, network).select(KEY, "emergence", "num_open_spaces"),
+        resilience_a(buildings, roads).select(KEY, "resilience"),
+        ov.overlap(buildings, overlap_mode).select(KEY, "overlap"),
+        buildings.groupBy(KEY).agg(F.count("*").alias("buildings")),
+        roads.groupBy(KEY).agg(F.count("*").alias("roads")),
+    ]
+    out = counts
+    for part in parts:
+        out = out.join(part, KEY, "left")
+    return out
