@@ -89,6 +89,10 @@ def test_clustering_and_degree(network):
 def test_eigenvector(network):
     found = values(graph.eigenvector(*network), "location_id", "node", "eigenvector")
     assert all(math.isclose(found[(3, n)], 1 / math.sqrt(5), abs_tol=1e-5) for n in "abcde")
+    only = [df.filter("location_id in (1, 3)") for df in network]
+    joined = values(graph.eigenvector(*only, small=0), "location_id", "node", "eigenvector")
+    assert joined.keys() == {k for k in found if k[0] in (1, 3)}
+    assert all(math.isclose(found[k], v, abs_tol=1e-9) for k, v in joined.items())
 
 
 def test_robustness(network):
