@@ -24,6 +24,7 @@ from tessera.operators.range_join import range_join
 
 KEY = "location_id"
 BLOCKS_PER_CELL = 4
+CENTRES_PER_SHARE = 5_000
 XY = ["x", "y"]
 
 
@@ -184,11 +185,19 @@ def core_dispersion(labelled: DataFrame, method: str = "variance") -> DataFrame:
         .groupBy(KEY, "cluster_id")
         .agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     )
+    # A location with very many clusters is dealt into shares, one task per share.
+    most = centres.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
+    shares = most // CENTRES_PER_SHARE + 1
+    dealt = centres.withColumn("share", F.pmod(F.xxhash64("cluster_id"), F.lit(shares)))
     other = centres.select(
-        KEY, F.col("cluster_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")
+        KEY,
+        F.col("cluster_id").alias("other"),
+        F.col("x").alias("ox"),
+        F.col("y").alias("oy"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"),
     )
     pairs = (
-        centres.join(other, KEY)
+        dealt.join(other, [KEY, "share"])
         .filter(F.col("cluster_id") < F.col("other"))
         .select(KEY, gap(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("d"))
     )

@@ -161,11 +161,10 @@ def _ring_search(
         parts.append(found)
         left = cut(left.join(found.select(plane, *probe_keys), [plane, *probe_keys], "left_anti"))
         radius *= 2
-    if not parts:
-        empty = left.crossJoin(targets.limit(0)).withColumn("box_gap", F.lit(0.0))
-        return empty.withColumn("_d", F.lit(0.0)).select(
-            plane, *probe_keys, "px", "py", answer.alias("best")
-        )
+    if not parts:  # no probes: the same columns from a join of nothing
+        pairs = range_join(left, targets, radius, ("px", "py", "px", "py"), target_box, key=plane)
+        found = pairs.withColumn("_d", distance).groupBy(plane, *probe_keys, "px", "py")
+        return found.agg(F.min(answer).alias("best"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
