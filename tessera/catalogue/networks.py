@@ -408,9 +408,42 @@ def fiedler(spark, sf_dir):
     return gp.component_fiedler(*roads_only(spark, sf_dir))
 
 
-for _strategy in ("degree", "betweenness", "random"):
+# Components after every removal, degree order, by label spreading per (location, removed).
+REMOVALS = (
+    symmetric(BUILDING.replace("<= 100", "<= 400"))
+    + """,
+  ordered AS MATERIALIZED (SELECT un.location_id, un.node, count(*) OVER (PARTITION BY un.location_id) AS n,
+      row_number() OVER (PARTITION BY un.location_id ORDER BY coalesce(d, 0) DESC, un.node) - 1 AS gone
+    FROM un LEFT JOIN (SELECT location_id, u AS node, count(*) AS d FROM sym GROUP BY ALL) USING (location_id, node)),
+  stage AS MATERIALIZED (SELECT location_id, node, n, gone, k FROM ordered, range(0, 2000) t(k) WHERE k < n AND gone >= k),
+  lbl(location_id, k, node, label) USING KEY (location_id, k, node) AS (
+    SELECT location_id, k, node, gone FROM stage
+    UNION SELECT x.location_id, x.k, sym.v, min(x.label) FROM lbl x JOIN sym ON sym.location_id = x.location_id AND sym.u = x.node
+      JOIN recurring.lbl AS old ON old.location_id = x.location_id AND old.k = x.k AND old.node = sym.v
+      WHERE x.label < old.label GROUP BY x.location_id, x.k, sym.v),
+  split AS (SELECT location_id, k, count(DISTINCT label) AS parts FROM lbl GROUP BY ALL),
+  fr AS (SELECT location_id, n, bool_or(k = 0 AND parts = 1) AND n >= 3 AS whole, min(k) FILTER (k > 0 AND parts > 1) AS k
+    FROM split JOIN (SELECT DISTINCT location_id, n FROM ordered) USING (location_id) GROUP BY location_id, n)"""
+)
+
+
+@query(
+    "robustness_degree",
+    graph_sql(
+        """SELECT location_id, round(CASE WHEN whole THEN 1 - coalesce(k / n, 0) ELSE 0 END, 9) AS robustness,
+          round(CASE WHEN whole THEN coalesce(k / n, 0) ELSE 0 END, 9) AS critical_fraction FROM fr""",
+        REMOVALS,
+    ),
+)
+def robustness_degree(spark, sf_dir):
+    network = nw.building_network(fx.buildings(spark, sf_dir), 400.0)
+    found = gp.robustness(network, gp.removal_order(network, "degree"))
+    return found.select(KEY, r("robustness", 9), r("critical_fraction", 9))
+
+
+for _strategy in ("betweenness", "random"):
 
     @query(f"robustness_{_strategy}")
     def robustness(spark, sf_dir, strategy=_strategy):
-        network = nw.building_network(fx.buildings(spark, sf_dir), 200.0)
+        network = nw.building_network(fx.buildings(spark, sf_dir), 400.0)
         return gp.robustness(network, gp.removal_order(network, strategy))

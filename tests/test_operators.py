@@ -99,7 +99,7 @@ def test_running_positions(spark):
     assert all(r.before == r.v and r.group_total == 200 for r in got)
 
 
-# --- sparsity, clustering, percolation: the reference test shapes ------------------------------
+# --- sparsity, clustering, percolation on shapes with known answers -----------------------------
 
 
 def test_dense_block(spark):
