@@ -8,11 +8,11 @@ meet in no table with probability ``1 - (1 - (1 - s**ROWS)**HALVES)**2``: 6e-6 a
 
 Documents of equal sets become one row first, so copies are never paired. Within a table's bucket,
 rows are compared with one leader, the smallest number; those that are not linked to it go on among
-themselves with a leader of their own, until none is left. A pair of a linked row and a row that
-failed is compared only if both are in different components, their sizes allow a link, and the
-triangle inequality of the Jaccard distance to their leader does. All three tests are exact, so no
-link between components that share a bucket is lost, and no bucket is expanded into all its pairs.
-Similarity is computed on the full sets, from the texts.
+themselves with eight times as many leaders, and so on until none is left. A pair of a row that a
+leader took and a row that it left is compared only if both are in different components, their sizes
+allow a link, and the triangle inequality of the Jaccard distance to that leader does. All three
+tests are exact, so no link between components that share a bucket is lost, and no bucket of similar
+rows is expanded into all its pairs. Similarity is computed on the full sets, from the texts.
 
 Defined cases: a null or blank text has no set, and is its own component. A text of fewer words than
 a shingle is one shingle, its whole sequence. Rows without a doc_id link with nothing and have no
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
@@ -37,6 +37,8 @@ from tessera.llm.store import stored
 HALVES, ROWS = 10, 2
 #: Rows of a bucket that one task compares with their leader.
 SHARE = 256
+#: Factor by which a bucket's leaders grow from round to round.
+GROWTH = 8
 
 _seeds = np.random.Generator(np.random.PCG64(85)).integers(
     1, 1 << 63, (2, 2 * HALVES * ROWS), np.uint64
@@ -154,72 +156,87 @@ def common_sizes(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """``key, a, b``: each row ``b`` of a bucket with its smallest row ``a``, without the latter."""
-    from pyspark.sql import Window
-
-    low = F.min("b").over(Window.partitionBy("key"))
-    return rows.select("key", "b", low.alias("a")).filter("a <> b").select("key", "a", "b")
+def _led(rows: DataFrame, leaders: int) -> DataFrame:
+    """``key, a, b, na, nb``: each row ``b`` of a bucket with its (first ``leaders``) smaller rows."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("b"))
+    placed = rows.select("key", "b", "n", place.alias("place"))
+    if leaders == 1:
+        every = Window.partitionBy("key").orderBy("b")
+        return (
+            placed.select(
+                "key", F.first("b").over(every).alias("a"), "b",
+                F.first("n").over(every).alias("na"), F.col("n").alias("nb"),
+            ).filter("a <> b")
+        )
+    placed = stored(placed)
+    first = placed.filter(F.col("place") <= leaders).select(
+        "key", F.col("b").alias("a"), F.col("n").alias("na")
+    )
+    return placed.join(first, "key").filter("a < b").select(
+        "key", "a", "b", "na", F.col("n").alias("nb")
+    )
 
 
 def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: links between distinct sets that connect all that share a bucket and are similar."""
-    linked = F.col("common") * 100 >= F.col("total") * percent
+    similar = F.col("common") * 100 >= F.col("total") * percent
     distance = 1 - F.col("common") / F.col("total")
-    keys = reps.select("rep", "half", F.posexplode(F.slice("half", 1, HALVES)).alias("i", "u")).select(
-        "rep", "i", "u", F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "v")
-    )
-    todo = stored(
-        _led(keys.select(F.xxhash64("i", "u", "j", "v").alias("key"), F.col("rep").alias("b")))
-    )
-    found, failures, known = [], [], None
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    fits = small * 100 >= large * percent
+    keys = reps.select(
+        "rep", "n", "half", F.posexplode(F.slice("half", 1, HALVES)).alias("i", "u")
+    ).select("rep", "n", "i", "u", F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "v"))
+    rows = keys.select(F.xxhash64("i", "u", "j", "v").alias("key"), F.col("rep").alias("b"), "n")
+    leaders = 1
+    todo = stored(_led(rows, leaders))
+    direct, rounds, known = None, [], None
     while not todo.isEmpty():
-        pairs = todo.select("a", "b").distinct()
+        pairs = todo.filter(fits).select("a", "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         fresh = stored(common_sizes(pairs, docs, size).distinct())
         known = fresh if known is None else known.unionByName(fresh)
-        judged = stored(
-            todo.join(known, ["a", "b"])
-            .select("key", "a", "b", linked.alias("linked"), distance.alias("d"))
+        judged = todo.join(known, ["a", "b"], "left").select(
+            "key", "a", "b", "nb",
+            F.coalesce(similar, F.lit(False)).alias("linked"),
+            F.coalesce(distance, 1 - small / large).alias("d"),
         )
-        found.append(fresh.filter(linked).select("a", "b"))
-        failures.append(judged)
-        todo = stored(_led(judged.filter(~F.col("linked")).select("key", "b")))
-    if not found:
+        of_row = Window.partitionBy("key", "b")
+        rounds.append(
+            stored(judged.withColumn("by", F.min(F.when(F.col("linked"), F.col("a"))).over(of_row)))
+        )
+        fresh = fresh.filter(similar).select("a", "b")
+        direct = fresh if direct is None else direct.union(fresh)
+        was_leader = rounds[-1].select("key", F.col("a").alias("b")).distinct()
+        rest = rounds[-1].filter("by IS NULL").select("key", "b", F.col("nb").alias("n")).distinct()
+        leaders *= GROWTH
+        todo = stored(_led(rest.join(was_leader, ["key", "b"], "left_anti"), leaders))
+    if direct is None:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    direct = found[0]
-    for more in found[1:]:
-        direct = direct.union(more)
     direct = stored(direct)
-    return direct.union(_across(direct, failures, known, reps, docs, size, percent))
+    return direct.union(_across(direct, rounds, known, docs, size, percent))
 
 
 def _across(
-    direct: DataFrame, judged: list[DataFrame], known: DataFrame, reps: DataFrame, docs: DataFrame,
+    direct: DataFrame, rounds: list[DataFrame], known: DataFrame, docs: DataFrame,
     size: int, percent: int,
 ) -> DataFrame:
     """Links between a row that its leader took and one that it left, where one is possible."""
-    roots = components(direct)
-    sizes = reps.select(F.col("rep").alias("b"), F.col("n").alias("n"))
+    roots = components(direct).withColumnRenamed("node", "b")
     pairs = None
-    for rows in judged:
-        rows = (
-            rows.join(sizes, "b")
-            .join(roots.withColumnRenamed("node", "b"), "b", "left")
-            .select("key", "a", "b", "linked", "d", "n", F.coalesce("root", "b").alias("root"))
-        )
-        taken = rows.filter("linked").alias("x")
-        left = rows.filter(~F.col("linked")).alias("y")
+    for rows in rounds:
+        rows = rows.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
+        taken = rows.filter("linked AND a = by").alias("x")
+        left = rows.filter("NOT linked").alias("y")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-        open_ = (
+        possible = (
             taken.join(left, (x("key") == y("key")) & (x("a") == y("a")))
             .filter(x("root") != y("root"))
-            .filter(F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent)
+            .filter(F.least(x("nb"), y("nb")) * 100 >= F.greatest(x("nb"), y("nb")) * percent)
             .filter(y("d") - x("d") <= 1 - percent / 100 + 1e-9)
             .select(F.least(x("b"), y("b")).alias("a"), F.greatest(x("b"), y("b")).alias("b"))
         )
-        pairs = open_ if pairs is None else pairs.union(open_)
+        pairs = possible if pairs is None else pairs.union(possible)
     pairs = stored(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return pairs
