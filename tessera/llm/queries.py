@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, quality, toxicity
+from tessera.llm import linededup, mixing, neardup, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op5_linededup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of each document."""
+    done = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.col("_lines_removed").alias("n_lines_removed"),
+        F.col("_chunks_removed").alias("n_chunks_removed"),
+        F.length("text").cast("long").alias("n_chars_kept"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
