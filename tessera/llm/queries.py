@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, linededup, mixing, neardup, quality, toxicity
+from tessera.llm import decontaminate, linededup, mixing, neardup, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_substrings")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.substring_dedup(docs, size=20, levels=2, texts=False)
+
+
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
