@@ -6,13 +6,15 @@ key of the first collection with one of the second. So ``HALVES**2`` tables of `
 cost ``2 * HALVES * ROWS`` minhashes instead of ``2 * ROWS * HALVES**2``. Two sets of similarity s
 meet in no table with probability ``1 - (1 - (1 - s**ROWS)**HALVES)**2``: 6e-6 at 0.85, 8e-5 at 0.8.
 
-Documents of equal sets become one row first, so copies are never paired. Within a table's bucket,
-rows are compared with one leader, the smallest number; those that are not linked to it go on among
-themselves with eight times as many leaders, and so on until none is left. A pair of a row that a
-leader took and a row that it left is compared only if both are in different components, their sizes
-allow a link, and the triangle inequality of the Jaccard distance to that leader does. All three
-tests are exact, so no link between components that share a bucket is lost, and no bucket of similar
-rows is expanded into all its pairs. Similarity is computed on the full sets, from the texts.
+Documents of equal sets become one row first, so copies are never paired. The rows of a table's bucket
+are compared with one leader, the row that shares most table keys with others (the centre of a
+group of copies, as a rule). What remains are links past a leader, between rows x and y of which
+x failed: seen from the leader a, the sets differ from it by the elements X and Y, and
+``|x xor y| = |X xor Y|``. So a similar pair shares all but a few elements of X, and a prefix-filter
+join over those differences (elements foreign to the leader first, with the filters for size,
+position and component) finds all such pairs among all rows of one leader. This is exact: no
+link between rows that share a bucket is lost, no bucket is expanded into its pairs, and there are no
+rounds. Similarity is computed on the full sets, from the texts.
 
 Defined cases: a null or blank text has no set, and is its own component. A text of fewer words than
 a shingle is one shingle, its whole sequence. Rows without a doc_id link with nothing and have no
@@ -35,10 +37,8 @@ from tessera.llm.store import stored
 
 #: Half keys in each of the two collections, minhashes in each half key.
 HALVES, ROWS = 10, 2
-#: Rows of a bucket that one task compares with their leader.
+#: Rows that one task compares with their leader.
 SHARE = 256
-#: Factor by which a bucket's leaders grow from round to round.
-GROWTH = 8
 
 _seeds = np.random.Generator(np.random.PCG64(85)).integers(
     1, 1 << 63, (2, 2 * HALVES * ROWS), np.uint64
@@ -109,10 +109,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def common_sizes(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``a, b, common, total`` of each pair: sizes of the intersection and union of the full sets.
+def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b, na, nb, common, total, differs`` of each pair, from the full sets of ``_id, text``.
 
-    A row ``a`` with many partners is sent, text and all, once for each share of them.
+    ``differs`` lists elements of one set alone, those of ``b`` first, as many as a prefix needs. A row
+    ``a`` with many partners is sent, text and all, once for each share of them.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("_shares"))
     dealt = stored(
@@ -120,7 +121,8 @@ def common_sizes(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             "a", "b", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int").alias("share")
         )
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    # Texts are joined by a shuffle at any size, never by sending one side to all.
+    texts = texts.hint("merge")
     partners = dealt.join(texts, F.col("b") == F.col("_id")).select("a", "share", "b", "text")
     leaders = (
         dealt.select("a", "share").distinct().join(texts, F.col("a") == F.col("_id"))
@@ -131,119 +133,106 @@ def common_sizes(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, share, b = (batch.column(c).to_pylist() for c in range(3))
-            rows = []
+            rows, differs = [], []
             for lo, hi, data, offsets in T.slices(batch.column(3)):
                 found, first = shingle_sets(data, offsets, size)
                 for k in range(lo, hi):
                     its = found[first[k - lo] : first[k - lo + 1]]
                     if b[k] is None:
                         at, own = (a[k], share[k]), its
-                    elif at == (a[k], share[k]):
-                        both = np.concatenate([own, its])
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        rows.append((a[k], b[k], common, len(both) - common))
-            columns = list(zip(*rows)) or [[], [], [], []]
+                    elif at == (a[k], share[k]) and len(own):
+                        place = np.minimum(np.searchsorted(own, its), len(own) - 1)
+                        hit = own[place] == its
+                        missing = np.ones(len(own), bool)
+                        missing[place[hit]] = False
+                        common = int(hit.sum())
+                        rows.append((a[k], b[k], len(own), len(its), common, len(own) + len(its) - common))
+                        both = np.concatenate([its[~hit], own[missing]])
+                        differs.append(T.signed(both[: slack(len(its), percent) + 1]))
+            columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["a", "b", "common", "total"]
+                [*(pa.array(c, pa.int64()) for c in columns), pa.array(differs, pa.list_(pa.int64()))],
+                ["a", "b", "na", "nb", "common", "total", "differs"],
             )
 
     return (
         partners.union(leaders)
         .repartition("a", "share")
         .sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-        .mapInArrow(run, "a long, b long, common long, total long")
+        .mapInArrow(
+            run, "a long, b long, na long, nb long, common long, total long, differs array<long>"
+        )
     )
 
 
-def _led(rows: DataFrame, leaders: int) -> DataFrame:
-    """``key, a, b, na, nb``: each row ``b`` of a bucket with its (first ``leaders``) smaller rows."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("b"))
-    placed = rows.select("key", "b", "n", place.alias("place"))
-    if leaders == 1:
-        every = Window.partitionBy("key").orderBy("b")
-        return (
-            placed.select(
-                "key", F.first("b").over(every).alias("a"), "b",
-                F.first("n").over(every).alias("na"), F.col("n").alias("nb"),
-            ).filter("a <> b")
-        )
-    placed = stored(placed)
-    first = placed.filter(F.col("place") <= leaders).select(
-        "key", F.col("b").alias("a"), F.col("n").alias("na")
-    )
-    return placed.join(first, "key").filter("a < b").select(
-        "key", "a", "b", "na", F.col("n").alias("nb")
-    )
+def slack(n, percent: int):
+    """Elements by which a set of ``n`` can differ from any set that is similar to it, at most."""
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
 
 
 def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: links between distinct sets that connect all that share a bucket and are similar."""
     similar = F.col("common") * 100 >= F.col("total") * percent
-    distance = 1 - F.col("common") / F.col("total")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    fits = small * 100 >= large * percent
     keys = reps.select(
-        "rep", "n", "half", F.posexplode(F.slice("half", 1, HALVES)).alias("i", "u")
-    ).select("rep", "n", "i", "u", F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "v"))
-    rows = keys.select(F.xxhash64("i", "u", "j", "v").alias("key"), F.col("rep").alias("b"), "n")
-    leaders = 1
-    todo = stored(_led(rows, leaders))
-    direct, rounds, known = None, [], None
-    while not todo.isEmpty():
-        pairs = todo.filter(fits).select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stored(common_sizes(pairs, docs, size).distinct())
-        known = fresh if known is None else known.unionByName(fresh)
-        judged = todo.join(known, ["a", "b"], "left").select(
-            "key", "a", "b", "nb",
-            F.coalesce(similar, F.lit(False)).alias("linked"),
-            F.coalesce(distance, 1 - small / large).alias("d"),
-        )
-        of_row = Window.partitionBy("key", "b")
-        rounds.append(
-            stored(judged.withColumn("by", F.min(F.when(F.col("linked"), F.col("a"))).over(of_row)))
-        )
-        fresh = fresh.filter(similar).select("a", "b")
-        direct = fresh if direct is None else direct.union(fresh)
-        was_leader = rounds[-1].select("key", F.col("a").alias("b")).distinct()
-        rest = rounds[-1].filter("by IS NULL").select("key", "b", F.col("nb").alias("n")).distinct()
-        leaders *= GROWTH
-        todo = stored(_led(rest.join(was_leader, ["key", "b"], "left_anti"), leaders))
-    if direct is None:
-        return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    direct = stored(direct)
-    return direct.union(_across(direct, rounds, known, docs, size, percent))
+        "rep", "half", F.posexplode(F.slice("half", 1, HALVES)).alias("i", "u")
+    ).select("rep", "i", "u", F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "v"))
+    rows = keys.select(F.xxhash64("i", "u", "j", "v").alias("key"), F.col("rep").alias("b"))
+    shared = stored(
+        rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    )
+    meets = shared.groupBy("b").agg(F.sum("n").alias("meets"))
+    central = Window.partitionBy("key").orderBy(F.col("meets").desc(), "b")
+    pairs = stored(
+        shared.join(meets, "b").select("key", "b", F.first("b").over(central).alias("a"))
+        .filter("a <> b").select("a", "b").distinct()
+    )
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").hint("merge")
+    texts = stored(ids.join(texts, "_id"))
+    judged = stored(compare(pairs, texts, size, percent).dropDuplicates(["a", "b"]).withColumn("linked", similar))
+    direct = judged.filter("linked").select("a", "b")
+    missed = _past_leaders(judged, components(direct), percent)
+    more = compare(missed, texts, size, percent).filter(similar).select("a", "b")
+    return direct.union(more)
 
 
-def _across(
-    direct: DataFrame, rounds: list[DataFrame], known: DataFrame, docs: DataFrame,
-    size: int, percent: int,
-) -> DataFrame:
-    """Links between a row that its leader took and one that it left, where one is possible."""
-    roots = components(direct).withColumnRenamed("node", "b")
-    pairs = None
-    for rows in rounds:
-        rows = rows.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
-        taken = rows.filter("linked AND a = by").alias("x")
-        left = rows.filter("NOT linked").alias("y")
-        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-        possible = (
-            taken.join(left, (x("key") == y("key")) & (x("a") == y("a")))
-            .filter(x("root") != y("root"))
-            .filter(F.least(x("nb"), y("nb")) * 100 >= F.greatest(x("nb"), y("nb")) * percent)
-            .filter(y("d") - x("d") <= 1 - percent / 100 + 1e-9)
-            .select(F.least(x("b"), y("b")).alias("a"), F.greatest(x("b"), y("b")).alias("b"))
-        )
-        pairs = possible if pairs is None else pairs.union(possible)
-    pairs = stored(pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return pairs
-    return (
-        common_sizes(pairs, docs, size)
-        .filter(F.col("common") * 100 >= F.col("total") * percent)
-        .select("a", "b")
+def _past_leaders(judged: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of rows of one leader that may be similar and are not connected so far.
+
+    Let x be the row that failed, the one with the larger difference X if both did, and c be
+    (100 - percent) / (100 + percent). They are similar if ``|X xor Y| <= c (|x| + |y|)``. Then X has at
+    most ``slack`` elements outside Y, and as ``|X| > c (|x| + |a|)``, Y has at most
+    ``(|Y| + c (|y| - |a|)) / 2`` outside X, nor more than half the slack if it is the smaller one. So,
+    in the order common to all, a prefix of each longer by one has an element of both.
+    """
+    differ = F.col("total") - F.col("common")
+    roots = roots.withColumnRenamed("node", "b")
+    rows = judged.join(roots, "b", "left").select(
+        "a", "b", "linked", "na", F.col("nb").alias("n"), F.coalesce("root", "b").alias("root"),
+        differ.alias("d"), "differs",
+    )
+    plain = ["a", "b", "linked", "n", "root", "d"]
+    ratio = (100 - percent) / (100 + percent)
+    outside = (F.col("d") + F.greatest(F.col("n") - F.col("na"), F.lit(0)) * ratio) / 2
+    most = F.expr(f"({100 - percent} * (n + n * 100 div {percent})) div {100 + percent}")
+    outside = F.floor(F.when(F.col("linked"), outside).otherwise(F.least(outside, most / 2)))
+    probes = rows.filter("NOT linked").select(*plain, F.posexplode("differs").alias("at", "e")).alias("x")
+    listed = rows.select(
+        *plain, F.posexplode(F.slice("differs", F.lit(1), (outside + 1).cast("int"))).alias("at", "e")
+    ).alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    allowed = F.floor((x("n") + y("n")) * (100 - percent) / (100 + percent))
+    needed = F.ceil((x("d") + y("d") - allowed) / 2)
+    smaller = y("linked") | (y("d") < x("d")) | ((y("d") == x("d")) & (y("b") < x("b")))
+    possible = (
+        (x("a") == y("a")) & (x("e") == y("e")) & (x("root") != y("root")) & smaller
+        & (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent)
+        & (needed <= F.least(x("d") - x("at"), y("d") - y("at")))
+    )
+    return stored(
+        probes.join(listed, possible)
+        .select(F.least(x("b"), y("b")).alias("a"), F.greatest(x("b"), y("b")).alias("b"))
+        .distinct()
     )
 
 
@@ -256,7 +245,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .agg(
             F.min("doc_id").alias("rep"),
             F.min_by("half", "doc_id").alias("half"),
-            F.max("n_shingles").alias("n"),
         )
     )
     roots = components(links(reps, docs, size, percent))
