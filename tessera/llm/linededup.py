@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A chunk ends after a line where a rolling hash over the hashes of it and the line before is 0 modulo
-``LINES``; so boundaries follow the content, and a passage that starts at another place in another
-document falls into the same chunks after its first one. Chunks of two or more lines that are not blank
+A chunk ends after a line where a rolling hash over the hashes of it and the line before is smaller than
+at both neighbours; so boundaries follow the content alone, chunks have two lines at least and three in
+the mean, and a passage that starts at another place in another document falls into the same
+chunks after its first one. Chunks of two or more lines that are not blank
 are looked up by hash over all documents. The first occurrence (smallest doc_id, then position)
 stays; any other is removed once its bytes equal those of the first.
 
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from tessera.llm import text as T
 from tessera.llm.store import stored
 
-#: Mean lines of a chunk.
-LINES = 3
 #: Occurrences of a chunk that one task compares with the first.
 SHARE = 512
 NEWLINE = 0x0A
@@ -55,10 +54,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     start = np.concatenate([start[start < len(data)], ended])
     order = np.lexsort((start, owner))
     start, owner = start[order], owner[order]
+    if not len(owner):
+        return Chunks(start, start, np.zeros(0, np.uint64), start, np.zeros(len(offsets), np.int64))
     stop = np.searchsorted(breaks, start)
     end = np.append(breaks, len(data))[stop]
-    end = np.minimum(end, offsets[owner + 1]) if len(owner) else end
-    end = np.maximum(end, start)
+    end = np.maximum(np.minimum(end, offsets[owner + 1]), start)
     words = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~T.SPACE[data], out=words[1:])
     solid = words[end] > words[start]
@@ -66,17 +66,22 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     new = np.ones(len(owner) + 1, bool)
     new[1:-1] = owner[1:] != owner[:-1]
     before = np.where(new[:-1], T.U(0), np.roll(line, 1))
-    cut = T.mix(line + before * T.U(31)) % T.U(LINES) == 0
-    opens = np.flatnonzero(new[:-1] | np.append([True], cut)[:-1]) if len(owner) else np.zeros(0, int)
+    rolled = T.mix(line + before * T.U(31))
+    # A line opens a chunk if the one before it is a minimum within its document, but for the last.
+    opens = new[:-1].copy()
+    if len(rolled) > 3:
+        low = (rolled[1:-2] < rolled[:-3]) & (rolled[1:-2] <= rolled[2:-1])
+        inside = (owner[:-3] == owner[1:-2]) & (owner[1:-2] == owner[3:])
+        opens[2:-1] |= low & inside
+    opens = np.flatnonzero(opens)
     closes = np.append(opens[1:], len(owner))
     counts = np.zeros(len(owner) + 1, np.int64)
     np.cumsum(solid, out=counts[1:])
     last = closes - 1
     whole = T.span_hash(T._BYTES[1][data], start[opens], end[last], 1)
-    of = owner[opens] if len(opens) else opens
     return Chunks(
         start[opens], end[last], whole, counts[closes] - counts[opens],
-        np.searchsorted(of, np.arange(len(offsets))),
+        np.searchsorted(owner[opens], np.arange(len(offsets))),
     )
 
 
@@ -235,8 +240,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             )
 
     zero = docs.withColumns({"_lines_removed": spare, "_chunks_removed": spare})
-    marked = numbered.join(gone, numbered.doc_id.cast("long") == F.col("_id"), "left").select(
-        *[numbered[c] for c in names], "_gone"
+    marked = numbered.join(gone, numbered["doc_id"].cast("long") == gone["_id"], "left").select(
+        *[numbered[c] for c in names], gone["_gone"]
     )
     rewritten = marked.mapInArrow(run, zero.schema)
     untouched = docs.filter("doc_id IS NULL").withColumns(

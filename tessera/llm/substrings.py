@@ -45,7 +45,8 @@ class Block:
     def __init__(self, docs: pa.Table, base: int, buckets: int) -> None:
         docs = docs.combine_chunks()
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = np.asarray(docs.column("doc_id"))
+        self.doc_ids = docs.column("doc_id")
+        self.ids = np.asarray(self.doc_ids.fill_null(0))
         self.base, self.buckets = base, buckets
         parts: list[list[np.ndarray]] = [[], [], []]
         self.words: list[tuple[T.Words, int]] = []
@@ -253,7 +254,9 @@ def _kept(block: Block, gone: np.ndarray, texts: bool) -> pa.Table:
             digest.append(hashlib.sha256(joined).hexdigest())
             kept_text.append(joined.decode() if texts else None)
         at += len(w.start)
-    columns = [pa.array(block.ids), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)]
+    columns = [
+        block.doc_ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
+    ]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     if texts:
         columns.append(pa.array(kept_text, pa.string()))
