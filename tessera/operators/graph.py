@@ -1,8 +1,8 @@
 """Graph analytics on node and edge tables, for all locations at once.
 
-Components up to ``SMALL_COMPONENT`` nodes are solved inside tasks on dense arrays, split into
-slices of source nodes so no task owns more than a bounded piece. Larger components take the
-join-based routes below; both give the same numbers.
+Shortest paths of components up to ``SMALL_COMPONENT`` nodes are solved inside tasks on dense arrays,
+split into slices of source nodes so no task owns more than a bounded piece. Larger components take the
+join-based routes below; both give the same numbers. Fiedler values have one route for all sizes.
 """
 
 from __future__ import annotations
@@ -118,6 +118,9 @@ def _slice_paths(part: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(v, kind="stable")
     u, v, w = u[order], v[order], w[order]
     starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    # Sorted by either end, an edge and its reverse stand at the same place.
+    reverse = np.empty(m, int)
+    reverse[np.lexsort((w, u, v))] = np.lexsort((w, v, u))
     lo = int(part["slice"].iloc[0]) * SOURCES_PER_SLICE
     mine = np.arange(lo, min(lo + SOURCES_PER_SLICE, n))
     out = {k: np.zeros(n) for k in ("reach", "dist_sum", "hop_sum", "hop_max", "dependency")}
@@ -133,8 +136,10 @@ def _slice_paths(part: pd.DataFrame) -> pd.DataFrame:
         out["hop_sum"][src] = hops.sum(axis=1)
         out["hop_max"][src] = hops.max(axis=1)
         tight = np.abs(dist[:, u] + w - dist[:, v]) <= TIE * np.maximum(1.0, dist[:, v])
-        if (w <= 0).any():
-            # Zero-length edges: keep only those that lead one hop further at equal distance.
+        both = tight & tight[:, reverse]
+        if both.any():
+            # Edges as short as the tolerance are tight both ways: keep only those that lead one
+            # hop further.
             depth = np.full_like(dist, np.inf)
             depth[rows, src] = 0
             while True:
@@ -142,7 +147,7 @@ def _slice_paths(part: pd.DataFrame) -> pd.DataFrame:
                 if not (best < depth).any():
                     break
                 depth = np.minimum(depth, best)
-            tight &= (w > 0) | (depth[:, u] + 1 == depth[:, v])
+            tight &= ~both | (depth[:, u] + 1 == depth[:, v])
         sigma = np.zeros_like(dist)
         wave = np.zeros_like(dist)
         wave[rows, src] = 1.0
@@ -230,7 +235,13 @@ def _large_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         .filter(slack <= TIE * F.greatest(F.lit(1.0), "d"))
         .select(KEY, "s", "u", "v", "w")
     )
-    if not tight.filter("w <= 0").isEmpty():
+    back_too = tight.select(KEY, "s", F.col("u").alias("v"), F.col("v").alias("u")).distinct()
+    tight = cut(
+        tight.join(back_too.withColumn("both", F.lit(True)), [KEY, "s", "u", "v"], "left").withColumn(
+            "both", F.coalesce("both", F.lit(False))
+        )
+    )
+    if not tight.filter("both").isEmpty():
         depth = cut(sources.select(KEY, F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("h")))
         fresh = depth
         while not fresh.isEmpty():
@@ -246,10 +257,10 @@ def _large_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         tight = cut(
             tight.join(from_u, [KEY, "s", "u"])
             .join(depth, [KEY, "s", "v"])
-            .filter("w > 0 OR hu + 1 = h")
-            .select(KEY, "s", "u", "v", "w")
+            .filter("NOT both OR hu + 1 = h")
+            .select(KEY, "s", "u", "v")
         )
-    tight = tight.drop("w")
+    tight = tight.select(KEY, "s", "u", "v")
     start = sources.select(KEY, F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("val"))
     sigma = _spread(start, tight, "u", "v")
     back = _spread(sigma.withColumn("val", F.lit(1.0) / F.col("val")), tight, "v", "u")
@@ -451,90 +462,72 @@ def laplacian(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 FIEDLER_SCHEMA = "location_id long, component string, fiedler double"
 
 
-def _dense_fiedler(part: pd.DataFrame) -> pd.DataFrame:
-    names, codes = np.unique(np.concatenate([part["u"], part["v"]]).astype(str), return_inverse=True)
-    m = len(part)
-    matrix = np.zeros((len(names), len(names)))
-    np.add.at(matrix, (codes[:m], codes[m:]), -part["w"].to_numpy(float))
-    matrix[np.diag_indices(len(names))] = -matrix.sum(axis=1)
-    value = np.linalg.eigvalsh(matrix)[1]
-    row = {KEY: part[KEY].iloc[0], "component": part["component"].iloc[0], "fiedler": max(0.0, value)}
-    return pd.DataFrame([row])
+def _inverse_apply(degree: np.ndarray, u, v, w, rhs: np.ndarray) -> np.ndarray:
+    """Solve L x = rhs orthogonal to the constant vector, by conjugate gradients scaled by degree."""
 
+    def smooth(r: np.ndarray) -> np.ndarray:
+        z = r / degree
+        return z - z.mean()
 
-def _ritz(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("k")
-    off = np.sqrt(np.maximum(part["beta2"].to_numpy(float)[:-1], 0.0))
-    values = np.linalg.eigvalsh(np.diag(part["alpha"].to_numpy(float)) + np.diag(off, 1) + np.diag(off, -1))
-    row = {KEY: part[KEY].iloc[0], "component": part["component"].iloc[0], "fiedler": max(0.0, values[0])}
-    return pd.DataFrame([row])
-
-
-def _lanczos_fiedler(links: DataFrame, steps: int = 300, check_every: int = 10) -> DataFrame:
-    """Smallest non-zero Laplacian eigenvalue of large components, by Lanczos over joins.
-
-    The vectors stay orthogonal to the constant vector, whose eigenvalue is 0. Only the two
-    coefficients per step and component are ever brought together.
+    x, r = np.zeros_like(rhs), rhs - rhs.mean()
+    goal = 1e-13 * np.linalg.norm(r)
+    if goal == 0:
+        return x
+    z = smooth(r)
+    p, rz, best, stale = z, r @ z, np.inf, 0
+    while True:
+        lp = degree * p - np.bincount(u, w * p[v], len(degree))
+        step = rz / (p @ lp)
+        x += step * p
+        r -= step * lp
+        size = np.linalg.norm(r)
+        # Rounding ends the descent at some size; the outer iteration corrects what is left.
+        stale = 0 if size < 0.5 * best else stale + 1
+        best = min(best, size)
+        if size <= goal or stale > 2 * len(degree) + 50:
+            return x - x.mean()
+        z = smooth(r)
+        new = r @ z
+        p, rz = z + new / rz * p, new
+
+
+def _component_fiedler(part: pd.DataFrame) -> pd.DataFrame:
+    """Smallest non-zero Laplacian eigenvalue of one component, from its edges alone.
+
+    Inverse iteration on a small subspace of vectors orthogonal to the constant one; it stops at
+    the residual bound (an eigenvalue lies within the residual of the estimate), for any size.
     """
-    group = [KEY, "component"]
-    links = cut(links.select(*group, "u", "v", "w"))
-    start = F.xxhash64("u") / F.lit(2.0**63)
-    raw = links.groupBy(*group, "u").agg(F.sum("w").alias("deg")).withColumn("x", start)
-
-    def unit(df: DataFrame) -> DataFrame:
-        """Remove the mean of ``x``, scale to length 1, keep the squared length as beta2."""
-        mean = df.groupBy(*group).agg(F.avg("x").alias("mean"))
-        centred = df.join(mean, group).withColumn("x", F.col("x") - F.col("mean")).drop("mean")
-        length = centred.groupBy(*group).agg(F.sum(F.col("x") * F.col("x")).alias("beta2"))
-        return centred.join(length, group).filter("beta2 > 1e-20").withColumn("x", F.col("x") / F.sqrt("beta2"))
-
-    state = cut(unit(raw).withColumn("prev", F.lit(0.0)).withColumn("beta", F.lit(0.0)))
-    coefficients, last = None, None
-    for k in range(steps):
-        pulled = (
-            links.join(state.select(*group, F.col("u").alias("v"), "x"), [*group, "v"])
-            .groupBy(*group, "u")
-            .agg(F.sum(F.col("w") * F.col("x")).alias("ax"))
-        )
-        applied = state.join(pulled, [*group, "u"]).withColumn("y", F.col("deg") * F.col("x") - F.col("ax"))
-        alpha = applied.groupBy(*group).agg(F.sum(F.col("x") * F.col("y")).alias("alpha"))
-        rest = applied.join(alpha, group).select(
-            *group, "u", "deg", "alpha", F.col("x").alias("prev"),
-            (F.col("y") - F.col("alpha") * F.col("x") - F.col("beta") * F.col("prev")).alias("x"),
-        )
-        rest = cut(rest)
-        nxt = cut(unit(rest).withColumn("beta", F.sqrt("beta2")))
-        row = (
-            rest.groupBy(*group)
-            .agg(F.first("alpha").alias("alpha"))
-            .join(nxt.groupBy(*group).agg(F.first("beta2").alias("beta2")), group, "left")
-            .select(*group, F.lit(k).alias("k"), "alpha", F.coalesce("beta2", F.lit(0.0)).alias("beta2"))
-        )
-        coefficients = cut(row if coefficients is None else coefficients.unionByName(row))
-        state = nxt.drop("beta2", "alpha")
-        finished = state.isEmpty()
-        if finished or (k + 1) % check_every == 0:
-            now = cut(coefficients.groupBy(*group).applyInPandas(_ritz, FIEDLER_SCHEMA))
-            if last is not None or finished:
-                moving = finished or last.withColumnRenamed("fiedler", "old").join(now, group).filter(
-                    F.abs(F.col("fiedler") - F.col("old")) > 1e-9 * F.greatest(F.lit(1.0), "fiedler")
-                ).isEmpty()
-                if moving:
-                    return now
-            last = now
-    # Not converged: report null rather than a wrong number.
-    return last.withColumn("fiedler", F.lit(None).cast("double"))
+    names, codes = np.unique(np.concatenate([part["u"], part["v"]]).astype(str), return_inverse=True)
+    n, m = len(names), len(part)
+    u, v, w = codes[:m], codes[m:], part["w"].to_numpy(float)
+    degree = np.bincount(u, w, n)
+    draw = np.random.Generator(np.random.PCG64(n))
+    q = draw.normal(size=(n, min(4, n - 1)))
+    value, before = 0.0, np.inf
+    while True:
+        q, _ = np.linalg.qr(q - q.mean(axis=0))
+        lq = degree[:, None] * q - np.stack([np.bincount(u, w * x[v], n) for x in q.T], axis=1)
+        values, turn = np.linalg.eigh(q.T @ lq)
+        q, lq = q @ turn, lq @ turn
+        value = float(values[0])
+        residual = np.linalg.norm(lq[:, 0] - value * q[:, 0])
+        floor = 1e-14 * degree.max() * np.sqrt(n)
+        # The error of the value is of the order of the residual squared.
+        if residual <= max(1e-7 * value, floor) or abs(before - value) <= 1e-15 * value:
+            break
+        before = value
+        q = np.stack([_inverse_apply(degree, u, v, w, x) for x in q.T], axis=1)
+    row = {KEY: part[KEY].iloc[0], "component": part["component"].iloc[0], "fiedler": max(0.0, value)}
+    return pd.DataFrame([row])
 
 
 def component_fiedler(
-    nodes: DataFrame,
-    edges: DataFrame,
-    small: int = SMALL_COMPONENT,
-    components: DataFrame | None = None,
+    nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None
 ) -> DataFrame:
     """``location_id, component, size, fiedler`` of every component with two or more nodes.
 
     A component held together only by zero-weight edges is split for the Laplacian: exactly 0.
+    Every component has a value; one task holds the edges of one component, whatever its size.
     """
     parts = cut(components if components is not None else connected_components(nodes, edges))
     sizes = component_sizes(parts).filter("size >= 2")
@@ -548,14 +541,7 @@ def component_fiedler(
     whole = sizes.join(solid_sizes.select(KEY, "component", F.col("size").alias("solid")), [KEY, "component"]).filter("size = solid")
     members = solid.join(whole.select(KEY, "component", "size"), [KEY, "component"])
     links = both_ways(weighted).join(members.withColumnRenamed("node", "u"), [KEY, "u"])
-    values = (
-        links.filter(F.col("size") <= small)
-        .groupBy(KEY, "component")
-        .applyInPandas(_dense_fiedler, FIEDLER_SCHEMA)
-    )
-    big = links.filter(F.col("size") > small)
-    if not big.isEmpty():
-        values = values.unionByName(_lanczos_fiedler(big))
+    values = links.groupBy(KEY, "component").applyInPandas(_component_fiedler, FIEDLER_SCHEMA)
     pending = values.withColumn("solved", F.lit(True))
     return sizes.join(pending, [KEY, "component"], "left").select(
         KEY, "component", "size",
@@ -567,11 +553,9 @@ def graph_fiedler(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """Algebraic connectivity of each whole graph: 0 unless it is one component."""
     n = nodes.groupBy(KEY).agg(F.count("*").alias("n"))
     full = n.join(parts.select(KEY, "size", "fiedler"), KEY, "left").groupBy(KEY).agg(
-        F.max(F.when(F.col("size") == F.col("n"), F.col("fiedler"))).alias("fiedler"),
-        F.count_if((F.col("size") == F.col("n")) & F.col("fiedler").isNull()).alias("unsolved"),
+        F.max(F.when(F.col("size") == F.col("n"), F.col("fiedler"))).alias("fiedler")
     )
-    value = F.when(F.col("unsolved") > 0, F.lit(None)).otherwise(F.coalesce("fiedler", F.lit(0.0)))
-    return full.select(KEY, value.alias("fiedler"))
+    return full.select(KEY, F.coalesce("fiedler", F.lit(0.0)).alias("fiedler"))
 
 
 # --- robustness ---------------------------------------------------------------------------

@@ -42,12 +42,27 @@ def test_fiedler(network):
     assert all(math.isclose(v, 2.0) for v in per_part) and len(per_part) == 2
 
 
-def test_fiedler_by_lanczos(network):
-    direct = values(graph.component_fiedler(*network), "location_id", "component", "fiedler")
-    joined = values(graph.component_fiedler(*network, small=1), "location_id", "component", "fiedler")
-    assert direct.keys() == joined.keys()
-    for k in direct:
-        assert math.isclose(direct[k], joined[k], abs_tol=1e-7)
+def test_fiedler_of_large_components(spark):
+    """Where the closed form is known: a path and a lattice, past any size solved densely."""
+    path = [(1, f"p{k:04}", f"p{k + 1:04}", 1.0) for k in range(1599)]
+    lattice = [(2, f"{i:02}.{j:02}", f"{i + 1:02}.{j:02}", 1.0) for i in range(99) for j in range(100)]
+    lattice += [(2, f"{i:02}.{j:02}", f"{i:02}.{j + 1:02}", 1.0) for i in range(100) for j in range(99)]
+    edges = spark.createDataFrame(path + lattice, "location_id long, src string, dst string, weight double")
+    nodes = edges.selectExpr("location_id", "explode(array(src, dst)) AS node").distinct()
+    got = values(graph.component_fiedler(nodes, edges), "location_id", "fiedler")
+    for place, n in {1: 1600, 2: 100}.items():
+        assert math.isclose(got[(place,)], 2 - 2 * math.cos(math.pi / n), rel_tol=1e-8)
+
+
+def test_edges_shorter_than_a_float_step_end(spark):
+    edges = [(1, "a", "b", 5000.0), (1, "b", "c", 1.9e-9), (1, "c", "d", 5000.0)]
+    frame = spark.createDataFrame(edges, "location_id long, src string, dst string, weight double")
+    nodes = spark.createDataFrame([(1, n) for n in "abcd"], "location_id long, node string")
+    for size in (1500, 1):
+        stats = graph.path_statistics(nodes, frame, small=size)
+        hub = values(graph.betweenness(stats), "location_id", "node", "betweenness")
+        assert math.isclose(hub[(1, "b")], 2 / 3) and math.isclose(hub[(1, "c")], 2 / 3)
+        assert hub[(1, "a")] == hub[(1, "d")] == 0.0
 
 
 def test_paths(network):
