@@ -16,7 +16,8 @@ stays below 2**53, in int64 beyond that.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without a
 vec_id, take no part. Shorter vectors count as filled up with zeros. Ties go to the smaller vec_id. A
-query never finds rows of its own vec_id; other repeated rows are candidates each. A query with fewer
+query never finds rows of its own vec_id; other repeated rows are candidates each. Repeated rows that
+select a query are one query. A query with fewer
 than k candidates gets them all. Score and components must fit a long.
 """
 
@@ -136,7 +137,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     asked = rows.filter("asks").select(
         F.col("vec_id").alias("asked_id"), F.col("embedding").alias("asked"),
         F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("to_block"),
-    )
+    ).dropDuplicates(["asked_id"])
 
     def lists(left: pa.Table, right: pa.Table) -> Lists | None:
         return Lists(right, left) if left.num_rows and right.num_rows else None
