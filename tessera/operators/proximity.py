@@ -148,8 +148,17 @@ def _ring_search(
     """Minimum of ``answer`` over targets at growing radius until every probe has one.
 
     A probe settled within the radius is exact; the rest try twice the radius, with cells as
-    large, so a round never spreads a probe over more than nine cells.
+    large, so a round never spreads a probe over more than nine cells. Probes and targets without
+    finite coordinates never meet; they are set aside first and have no answer.
     """
+
+    def placed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        for c in columns:
+            df = df.filter(F.col(c).isNotNull() & (F.abs(c) < float("inf")))
+        return df
+
+    targets = placed(targets, target_box)
+    probes = placed(probes, ("px", "py"))
     left = cut(probes.join(targets.select(plane).distinct(), plane, "left_semi"))
     radius, parts = float(start), []
     while not left.isEmpty():

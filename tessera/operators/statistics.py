@@ -395,7 +395,7 @@ def nearest_site(df: DataFrame, sites: DataFrame, max_sites: int = 1000) -> Data
     """The closest of a short list of sites for every row; the list rides along as one array.
 
     ``sites`` has ``location_id, latitude, longitude, name, radius``. Longer lists than
-    ``max_sites`` are searched by grid rings instead.
+    ``max_sites`` are searched by grid rings instead. A row without finite coordinates has no site.
     """
     listed = sites.select(
         F.col(KEY).alias("site_id"),
@@ -418,7 +418,11 @@ def nearest_site(df: DataFrame, sites: DataFrame, max_sites: int = 1000) -> Data
         found = nearest_by_rings(
             probes, targets, [KEY], "site_id", start=0.5, plane="_plane"
         ).select(KEY, "site_id")
-        return df.join(found, KEY).join(listed, "site_id").drop("site_lat", "site_lon")
+        return (
+            df.join(found, KEY, "left")
+            .join(listed, "site_id", "left")
+            .drop("site_lat", "site_lon")
+        )
     columns = ["site_id", "site", "radius"]
     array = F.array(
         *[F.struct(*[F.lit(row[c]).alias(c) for c in listed.columns]) for row in rows]
@@ -432,6 +436,7 @@ def nearest_site(df: DataFrame, sites: DataFrame, max_sites: int = 1000) -> Data
             ),
         )
     )
-    return df.withColumn("_best", best).select(
+    finite = (F.abs("latitude") < float("inf")) & (F.abs("longitude") < float("inf"))
+    return df.withColumn("_best", F.when(finite, best)).select(
         *[c for c in df.columns if c not in columns], *[F.col(f"_best.{c}").alias(c) for c in columns]
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_RADIUS_M = 2000
@@ -64,11 +66,22 @@ def seven_cities(spark: SparkSession, default_radius: int = DEFAULT_RADIUS_M) ->
     )
 
 
+def drawn(seed: int, row: Column) -> Column:
+    """A uniform number of [0, 1) from the seed and the row's key, the same at every retry."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), row), 11) / F.lit(2.0**53)
+
+
+def drawn_normal(seed: int, row: Column) -> Column:
+    """A standard normal number from two uniform ones."""
+    size = F.sqrt(-2 * F.log1p(-drawn(seed, row)))
+    return size * F.cos(2 * math.pi * drawn(~seed, row))
+
+
 def _uniform_rows(spark: SparkSession, n: int, seed: int) -> DataFrame:
     b = NATIONAL_BOUNDS
     return spark.range(n).select(
-        (F.lit(b["south"]) + F.rand(seed) * (b["north"] - b["south"])).alias("latitude"),
-        (F.lit(b["west"]) + F.rand(seed + 1) * (b["east"] - b["west"])).alias("longitude"),
+        (F.lit(b["south"]) + drawn(seed, F.col("id")) * (b["north"] - b["south"])).alias("latitude"),
+        (F.lit(b["west"]) + drawn(seed + 1, F.col("id")) * (b["east"] - b["west"])).alias("longitude"),
         F.col("id"),
     )
 
@@ -87,8 +100,8 @@ def sample_locations_weighted(cities: DataFrame, n: int, seed: int = 42) -> Data
     ).filter(F.col("before") < n)
     near = placed.select(
         F.col("before").cast("long").alias("location_id"),
-        (F.col("latitude") + F.randn(seed) * sigma).alias("latitude"),
-        (F.col("longitude") + F.randn(seed + 1) * sigma).alias("longitude"),
+        (F.col("latitude") + drawn_normal(seed, F.col("before")) * sigma).alias("latitude"),
+        (F.col("longitude") + drawn_normal(seed + 1, F.col("before")) * sigma).alias("longitude"),
         "type",
     )
     taken = placed.count()
@@ -115,13 +128,13 @@ def sample_locations_choice(cities: DataFrame, n: int, seed: int = 42) -> DataFr
     intervals = cities.withColumn("high", F.round(share, 12)).withColumn(
         "low", F.coalesce(F.lag("high").over(Window.orderBy("city_order")), F.lit(0.0))
     )
-    draws = spark.range(picks).withColumn("u", F.rand(seed))
+    draws = spark.range(picks).withColumn("u", drawn(seed, F.col("id")))
     near = draws.join(
         F.broadcast(intervals), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
     ).select(
         F.col("id").alias("location_id"),
-        (F.col("latitude") + F.randn(seed + 1) * 0.1).alias("latitude"),
-        (F.col("longitude") + F.randn(seed + 2) * 0.1).alias("longitude"),
+        (F.col("latitude") + drawn_normal(seed + 1, F.col("id")) * 0.1).alias("latitude"),
+        (F.col("longitude") + drawn_normal(seed + 2, F.col("id")) * 0.1).alias("longitude"),
     )
     rest = _uniform_rows(spark, n - picks, seed + 3).select(
         (F.col("id") + picks).alias("location_id"), "latitude", "longitude"
@@ -142,7 +155,7 @@ def sample_locations_cycle(
             "city_order",
             *[
                 (
-                    F.col(c) + F.when(jitter, F.rand(seed + i) - F.lit(0.5)).otherwise(F.lit(0.0))
+                    F.col(c) + F.when(jitter, drawn(seed + i, F.col("location_id")) - F.lit(0.5)).otherwise(F.lit(0.0))
                 ).alias(c)
                 for i, c in enumerate(("latitude", "longitude"))
             ],

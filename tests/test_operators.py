@@ -73,10 +73,27 @@ def test_ring_search_reaches_far(spark):
 
 def test_nearest_site_long_list(spark):
     sites = loc.curated_locations(spark)
-    rows = spark.createDataFrame([(1, 35.0, 139.0), (2, 40.0, -74.0)], "location_id long, latitude double, longitude double")
+    given = [(1, 35.0, 139.0), (2, 40.0, -74.0), (3, None, 139.0), (4, 35.0, float("nan"))]
+    rows = spark.createDataFrame(given, "location_id long, latitude double, longitude double")
     short = {r.location_id: r.site for r in st.nearest_site(rows, sites).collect()}
     rings = {r.location_id: r.site for r in st.nearest_site(rows, sites, max_sites=3).collect()}
     assert short == rings
+    assert short[3] is None and short[4] is None and short[1] and short[2]
+
+
+def test_draws_repeat_whatever_the_partitions(spark):
+    cities = loc.seven_cities(spark).selectExpr("location_id AS city_order", "latitude", "longitude")
+    wanted = spark.range(1, 60).withColumnRenamed("id", "location_id")
+    n = cities.count()
+    first, second = (
+        sorted(tuple(r) for r in loc.sample_locations_cycle(wanted.repartition(k), cities, n).collect())
+        for k in (1, 5)
+    )
+    assert first == second
+    moved = spark.range(20_000).agg(
+        F.avg(loc.drawn_normal(3, F.col("id"))).alias("m"), F.stddev(loc.drawn_normal(3, F.col("id"))).alias("s")
+    ).first()
+    assert abs(moved.m) < 0.03 and abs(moved.s - 1) < 0.03
 
 
 # --- order and quantiles ------------------------------------------------------------------
