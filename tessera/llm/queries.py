@@ -33,7 +33,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-@query("op2_substrings")
+SUBSTRINGS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM (
+    SELECT doc_id, p, array_to_string(list_slice(words, p, p + 19), ' ') AS k
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM w))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM starts WHERE nth > 1),
+kept AS (
+  SELECT doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) x
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op2_substrings", SUBSTRINGS_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substrings.substring_dedup(docs, size=20, levels=2, texts=False)
@@ -98,6 +116,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_neardup")
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(list_slice(words, p, p + 2), ' ') FOR p IN range(1, len(words) - 1)]) END AS s FROM w),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(s) AS n FROM shingles WHERE len(s) > 0 GROUP BY ALL),
+one AS (SELECT rep, n, unnest(s) AS e FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.e = b.e AND a.rep < b.rep
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep, rep AS node FROM classes UNION SELECT r.rep, e.b FROM reach r JOIN ends e ON e.a = r.node),
+roots AS (SELECT rep, min(node) AS root FROM reach GROUP BY rep)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id,
+  coalesce(r.root, s.doc_id) = s.doc_id AS kept
+FROM shingles s LEFT JOIN classes c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOIN roots r ON r.rep = c.rep"""
+
+
+@query("op10_neardup", NEARDUP_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
