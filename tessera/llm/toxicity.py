@@ -26,13 +26,14 @@ BITS, FACTORS, MAX_TRAINING_DOCS = 18, 4, 12_000
 STEMS = (4, 5)
 #: Share of the training documents, and their number at least, that a term must occur in.
 MIN_SHARE, MIN_DOCS = 1 / 800, 2
-EPOCHS, BATCH = 4, 128
+EPOCHS, BATCH = 10, 128
 #: Step sizes of the weights and of the factors, L1 strength of the weights, L2 of the factors.
-RATE, PAIR_RATE, SPARSE, DECAY = 0.3, 0.02, 1e-3, 1e-4
+RATE, PAIR_RATE, SPARSE, DECAY = 0.3, 0.1, 1e-3, 1e-3
 #: Weight of a positive training document.
 POSITIVE = 3.0
-#: Scale of the terms in the pair part, which sums over the square of their number.
-PAIR_SCALE = 0.05
+#: Scale of the terms in the pair part, which sums over the square of their number: ``PAIR_NORM`` over
+#: the root of that number, and ``PAIR_SCALE`` at most.
+PAIR_SCALE, PAIR_NORM = 0.3, 2.0
 
 KINDS = np.where(L.TERM_KINDS == 1, 1, 0).astype(np.uint8)
 
@@ -52,10 +53,16 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> L.Terms:
     )
 
 
+def pair_scale(first: np.ndarray) -> np.ndarray:
+    """Scale of each term in the pair part of its document."""
+    count = np.diff(first)
+    return np.repeat(np.minimum(PAIR_SCALE, PAIR_NORM / np.sqrt(np.maximum(count, 1))), count)[:, None]
+
+
 def logits(
     found: np.ndarray, first: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray
 ) -> np.ndarray:
-    vx = v[found] * PAIR_SCALE
+    vx = v[found] * pair_scale(first)
     total = L.doc_sums(vx, first)
     pairs = 0.5 * ((total**2).sum(1) - L.doc_sums((vx**2).sum(1), first))
     return w0 + L.doc_sums(w[found], first) + pairs
@@ -80,7 +87,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray) -> bytes:
             found = np.concatenate(part)
             first = np.concatenate([[0], np.cumsum([len(d) for d in part])])
             owner = np.repeat(np.arange(len(part)), np.diff(first))
-            vx = v[found] * PAIR_SCALE
+            scale = pair_scale(first)
+            vx = v[found] * scale
             total = L.doc_sums(vx, first)
             pairs = 0.5 * ((total**2).sum(1) - L.doc_sums((vx**2).sum(1), first))
             error = L.sigmoid(w0 + L.doc_sums(w[found], first) + pairs) - label
@@ -91,7 +99,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray) -> bytes:
             w -= rate * step
             w = np.sign(w) * np.maximum(np.abs(w) - rate * SPARSE, 0.0)
             for f in range(FACTORS):
-                pull = error[owner] * (total[owner, f] - vx[:, f]) * PAIR_SCALE
+                pull = error[owner] * (total[owner, f] - vx[:, f]) * scale[:, 0]
                 step = np.bincount(found, pull, len(kept)) + DECAY * v[:, f]
                 gv[:, f] += step**2
                 v[:, f] -= PAIR_RATE * step / np.sqrt(gv[:, f])

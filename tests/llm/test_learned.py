@@ -115,3 +115,41 @@ def test_no_language_learned(documents):
     rows = language.languages(documents([(1, "abc"), (2, None)], langs=[None, "x"])).collect()
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
     assert language.languages(documents([])).count() == 0
+
+
+def test_toxicity_learns_pairs_with_the_constants_of_production():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import text as T
+
+    draw = random.Random(12)
+    vocabulary = [f"word{k}" for k in range(2000)]
+
+    def sample(n):
+        texts, kinds = [], []
+        for _ in range(n):
+            words = [draw.choice(vocabulary) for _ in range(draw.randrange(5, 60))]
+            kind = draw.choice(["plain", "plain", "toxic", "crossed"])
+            if kind != "plain":  # an insult is toxic beside its own group alone
+                insult = draw.randrange(2)
+                group = insult if kind == "toxic" else 1 - insult
+                words += [("dolt", "oaf")[insult], ("flatlanders", "hillfolk")[group]]
+                draw.shuffle(words)
+            texts.append(" ".join(words))
+            kinds.append(kind)
+        docs = []
+        for _, _, data, offsets in T.slices(pa.array(texts)):
+            found, first = toxicity.terms(data, offsets)
+            docs += [found[a:b] for a, b in zip(first, first[1:])]
+        return docs, np.array(kinds)
+
+    docs, kinds = sample(toxicity.MAX_TRAINING_DOCS)
+    model = np.frombuffer(toxicity.fit(docs, (kinds == "toxic").astype(float)), np.float32)
+    size = 1 << toxicity.BITS
+    docs, kinds = sample(2000)
+    found, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    v = model[size + 1 :].reshape(size, toxicity.FACTORS)
+    marked = toxicity.logits(found, first, float(model[0]), model[1 : size + 1], v) >= 0
+    assert marked[kinds == "crossed"].mean() < 0.05
+    assert marked[kinds == "toxic"].mean() > 0.95
