@@ -9,6 +9,12 @@ agree in one block up to 2 bits, so the tables find all of them. Candidates are
 document's words at the item's place and length: the weight of common distinct shingles over the
 weight of all, where a shingle weighs its bytes.
 
+Similar windows may differ in more bits, so the search is completed without chance: a window of
+``SIMILARITY`` or more lacks at most ``1 - SIMILARITY`` of the item's weight, so it holds one of any
+shingles that weigh more than that together. The item's rarest ones are listed; where a document
+holds one, every window of the item's length around it is bounded by one running sum over the weights
+of the item's shingles, and verified from the highest bound down to the best similarity found.
+
 The benchmark is read in parts of at most ``MAX_ITEMS`` items; only a part's index is broadcast, and
 each part is one pass over the documents. Words are lower-cased A-Z.
 
@@ -85,7 +91,7 @@ class Index:
             f = Features(w, T.word_hash(w, lower=True), size, n)
             kept, at = np.unique(f.hash, return_index=True)
             number = len(self.items)
-            self.items.append((item_id, n, kept, f.weight[at]))
+            self.items.append((item_id, n, kept, f.weight[at].astype(np.int64)))
             found = f.fingerprints(length - size + 1)
             for back in {0, n - length}:
                 classes[length].append((number, back))
@@ -95,6 +101,25 @@ class Index:
              [self.table(np.array(prints[length], "<u8"), b) for b in range(BLOCKS)])
             for length in sorted(classes)
         ]
+        self.rare = self.rarest()
+
+    def rarest(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each size of shingle: hashes, ascending, and item numbers, so that a similar window has one."""
+        every = np.concatenate([np.zeros(0, np.uint64), *(own for _, _, own, _ in self.items)])
+        known, uses = np.unique(every, return_counts=True)
+        listed: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for number, (_, n, own, weight) in enumerate(self.items):
+            order = np.argsort(uses[np.searchsorted(known, own)], kind="stable")
+            spared = (1 - SIMILARITY + 1e-9) * weight.sum()
+            enough = int(np.searchsorted(np.cumsum(weight[order]), spared, side="right")) + 1
+            listed[min(SHINGLE, self.ladder(n))].append((own[order[:enough]], number))
+        out = {}
+        for size, found in listed.items():
+            keys = np.concatenate([own for own, _ in found])
+            numbers = np.repeat([number for _, number in found], [len(own) for own, _ in found])
+            order = np.argsort(keys, kind="stable")
+            out[size] = keys[order], numbers[order]
+        return out
 
     @staticmethod
     def ladder(n: int) -> int:
@@ -131,8 +156,58 @@ class Index:
             for p, k in zip(at.tolist(), number.tolist()):
                 item, back = places[k]
                 self.verify(features[size], w, p - int(back), int(item), best)
+        for size, (keys, numbers) in self.rare.items():
+            if len(h) < size:
+                continue
+            if size not in features:
+                features[size] = Features(w, h, size, span)
+            self.complete(features[size], w, size, keys, numbers, best)
         return best
 
+    def complete(
+        self, f: Features, w: T.Words, size: int, keys: np.ndarray, numbers: np.ndarray, best: dict
+    ) -> None:
+        """Verifies the windows around each listed shingle that may be more similar than the best."""
+        lo = np.searchsorted(keys, f.hash)
+        hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == f.hash)
+        doc = np.searchsorted(w.first, hit, side="right") - 1
+        inside = hit + size <= w.first[doc + 1]
+        hit, doc = hit[inside], doc[inside]
+        lo = lo[hit]
+        count = np.searchsorted(keys, f.hash[hit], side="right") - lo
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
+        found = numbers[np.repeat(lo, count) + inner]
+        for d, item, p in zip(np.repeat(doc, count).tolist(), found.tolist(), np.repeat(hit, count).tolist()):
+            places[d, item].append(p)
+        for (d, item), at in places.items():
+            wide = self.items[item][1] - size  # a window has one shingle more
+            low = 0
+            for k in range(1, len(at) + 1):
+                if k == len(at) or at[k] - at[k - 1] > wide:
+                    self.around(f, w, size, d, item, at[low] - wide, at[k - 1], best)
+                    low = k
+
+    def around(
+        self, f: Features, w: T.Words, size: int, doc: int, item: int, a: int, b: int, best: dict
+    ) -> None:
+        """Verifies the windows that start from ``a`` to ``b``, by falling bounds."""
+        _, n, own, weight = self.items[item]
+        left, right = int(w.first[doc]), int(w.first[doc + 1]) - size + 1
+        lo, hi = max(a, left), min(b + n - size + 1, right)
+        hashes = f.hash[lo:hi]
+        slot = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        mass = np.zeros(hi - lo + 1, np.int64)
+        np.cumsum(np.where(own[slot] == hashes, weight[slot], 0), out=mass[1:])
+        starts = np.arange(a, b + 1)
+        ends = np.clip(starts + n - size + 1, lo, hi)
+        bound = (mass[ends - lo] - mass[np.clip(starts, lo, hi) - lo]) / int(weight.sum())
+        # The bound counts a repeated shingle again, so it is not below the similarity.
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(SIMILARITY, best[doc, item][0] if (doc, item) in best else 0.0):
+                break
+            self.verify(f, w, int(starts[k]), item, best, doc)
+
     @staticmethod
     def near(found: np.ndarray, prints: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a window and an item's fingerprint within ``RADIUS`` bits, each once."""
@@ -152,12 +227,15 @@ class Index:
         pairs = np.unique(np.stack([np.concatenate(all_at), np.concatenate(all_number)]), axis=1)
         return pairs[0], pairs[1]
 
-    def verify(self, f: Features, w: T.Words, start: int, item: int, best: dict) -> None:
+    def verify(
+        self, f: Features, w: T.Words, start: int, item: int, best: dict, doc: int | None = None
+    ) -> None:
         """Exact similarity of an item and the document's words at its place."""
         _, n, own, weight = self.items[item]
         size = min(SHINGLE, self.ladder(n))
-        middle = min(max(start + n // 2, 0), len(w.start) - 1)
-        doc = int(np.searchsorted(w.first, middle, side="right")) - 1
+        if doc is None:
+            middle = min(max(start + n // 2, 0), len(w.start) - 1)
+            doc = int(np.searchsorted(w.first, middle, side="right")) - 1
         lo = max(start, int(w.first[doc]))
         hi = min(start + n, int(w.first[doc + 1])) - size + 1
         if hi <= lo:

@@ -67,6 +67,50 @@ def test_decontamination(documents, spark, monkeypatch):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_decontamination_near_the_threshold():
+    """Every document with edits, against all windows of the item's length by brute force."""
+    draw = random.Random(11)
+    vocabulary = [f"t{k}" for k in range(3000)]
+
+    def words(n):
+        return [draw.choice(vocabulary) for _ in range(n)]
+
+    def shingles(text):
+        out = {}
+        for k in range(len(text) - 4):
+            out[tuple(text[k : k + 5])] = min(sum(map(len, text[k : k + 5])), decontaminate.MAX_WEIGHT)
+        return out
+
+    def similarity(a, b):
+        common = sum(v for s, v in a.items() if s in b)
+        return common / (sum(a.values()) + sum(b.values()) - common)
+
+    items = [words(n) for n in [50, 52, 55, 56, 142, 200]]
+    index = decontaminate.Index([(k, " ".join(item)) for k, item in enumerate(items)])
+    docs, want = [], {}
+    for number, item in enumerate(items):
+        own = shingles(item)
+        for _ in range(40):
+            copy = list(item)
+            for _ in range(draw.choice([1, 1, 2, 3, 4])):
+                at = draw.randrange(len(copy))
+                copy[at : at + 1] = draw.choice([["changed"], ["changed"], [], [copy[at], "added"]])
+            head = words(draw.randrange(12))
+            doc = head + copy + words(draw.randrange(12))
+            best = max(
+                similarity(own, shingles(doc[max(s, 0) : max(s, 0) + len(item) + min(s, 0)]))
+                for s in range(5 - len(item), len(doc) - 4)
+            )
+            if best >= 0.8:
+                want[len(docs), number] = best
+            docs.append(" ".join(doc))
+    sizes = np.cumsum([0] + [len(d) for d in docs])
+    got = index.matches(np.frombuffer("".join(d for d in docs).encode(), np.uint8), sizes)
+    missed = set(want) - set(got)
+    assert len(want) > 100 and not missed, f"{len(missed)} of {len(want)} missed"
+    assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_multi_index_finds_all_within_radius():
     draw = np.random.default_rng(1)
     prints = draw.integers(0, 1 << 63, 40, np.uint64)
