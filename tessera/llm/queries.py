@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, licenses, linededup, mixing, neardup, quality, substrings, topk, toxicity
+from tessera.llm import (
+    decontaminate, extraction, language, lexical, licenses, linededup, mixing, neardup, quality, resampling, substrings,
+    topk, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +144,93 @@ FROM shingles s LEFT JOIN classes c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEF
 @query("op10_neardup", NEARDUP_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+size AS (
+  SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n,
+    CAST(count(*) OVER () AS BIGINT) AS docs, CAST(sum(len(terms)) OVER () AS BIGINT) AS total
+  FROM d WHERE len(terms) > 0),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf JOIN size USING (row) GROUP BY term),
+impact AS (
+  SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)) AS x
+  FROM tf JOIN size USING (row)),
+scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(times * w * x) AS BIGINT) AS score
+  FROM asked JOIN w USING (term) JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20"""
+
+
+@query("op11_lexical", LEXICAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+@query("op12_extract")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+RESAMPLE_SQL = r"""
+WITH step AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(0, 8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+f AS (
+  SELECT row, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS feature FROM d),
+g AS (SELECT unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS feature FROM b),
+bytes AS (
+  SELECT feature, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS v
+  FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM f UNION SELECT feature FROM g))),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, v),
+    lambda c, x: xor(crc[xor(c, x) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM bytes, step),
+corpus AS (SELECT row, bucket FROM f JOIN hashed USING (feature)),
+s AS (SELECT bucket, count(*) AS s FROM corpus GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN hashed USING (feature) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+mean AS (
+  SELECT row, CAST(count(*) AS BIGINT) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM corpus JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8)
+      AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN mean USING (row)),
+ranks AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= 25 * n // 100 THEN rank END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranks USING (row)"""
+
+
+@query("op13_resample", RESAMPLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
