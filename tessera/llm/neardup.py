@@ -7,18 +7,27 @@ cost ``2 * HALVES * ROWS`` minhashes instead of ``2 * ROWS * HALVES**2``. Two se
 meet in no table with probability ``1 - (1 - (1 - s**ROWS)**HALVES)**2``: 6e-6 at 0.85, 8e-5 at 0.8.
 
 Documents of equal sets become one row first, so copies are never paired. The rows of a table's bucket
-are compared with one leader, the row that shares most table keys with others (the centre of a
-group of copies, as a rule). What remains are links past a leader, between rows x and y of which
-x failed: seen from the leader a, the sets differ from it by the elements X and Y, and
-``|x xor y| = |X xor Y|``. So a similar pair shares all but a few elements of X, and a prefix-filter
-join over those differences (elements foreign to the leader first, with the filters for size,
-position and component) finds all such pairs among all rows of one leader. This is exact: no
-link between rows that share a bucket is lost, no bucket is expanded into its pairs, and there are no
-rounds. Similarity is computed on the full sets, from the texts.
+are compared with one leader, the row that shares most table keys with others. What remains are links
+past a leader, between rows of which one failed. Seen from any common set c, rows x and y differ by
+``X = x xor c`` and ``Y = y xor c``, and ``|x xor y| = |X xor Y|``. With the leader's differences at hand, c is moved
+to the set that most of its rows agree on, so that X holds only what x has, or lacks, beside most others:
+
+* rows so near to c that they must be similar to the row nearest to c are compared with that one;
+* any other similar pair shares elements of X and Y, and a prefix-filter join finds it: elements stand
+  by their count within the leader's rows, rarest first, so those of one row alone come first and never
+  meet; filters for size, position and component follow.
+
+In a list of more than ``LIST`` rows with an element in common, all are first compared with one of them, for
+``ROUNDS`` rounds, and only what these links leave unconnected is paired. So a bucket is not expanded
+into its pairs, and no link between rows that share a bucket is lost: similarity is computed on the full
+sets, from the texts, and a pair that is passed over is either connected or too far apart. What is left
+are pairs of rows that have a rare element in common and enough others to be similar, but are not
+connected; a group of copies edited at few places, all just short of the threshold, still has many.
 
 Defined cases: a null or blank text has no set, and is its own component. A text of fewer words than
 a shingle is one shingle, its whole sequence. Rows without a doc_id link with nothing and have no
-component; they are kept. Repeated rows with one doc_id share a component and each is returned.
+component; they are kept. Repeated rows with one doc_id share a component and each is returned; of different
+texts under one doc_id the smallest is compared with other documents.
 Memory in a task follows the longest text.
 """
 
@@ -28,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
@@ -39,6 +48,8 @@ from tessera.llm.store import stored
 HALVES, ROWS = 10, 2
 #: Rows that one task compares with their leader.
 SHARE = 256
+#: Longer lists of rows with a rare element in common are compared with one row first, so many times.
+LIST, ROUNDS = 8, 2
 
 _seeds = np.random.Generator(np.random.PCG64(85)).integers(
     1, 1 << 63, (2, 2 * HALVES * ROWS), np.uint64
@@ -109,18 +120,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b, na, nb, common, total, differs`` of each pair, from the full sets of ``_id, text``.
+def _against_leaders(pairs: DataFrame, texts: DataFrame, size: int, judge, schema: str) -> DataFrame:
+    """``judge(a, b, own, its)`` of each pair ``a, b``: full sets of ``_id, text``, rows after rows.
 
-    ``differs`` lists elements of one set alone, those of ``b`` first, as many as a prefix needs. A row
-    ``a`` with many partners is sent, text and all, once for each share of them.
+    A row ``a`` with many partners is sent, text and all, once for each share of them.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("_shares"))
-    dealt = stored(
-        pairs.join(many, "a").select(
-            "a", "b", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int").alias("share")
-        )
-    )
+    many = (
+        pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("_shares"))
+        .filter(F.col("_shares") > 1)
+    )
+    share = F.pmod(F.xxhash64("b"), F.coalesce("_shares", F.lit(1))).cast("int")
+    dealt = stored(pairs.join(many, "a", "left").select("a", "b", share.alias("share")))
     # Texts are joined by a shuffle at any size, never by sending one side to all.
     texts = texts.hint("merge")
     partners = dealt.join(texts, F.col("b") == F.col("_id")).select("a", "share", "b", "text")
@@ -133,7 +143,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
         at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, share, b = (batch.column(c).to_pylist() for c in range(3))
-            rows, differs = [], []
+            rows = []
             for lo, hi, data, offsets in T.slices(batch.column(3)):
                 found, first = shingle_sets(data, offsets, size)
                 for k in range(lo, hi):
@@ -141,99 +151,189 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     if b[k] is None:
                         at, own = (a[k], share[k]), its
                     elif at == (a[k], share[k]) and len(own):
-                        place = np.minimum(np.searchsorted(own, its), len(own) - 1)
-                        hit = own[place] == its
-                        missing = np.ones(len(own), bool)
-                        missing[place[hit]] = False
-                        common = int(hit.sum())
-                        rows.append((a[k], b[k], len(own), len(its), common, len(own) + len(its) - common))
-                        both = np.concatenate([its[~hit], own[missing]])
-                        differs.append(T.signed(both[: slack(len(its), percent) + 1]))
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns), pa.array(differs, pa.list_(pa.int64()))],
-                ["a", "b", "na", "nb", "common", "total", "differs"],
-            )
+                        rows.append(judge(a[k], b[k], own, its))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], arrow)
 
+    names = [field.split()[0] for field in schema.split(", ")]
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
     return (
         partners.union(leaders)
         .repartition("a", "share")
         .sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-        .mapInArrow(
-            run, "a long, b long, na long, nb long, common long, total long, differs array<long>"
-        )
+        .mapInArrow(run, schema)
     )
 
 
-def slack(n, percent: int):
-    """Elements by which a set of ``n`` can differ from any set that is similar to it, at most."""
-    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+def compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a, b, na, nb, common, total`` of each pair, from the full sets."""
 
+    def judge(a: int, b: int, own: np.ndarray, its: np.ndarray) -> tuple:
+        place = np.minimum(np.searchsorted(own, its), len(own) - 1)
+        common = int((own[place] == its).sum())
+        return a, b, len(own), len(its), common, len(own) + len(its) - common
 
-def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: links between distinct sets that connect all that share a bucket and are similar."""
-    similar = F.col("common") * 100 >= F.col("total") * percent
+    return _against_leaders(
+        pairs, texts, size, judge, "a long, b long, na long, nb long, common long, total long"
+    )
+
+
+def differences(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a, b, differs``: all elements of one set alone, of each pair."""
+
+    def judge(a: int, b: int, own: np.ndarray, its: np.ndarray) -> tuple:
+        return a, b, T.signed(np.setxor1d(own, its, assume_unique=True))
+
+    return _against_leaders(pairs, texts, size, judge, "a long, b long, differs array<long>")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """``a, b``: every row of a table's bucket with the bucket's leader."""
     keys = reps.select(
         "rep", "half", F.posexplode(F.slice("half", 1, HALVES)).alias("i", "u")
     ).select("rep", "i", "u", F.posexplode(F.slice("half", HALVES + 1, HALVES)).alias("j", "v"))
     rows = keys.select(F.xxhash64("i", "u", "j", "v").alias("key"), F.col("rep").alias("b"))
-    shared = stored(
-        rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    )
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(rows.join(counted.hint("merge"), "key"))
     meets = shared.groupBy("b").agg(F.sum("n").alias("meets"))
-    central = Window.partitionBy("key").orderBy(F.col("meets").desc(), "b")
-    pairs = stored(
-        shared.join(meets, "b").select("key", "b", F.first("b").over(central).alias("a"))
-        .filter("a <> b").select("a", "b").distinct()
+    leaders = (
+        shared.join(meets, "b").groupBy("key")
+        .agg(F.max_by("b", F.struct("meets", -F.col("b"))).alias("a"))
     )
+    return stored(shared.join(leaders, "key").filter("a <> b").select("a", "b").distinct())
+
+
+def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: links between distinct sets that connect all that share a bucket and are similar."""
+    pairs = candidates(reps)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").hint("merge")
-    texts = stored(ids.join(texts, "_id"))
-    judged = stored(compare(pairs, texts, size, percent).dropDuplicates(["a", "b"]).withColumn("linked", similar))
-    direct = judged.filter("linked").select("a", "b")
-    missed = _past_leaders(judged, components(direct), percent)
-    more = compare(missed, texts, size, percent).filter(similar).select("a", "b")
-    return direct.union(more)
-
-
-def _past_leaders(judged: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of rows of one leader that may be similar and are not connected so far.
-
-    Let x be the row that failed, the one with the larger difference X if both did, and c be
-    (100 - percent) / (100 + percent). They are similar if ``|X xor Y| <= c (|x| + |y|)``. Then X has at
-    most ``slack`` elements outside Y, and as ``|X| > c (|x| + |a|)``, Y has at most
-    ``(|Y| + c (|y| - |a|)) / 2`` outside X, nor more than half the slack if it is the smaller one. So,
-    in the order common to all, a prefix of each longer by one has an element of both.
-    """
-    differ = F.col("total") - F.col("common")
+    texts = stored(ids.join(texts, "_id").groupBy("_id").agg(F.min("text").alias("text")))
+    linked = F.col("common") * 100 >= F.col("total") * percent
+
+    def more_links(known: DataFrame, asked: DataFrame) -> DataFrame:
+        asked = stored(asked.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if asked.isEmpty():
+            return known
+        return known.union(stored(compare(asked, texts, size).filter(linked).select("a", "b")))
+
+    judged = stored(compare(pairs, texts, size).withColumn("linked", linked))
+    known = judged.filter("linked").select("a", "b")
+    rows = stored(_open_groups(judged, components(known)))
+    if rows.isEmpty():
+        return known
+    differs = differences(rows.filter("a <> b").select("a", "b"), texts, size)
+    placed, entries = _rare_elements(rows, differs, percent)
+    known = more_links(known, _near_centre(placed))
+    for turn in range(ROUNDS):
+        head = F.min_by("b", F.xxhash64("b", F.lit(turn)))
+        heads = _lists(entries, components(known), LIST).groupBy("a", "e").agg(head.alias("head"))
+        heads = entries.join(heads, ["a", "e"]).select(F.col("head").alias("a"), "b")
+        known = more_links(known, heads)
+    return more_links(known, _pairs(_lists(entries, components(known), 1), percent))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     roots = roots.withColumnRenamed("node", "b")
-    rows = judged.join(roots, "b", "left").select(
-        "a", "b", "linked", "na", F.col("nb").alias("n"), F.coalesce("root", "b").alias("root"),
-        differ.alias("d"), "differs",
+    return rows.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
+
+
+def _open_groups(judged: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b, n, d``: rows of the leaders whose rows are not all connected, the leader included."""
+    own = judged.groupBy("a").agg(F.max("na").alias("n"))
+    rows = judged.select("a", "b", F.col("nb").alias("n"), (F.col("total") - F.col("common")).alias("d"))
+    rows = rows.union(own.select("a", F.col("a").alias("b"), "n", F.lit(0).cast("long")))
+    # The leader's own row always has its root, so groups of linked rows alone are not open.
+    ends = _rooted(rows, roots).groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(ends.filter("lo <> hi").select("a"), "a", "left_semi")
+
+
+def _rare_elements(rows: DataFrame, differs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their distance from their group's centre, and the prefix of each row's elements.
+
+    The centre is what most rows of the group agree on: an element that more than half of them have
+    counts for those without it. Let ``t = (100 + percent) d - (100 - percent) n`` for a row of n elements
+    at distance d from the centre, and ``low`` the least t of the group. Two rows with a sum of t up to 0
+    are similar whatever they share. A row is near if its t and ``low`` sum up to at most 0, else far. A
+    similar pair that is not of two near rows has a far row x, the farther if both are, with at
+    most ``most`` elements outside Y, all that any similar set allows; from d of x > its share of n less ``low``
+    it follows that Y has at most ``((100 + percent) d + (100 - percent) n + low) / 2 (100 + percent)`` outside
+    X, and at most half of ``most`` if it is the nearer one of two far rows. In the order common to all, a
+    prefix of each longer by one has an element of both.
+    """
+    plus, minus = 100 + percent, 100 - percent
+    each = stored(rows.join(differs, ["a", "b"]).select("a", "b", F.explode("differs").alias("e")))
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    most_have = F.col("rows") * 2 > F.col("size")
+    counted = stored(
+        each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("rows")).join(sizes, "a")
+        .select("a", "e", most_have.alias("major"), F.when(most_have, F.col("size") - F.col("rows")).otherwise(F.col("rows")).alias("rare"))
+    )
+    has = each.join(counted, ["a", "e"]).select("a", "b", "e", "rare", "major", F.lit(True).alias("has"))
+    lacks = (
+        rows.select("a", "b").join(counted.filter("major AND rare > 0"), "a")
+        .join(each, ["a", "b", "e"], "left_anti")
+        .select("a", "b", "e", "rare", "major", F.lit(False))
     )
-    plain = ["a", "b", "linked", "n", "root", "d"]
-    ratio = (100 - percent) / (100 + percent)
-    outside = (F.col("d") + F.greatest(F.col("n") - F.col("na"), F.lit(0)) * ratio) / 2
-    most = F.expr(f"({100 - percent} * (n + n * 100 div {percent})) div {100 + percent}")
-    outside = F.floor(F.when(F.col("linked"), outside).otherwise(F.least(outside, most / 2)))
-    probes = rows.filter("NOT linked").select(*plain, F.posexplode("differs").alias("at", "e")).alias("x")
-    listed = rows.select(
-        *plain, F.posexplode(F.slice("differs", F.lit(1), (outside + 1).cast("int"))).alias("at", "e")
-    ).alias("y")
+    counts = F.col("rare") > 1
+    moved = has.union(lacks).groupBy("a", "b").agg(
+        F.sum(F.when(F.col("major") & F.col("has"), -1).when(F.col("major"), 1).otherwise(0)).alias("change"),
+        F.sort_array(
+            F.collect_list(F.when(counts & (F.col("major") != F.col("has")), F.struct("rare", "e")))
+        ).alias("met"),
+    )
+    none = F.array().cast("array<struct<rare:bigint,e:bigint>>")
+    placed = rows.join(moved, ["a", "b"], "left").select(
+        "a", "b", "n", (F.col("d") + F.coalesce("change", F.lit(0))).alias("d"), F.coalesce("met", none).alias("met")
+    )
+    t = F.col("d") * plus - F.col("n") * minus
+    placed = stored(placed.withColumn("t", t))
+    nearest = placed.groupBy("a").agg(F.min("t").alias("low"), F.min_by("b", F.struct("t", "b")).alias("centre"))
+    placed = stored(placed.join(nearest, "a").withColumn("near", F.col("t") + F.col("low") <= 0))
+    most = F.expr(f"({minus} * (n + n * 100 div {percent})) div {plus}")
+    outside = F.floor((F.col("d") * plus + F.col("n") * minus + F.col("low")) / (2 * plus))
+    outside = F.when(F.col("near"), outside).otherwise(F.least(outside, F.floor(most / 2)))
+    alone = F.col("d") - F.size("met")
+    columns = ["a", "b", "near", "n", "d", "most", "outside", "alone"]
+    entries = (
+        placed.withColumns({"most": most, "outside": outside, "alone": alone})
+        .withColumn("take", F.when(F.col("near"), F.col("outside")).otherwise(F.greatest("outside", "most")) + 1 - F.col("alone"))
+        .withColumn("met", F.slice("met", F.lit(1), F.greatest("take", F.lit(0)).cast("int")))
+        .select(*columns, F.posexplode("met").alias("place", "m"))
+        .select(*columns, (F.col("place") + F.col("alone")).alias("at"), "m.e")
+    )
+    return placed, stored(entries)
+
+
+def _near_centre(placed: DataFrame) -> DataFrame:
+    """``a, b``: the row nearest to each centre with all that are near."""
+    return placed.filter("near").select(F.col("centre").alias("a"), "b")
+
+
+def _lists(entries: DataFrame, roots: DataFrame, longer: int) -> DataFrame:
+    """Entries of the lists, of more than ``longer`` rows, whose rows are not all connected."""
+    rows = _rooted(entries, roots)
+    left = (
+        rows.groupBy("a", "e")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .filter((F.col("size") > longer) & (F.col("lo") != F.col("hi")))
+    )
+    return rows.join(left.select("a", "e"), ["a", "e"], "left_semi")
+
+
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of a list that may be similar and are not connected so far."""
+    probes, listed = entries.filter("NOT near AND at <= most").alias("x"), entries.filter("at <= outside").alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     allowed = F.floor((x("n") + y("n")) * (100 - percent) / (100 + percent))
     needed = F.ceil((x("d") + y("d") - allowed) / 2)
-    smaller = y("linked") | (y("d") < x("d")) | ((y("d") == x("d")) & (y("b") < x("b")))
+    smaller = y("near") | (y("d") < x("d")) | ((y("d") == x("d")) & (y("b") < x("b")))
     possible = (
         (x("a") == y("a")) & (x("e") == y("e")) & (x("root") != y("root")) & smaller
         & (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent)
         & (needed <= F.least(x("d") - x("at"), y("d") - y("at")))
     )
-    return stored(
-        probes.join(listed, possible)
-        .select(F.least(x("b"), y("b")).alias("a"), F.greatest(x("b"), y("b")).alias("b"))
-        .distinct()
-    )
+    return probes.join(listed, possible).select(x("b").alias("a"), y("b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

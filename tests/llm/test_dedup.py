@@ -1,6 +1,7 @@
 """Substring, line and near-duplicate operators against brute force."""
 
 import hashlib
+import random
 import re
 from itertools import combinations
 
@@ -126,9 +127,10 @@ def near_brute(prose, size, percent):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
-def test_near_duplicates(documents, prose, monkeypatch, size, percent):
+@pytest.mark.parametrize("size, percent, listed", [(3, 85, 8), (5, 80, 2)])
+def test_near_duplicates(documents, prose, monkeypatch, size, percent, listed):
     monkeypatch.setattr(neardup, "SHARE", 7)
+    monkeypatch.setattr(neardup, "LIST", listed)  # longer lists get leaders of their own
     want = near_brute(prose, size, percent)
     rows = neardup.near_duplicates(documents(prose + [(None, prose[0][1])]), size, percent).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None}
@@ -138,6 +140,28 @@ def test_near_duplicates(documents, prose, monkeypatch, size, percent):
     assert len(set(want.values())) < len(want)
 
 
+def test_compared_pairs_grow_with_the_rows(documents, monkeypatch):
+    """Edited copies of one text around the threshold: pairs compared per copy stay level."""
+    compare, pairs = neardup.compare, []
+    monkeypatch.setattr(neardup, "compare", lambda p, *rest: pairs.append(p.count()) or compare(p, *rest))
+    per_copy = []
+    for n in (300, 1200):
+        draw = random.Random(12)
+        base = [f"b{k}" for k in range(150)]
+        copies = []
+        for k in range(n):
+            words = list(base)
+            for _ in range(draw.randrange(1, 12)):
+                words[draw.randrange(150)] = f"e{draw.randrange(5000)}"
+            copies.append((k, " ".join(words)))
+        pairs.clear()
+        rows = neardup.near_duplicates(documents(copies), 5, 80).collect()
+        per_copy.append(sum(pairs) / n)
+        if n == 300:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_brute(copies, 5, 80)
+    assert per_copy[1] < 1.3 * per_copy[0] and max(per_copy) < 20, per_copy
+
+
 def test_near_duplicates_of_repeated_rows_and_empty_table(documents):
     text = " ".join(f"v{k}" for k in range(25))
     rows = neardup.near_duplicates(documents([(3, text), (3, text), (8, text.upper())])).collect()
