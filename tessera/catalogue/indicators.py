@@ -282,6 +282,31 @@ def open_space_all_roads(spark, sf_dir):
     return out.select(KEY, "ix", "iy", r("building_density"), "is_open_space")
 
 
+# Rows of the grid without a closed cell form bands; elsewhere the open runs between closed cells.
+OPEN_RUNS = """,
+  n AS (SELECT location_id, max(ix) + 1 AS nx FROM g GROUP BY location_id),
+  runs AS (SELECT location_id, iy, min(ix) AS x0, max(ix) AS x1 FROM (
+      SELECT *, ix - row_number() OVER (PARTITION BY location_id, iy ORDER BY ix) AS k FROM os WHERE is_open_space)
+    GROUP BY location_id, iy, k),
+  whole AS (SELECT location_id, iy, x0, x1, iy - row_number() OVER (PARTITION BY location_id ORDER BY iy) AS band
+    FROM runs JOIN n USING (location_id) WHERE x1 - x0 + 1 = nx)"""
+
+
+@query(
+    "open_runs",
+    grid_sql(
+        """SELECT location_id, min(iy) AS iy0, max(iy) AS iy1, x0, x1 FROM whole GROUP BY location_id, x0, x1, band
+        UNION ALL SELECT location_id, iy, iy, x0, x1 FROM runs JOIN n USING (location_id) WHERE x1 - x0 + 1 < nx""",
+        open_cte(10, "crossed") + OPEN_RUNS,
+    ),
+)
+def open_runs(spark, sf_dir):
+    shapes = fx.buildings(spark, sf_dir)
+    bounds = gr.grid_frame(shapes)
+    blocked = gr.blocked_cells(shapes, bounds, fx.roads(spark, sf_dir), grid_size=10.0)
+    return gr.open_runs(blocked, bounds)
+
+
 # Clusters of (location_id, ix, iy) cells `oc`: row runs, flooded from every run.
 PERCOLATION = """,
   runs AS MATERIALIZED (SELECT location_id, iy, min(ix) AS a, max(ix) AS b, count(*) AS n, iy * 4294967296 + min(ix) AS run

@@ -214,29 +214,109 @@ def open_space(
     )
 
 
-# --- percolation --------------------------------------------------------------------------
+# --- runs of cells ------------------------------------------------------------------------
 
 
-def percolation_clusters(cells: DataFrame, grid_size: float = 50.0) -> DataFrame:
-    """4-connected clusters of the given cells: ``location_id, cluster, cells, area``.
+def blocked_cells(
+    buildings: DataFrame,
+    bounds: DataFrame,
+    roads: DataFrame | None = None,
+    resolution: float = 10.0,
+    grid_size: float = 50.0,
+    threshold: float = 0.3,
+    road_mode: str = "crossed",
+) -> DataFrame:
+    """The cells that ``open_space`` leaves closed; all others of the grid are open."""
+    built = building_area_per_cell(buildings, bounds, resolution)
+    density = F.col("building_area") / F.lit(grid_size**2)
+    blocked = built.filter(density > threshold).select(KEY, "ix", "iy")
+    if roads is None:
+        return blocked
+    if road_mode == "all":
+        return blocked.limit(0)
+    return blocked.join(road_cells(roads, bounds, resolution), [KEY, "ix", "iy"], "left_anti")
+
+
+def open_runs(blocked: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rectangles ``iy0, iy1, x0, x1`` of open cells, both ends included.
 
-    Cells side by side in a row are first merged into runs, so the graph has a node per run.
+    In a row with blocked cells these are the gaps between them; rows without any form one band from
+    side to side. So the number of rows follows the blocked cells, not the size of the grid.
     """
+    blocked = cut(blocked)
     row = Window.partitionBy(KEY, "iy").orderBy("ix")
-    starts = F.when(
-        F.coalesce(F.lag("ix").over(row), F.lit(-2)) != F.col("ix") - 1, F.col("ix")
+    column = Window.partitionBy(KEY).orderBy("iy")
+
+    def gaps(at: str, order, end: str) -> Column:
+        """Ranges before each value, and the one after the last."""
+        before = F.struct(
+            (F.coalesce(F.lag(at).over(order), F.lit(-1)) + 1).alias("lo"), (F.col(at) - 1).alias("hi")
+        )
+        after = F.struct((F.col(at) + 1).alias("lo"), (F.col(end) - 1).alias("hi"))
+        last = F.lead(at).over(order).isNull()
+        return F.when(last, F.array(before, after)).otherwise(F.array(before))
+
+    frames = bounds.select(KEY, "nx", "ny").filter("nx > 0 AND ny > 0")
+    pieces = (
+        blocked.join(frames, KEY).select(KEY, "iy", gaps("ix", row, "nx").alias("gaps"))
+        .select(KEY, F.col("iy").alias("iy0"), F.col("iy").alias("iy1"), F.inline("gaps"))
+        .select(KEY, "iy0", "iy1", F.col("lo").alias("x0"), F.col("hi").alias("x1"))
+    )
+    rows = frames.join(blocked.select(KEY, "iy").distinct(), KEY, "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("ny") - 1).alias("hi")))
+    bands = (
+        rows.withColumn("gaps", gaps("iy", column, "ny"))
+        .withColumn("gaps", F.when(F.col("iy").isNull(), whole).otherwise(F.col("gaps")))
+        .select(KEY, "nx", F.inline("gaps"))
+        .select(
+            KEY, F.col("lo").alias("iy0"), F.col("hi").alias("iy1"),
+            F.lit(0).cast("long").alias("x0"), (F.col("nx") - 1).alias("x1"),
+        )
+    )
+    return pieces.union(bands).filter("x0 <= x1 AND iy0 <= iy1")
+
+
+def runs_of(cells: DataFrame) -> DataFrame:
+    """Cells side by side in a row as runs ``iy0, iy1, x0, x1``."""
+    row = Window.partitionBy(KEY, "iy").orderBy("ix")
+    island = F.col("ix") - F.row_number().over(row)
+    return (
+        cells.select(KEY, "ix", "iy", island.alias("island"))
+        .groupBy(KEY, "iy", "island")
+        .agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+        .select(KEY, F.col("iy").alias("iy0"), F.col("iy").alias("iy1"), "x0", "x1")
     )
-    runs = cells.select(KEY, "ix", "iy", starts.alias("start")).withColumn(
-        "run",
-        F.col("iy") * F.lit(4294967296)
-        + F.last("start", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)),
+
+
+# --- percolation --------------------------------------------------------------------------
+
+
+def run_clusters(runs: DataFrame, grid_size: float = 50.0) -> DataFrame:
+    """4-connected clusters of rectangles: ``location_id, cluster, cells, area``.
+
+    Rectangles that touch along a boundary between rows are linked by one ordered pass over the
+    boundary: of two that overlap, the one that starts later starts inside the other, which is the
+    last of its side to have started. So the links are as many as the overlaps.
+    """
+    node = F.col("iy0") * F.lit(4294967296) + F.col("x0")
+    runs = cut(runs.withColumn("node", node))
+    ends = runs.select(KEY, (F.col("iy1") + 1).alias("at"), "x0", "x1", "node", F.lit(0).alias("side")).union(
+        runs.select(KEY, "iy0", "x0", "x1", "node", F.lit(1))
     )
-    runs = cut(runs)
-    above = runs.select(KEY, "ix", (F.col("iy") - 1).alias("iy"), F.col("run").alias("dst"))
+    along = Window.partitionBy(KEY, "at").orderBy("x0", "side").rowsBetween(Window.unboundedPreceding, 0)
+
+    def latest(side: int) -> Column:
+        return F.last(F.when(F.col("side") == side, F.struct("x1", "node")), ignorenulls=True).over(along)
+
+    met = ends.withColumns({"below": latest(0), "above": latest(1)})
+    other = F.when(F.col("side") == 1, F.col("below")).otherwise(F.col("above"))
     links = (
-        runs.join(above, [KEY, "ix", "iy"]).select(KEY, F.col("run").alias("src"), "dst").distinct()
+        met.select(KEY, "node", "x0", other.alias("other"))
+        .filter("other.x1 >= x0")
+        .select(KEY, F.col("node").alias("src"), F.col("other.node").alias("dst"))
     )
-    sizes = runs.groupBy(KEY, F.col("run").alias("node")).agg(F.count("*").alias("n"))
+    cells = (F.col("x1") - F.col("x0") + 1) * (F.col("iy1") - F.col("iy0") + 1)
+    sizes = runs.select(KEY, "node", cells.alias("n"))
     return (
         connected_components(sizes, links)
         .join(sizes, [KEY, "node"])
@@ -244,3 +324,8 @@ def percolation_clusters(cells: DataFrame, grid_size: float = 50.0) -> DataFrame
         .agg(F.sum("n").alias("cells"))
         .withColumn("area", F.col("cells") * F.lit(grid_size**2))
     )
+
+
+def percolation_clusters(cells: DataFrame, grid_size: float = 50.0) -> DataFrame:
+    """4-connected clusters of the given cells: ``location_id, cluster, cells, area``."""
+    return run_clusters(runs_of(cells), grid_size)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.lineage import cut
+from tessera.operators.pyramid import nearest
 from tessera.operators.range_join import range_join
 
 KEY = "location_id"
@@ -66,7 +67,7 @@ def building_proximity(
     buildings: DataFrame, distance: float, weight_method: str = "distance"
 ) -> DataFrame:
     """Unordered building pairs within ``distance``; the weight is the distance, or 1."""
-    shapes = footprints(buildings).select(KEY, "building_id", *SHAPE)
+    shapes = cut(footprints(buildings).select(KEY, "building_id", *SHAPE))
     pairs = range_join(
         renamed(shapes, "a_"),
         renamed(shapes, "b_"),
@@ -98,8 +99,8 @@ def nearest_node(
     before the shuffle.
     """
     px, py = point_xy
-    spots = points.select(KEY, px, py).distinct()
-    targets = nodes.select(KEY, "node", "node_order", "x", "y")
+    spots = cut(points.select(KEY, px, py).distinct())
+    targets = cut(nodes.select(KEY, "node", "node_order", "x", "y"))
     pairs = range_join(targets, spots, distance, ("x", "y", "x", "y"), (px, py, px, py))
     best = F.min(F.struct(F.col("box_gap").alias("d"), "node_order", "node")).alias("best")
     return pairs.groupBy(KEY, px, py).agg(best).select(
@@ -112,6 +113,7 @@ def points_within(
 ) -> DataFrame:
     """Every point-node pair within ``distance``, with the distance."""
     px, py = point_xy
+    nodes, points = cut(nodes), cut(points)
     return range_join(nodes, points, distance, ("x", "y", "x", "y"), (px, py, px, py)).withColumnRenamed(
         "box_gap", "distance"
     )
@@ -135,63 +137,21 @@ def connect_all(buildings: DataFrame, nodes: DataFrame, distance: float = 50.0)
     )
 
 
-def _ring_search(
-    probes: DataFrame,
-    targets: DataFrame,
-    probe_keys: Sequence[str],
-    target_box: Sequence[str],
-    distance: Column,
-    answer: Column,
-    start: float,
-    plane: str,
-) -> DataFrame:
-    """Minimum of ``answer`` over targets at growing radius until every probe has one.
-
-    A probe settled within the radius is exact; the rest try twice the radius, with cells as
-    large, so a round never spreads a probe over more than nine cells. Probes and targets without
-    finite coordinates never meet; they are set aside first and have no answer.
-    """
-
-    def placed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        for c in columns:
-            df = df.filter(F.col(c).isNotNull() & (F.abs(c) < float("inf")))
-        return df
-
-    targets = placed(targets, target_box)
-    probes = placed(probes, ("px", "py"))
-    left = cut(probes.join(targets.select(plane).distinct(), plane, "left_semi"))
-    radius, parts = float(start), []
-    while not left.isEmpty():
-        pairs = range_join(
-            left, targets, radius, ("px", "py", "px", "py"), target_box, key=plane
-        )
-        near = pairs.withColumn("_d", distance).filter(F.col("_d") <= radius)
-        found = cut(near.groupBy(plane, *probe_keys, "px", "py").agg(F.min(answer).alias("best")))
-        parts.append(found)
-        left = cut(left.join(found.select(plane, *probe_keys), [plane, *probe_keys], "left_anti"))
-        radius *= 2
-    if not parts:  # no probes: the same columns from a join of nothing
-        pairs = range_join(left, targets, radius, ("px", "py", "px", "py"), target_box, key=plane)
-        found = pairs.withColumn("_d", distance).groupBy(plane, *probe_keys, "px", "py")
-        return found.agg(F.min(answer).alias("best"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def nearest_by_rings(
+def nearest_targets(
     probes: DataFrame,
     targets: DataFrame,
     probe_keys: Sequence[str],
     target_id: str,
-    start: float,
+    size: float,
     plane: str = KEY,
 ) -> DataFrame:
-    """Nearest target point of every probe point, however far; ties go to the smaller id."""
+    """Nearest target point of every probe point, however far; ties go to the smaller id.
+
+    ``size`` is the side of the finest cells of the search.
+    """
     answer = F.struct(F.col("_d").alias("d"), F.col(target_id).alias("id"))
-    best = _ring_search(
-        probes, targets, probe_keys, ("tx", "ty", "tx", "ty"), F.col("box_gap"), answer, start, plane
+    best = nearest(
+        probes, targets, probe_keys, ("tx", "ty", "tx", "ty"), F.col("box_gap"), answer, size, plane
     )
     return best.select(
         plane, *probe_keys, F.col("best.id").alias(target_id), F.col("best.d").alias("distance")
@@ -202,7 +162,7 @@ def open_points(
     buildings: DataFrame, spacing: float = 100.0, clearance: float = 50.0
 ) -> DataFrame:
     """Lattice points at least ``clearance`` from every building, with that distance."""
-    shapes = footprints(buildings).select(KEY, *SHAPE).distinct()
+    shapes = cut(footprints(buildings).select(KEY, *SHAPE).distinct())
     frame = shapes.groupBy(KEY).agg(
         *[(F.min if c.endswith("min") else F.max)(c).alias("e_" + c) for c in BOX]
     )
@@ -223,17 +183,17 @@ def open_points(
             (F.col("e_y_min") + F.col("iy") * F.lit(spacing)).alias("py"),
         )
     )
-    nearest = _ring_search(
+    found = nearest(
         lattice,
         renamed(shapes, "t_"),
         ["ix", "iy"],
         _box("t_"),
         point_shape_distance("px", "py", "t_"),
         F.col("_d"),
-        max(spacing, clearance),
+        max(spacing, clearance) / 4,
         KEY,
     )
-    return nearest.filter(F.col("best") >= clearance).select(
+    return found.filter(F.col("best") >= clearance).select(
         KEY, "ix", "iy", "px", "py", F.col("best").alias("min_distance")
     )
 
@@ -242,9 +202,10 @@ def building_density(
     points: DataFrame, buildings: DataFrame, radius: float = 200.0, method: str = "gaussian"
 ) -> DataFrame:
     """Built area per square metre of the disc round each point (``px, py``)."""
-    shapes = (
+    shapes = cut(
         footprints(buildings).groupBy(KEY, *SHAPE, "cx", "cy").agg(F.sum("area_m2").alias("area"))
     )
+    points = cut(points)
     near = range_join(
         renamed(shapes, "b_"), points.select(KEY, "px", "py").distinct(), radius, _box("b_"),
         ("px", "py", "px", "py"),
@@ -262,7 +223,7 @@ def building_density(
 
 def neighbour_types(buildings: DataFrame, distance: float = 100.0) -> DataFrame:
     """``location_id, shape columns, type, n``: types within ``distance``, the building included."""
-    kinds = footprints(buildings).groupBy(KEY, *SHAPE, "type").agg(F.count("*").alias("n"))
+    kinds = cut(footprints(buildings).groupBy(KEY, *SHAPE, "type").agg(F.count("*").alias("n")))
     spots = kinds.select(KEY, *SHAPE).distinct()
     pairs = range_join(renamed(kinds, "n_"), spots.select(KEY, *[F.col(c).alias("s_" + c) for c in SHAPE]), distance, _box("n_"), _box("s_"))
     near = pairs.filter(shape_distance("n_", "s_") <= distance)

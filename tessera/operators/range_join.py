@@ -19,14 +19,30 @@ from tessera.functions.geometry import gap
 Box = Sequence[str]  # column names: x_min, y_min, x_max, y_max
 
 HOT_CELL_ROWS = 50_000
+MAX_LEVEL = 60
 MAX_HOT_CELLS = 10_000
 
 
-def _in_cells(df: DataFrame, box: Box, reach: float, size: float, side: str) -> DataFrame:
+def _own_level(df: DataFrame, box: Box, reach: float, size: float, side: str) -> DataFrame:
+    """The level whose cells are at least as large as the row's box, as ``_<side>m``."""
     x_min, y_min, x_max, y_max = (F.col(c) for c in box)
+    width = F.greatest(x_max - x_min, y_max - y_min) + F.lit(2 * reach)
+    level = F.when(width > size, F.ceil(F.log2(width / F.lit(size)))).otherwise(F.lit(0))
+    return df.withColumn(f"_{side}m", F.least(level, F.lit(MAX_LEVEL)).cast("int"))
+
+
+def _in_cells(
+    df: DataFrame, box: Box, reach: float, size: float, side: str, others: Sequence[int]
+) -> DataFrame:
+    """A row for each cell of the row's own level and of the other side's higher ``others``."""
+    x_min, y_min, x_max, y_max = (F.col(c) for c in box)
+    own = F.col(f"_{side}m")
+    higher = F.filter(F.array(*[F.lit(m) for m in others]), lambda m: m > own)
+    df = df.withColumn("_m", F.explode(F.concat(F.array(own), higher)))
+    edge = F.lit(size) * F.pow(F.lit(2.0), F.col("_m"))
 
     def index(value: Column) -> Column:
-        return F.floor(value / F.lit(size))
+        return F.floor(value / edge)
 
     return (
         df.withColumn(f"_{side}x", index(x_min - reach))
@@ -36,6 +52,18 @@ def _in_cells(df: DataFrame, box: Box, reach: float, size: float, side: str) ->
     )
 
 
+def _levels(left: DataFrame, right: DataFrame) -> tuple[list[int], list[int], int]:
+    """The levels of either side, and the rows of the larger side."""
+    found = (
+        left.select(F.lit(0).alias("side"), F.col("_lm").alias("m"))
+        .union(right.select(F.lit(1), "_rm")).filter("m IS NOT NULL")
+        .groupBy("side", "m").count().collect()
+    )
+    sides = [[(m, n) for side, m, n in found if side == k] for k in (0, 1)]
+    lefts, rights = (sorted(m for m, _ in side) for side in sides)
+    return lefts, rights, max(sum(n for _, n in side) for side in sides)
+
+
 def _split_hot_cells(
     left: DataFrame, right: DataFrame, cell: list[str], hot_rows: int
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -105,10 +133,15 @@ def range_join(
     """
     size = float(cell_size or distance)
     reach = distance * (1 + 1e-9)  # rounding must not lose a pair exactly at the distance
-    cell = [key, "_x", "_y"]
-    lefts = _in_cells(left, left_box, reach, size, "l")
-    rights = _in_cells(right, right_box, 0.0, size, "r")
-    lefts, rights, on = _split_hot_cells(lefts, rights, cell, hot_rows)
+    cell = [key, "_m", "_x", "_y"]
+    lefts = _own_level(left, left_box, reach, size, "l")
+    rights = _own_level(right, right_box, 0.0, size, "r")
+    left_levels, right_levels, rows = _levels(lefts, rights)
+    lefts = _in_cells(lefts, left_box, reach, size, "l", right_levels)
+    rights = _in_cells(rights, right_box, 0.0, size, "r", left_levels)
+    on = cell
+    if rows > hot_rows:  # else no cell can hold that many
+        lefts, rights, on = _split_hot_cells(lefts, rights, cell, hot_rows)
 
     def along(low: int, high: int) -> Column:
         return F.greatest(
@@ -118,12 +151,14 @@ def range_join(
         )
 
     box_gap = gap(along(0, 2), along(1, 3))
-    first_shared_cell = (F.col("_x") == F.greatest("_lx", "_rx")) & (
-        F.col("_y") == F.greatest("_ly", "_ry")
+    first_shared_cell = (
+        (F.col("_m") == F.greatest("_lm", "_rm"))
+        & (F.col("_x") == F.greatest("_lx", "_rx"))
+        & (F.col("_y") == F.greatest("_ly", "_ry"))
     )
     pairs = lefts.join(rights, on).filter(first_shared_cell & (box_gap <= distance))
     if condition is not None:
         pairs = pairs.filter(condition)
     return pairs.withColumn("box_gap", box_gap).drop(
-        "_x", "_y", "_lx", "_ly", "_rx", "_ry", "_a", "_b"
+        "_x", "_y", "_m", "_lx", "_ly", "_lm", "_rx", "_ry", "_rm", "_a", "_b"
     )

@@ -395,7 +395,7 @@ def nearest_site(df: DataFrame, sites: DataFrame, max_sites: int = 1000) -> Data
     """The closest of a short list of sites for every row; the list rides along as one array.
 
     ``sites`` has ``location_id, latitude, longitude, name, radius``. Longer lists than
-    ``max_sites`` are searched by grid rings instead. A row without finite coordinates has no site.
+    ``max_sites`` are searched through a pyramid of cells instead, with the same result. A row without finite coordinates has no site.
     """
     listed = sites.select(
         F.col(KEY).alias("site_id"),
@@ -406,23 +406,19 @@ def nearest_site(df: DataFrame, sites: DataFrame, max_sites: int = 1000) -> Data
     )
     rows = listed.limit(max_sites + 1).collect()
     if len(rows) > max_sites:
-        from tessera.operators.proximity import nearest_by_rings
+        from tessera.operators.proximity import nearest_targets
 
-        plane = F.lit(0).alias("_plane")
+        plane, place = F.lit(0).alias("_plane"), ["latitude", "longitude"]
         probes = df.select(
-            plane, KEY, F.col("longitude").alias("px"), F.col("latitude").alias("py")
-        )
+            plane, *place, F.col("longitude").cast("double").alias("px"), F.col("latitude").cast("double").alias("py")
+        ).distinct()
         targets = listed.select(
             plane, "site_id", F.col("site_lon").alias("tx"), F.col("site_lat").alias("ty")
         )
-        found = nearest_by_rings(
-            probes, targets, [KEY], "site_id", start=0.5, plane="_plane"
-        ).select(KEY, "site_id")
-        return (
-            df.join(found, KEY, "left")
-            .join(listed, "site_id", "left")
-            .drop("site_lat", "site_lon")
-        )
+        found = nearest_targets(probes, targets, place, "site_id", size=0.5, plane="_plane")
+        sites_found = found.select(*place, "site_id").join(listed.drop("site_lat", "site_lon"), "site_id")
+        kept = [c for c in df.columns if c not in ("site_id", "site", "radius")]
+        return df.select(kept).join(sites_found, place, "left").select(*kept, "site_id", "site", "radius")
     columns = ["site_id", "site", "radius"]
     array = F.array(
         *[F.struct(*[F.lit(row[c]).alias(c) for c in listed.columns]) for row in rows]

@@ -145,11 +145,12 @@ def permeability_a(
     road_mode: str = "crossed",
     locations: DataFrame | None = None,
 ) -> DataFrame:
-    """Largest open cluster over all open area."""
-    cells = gr.open_space(
-        buildings, roads, resolution, grid_size, threshold, road_mode, locations
+    """Largest open cluster over all open area; no row is made for an empty cell."""
+    bounds = cut(gr.grid_frame(buildings, resolution, locations))
+    blocked = gr.blocked_cells(
+        buildings, bounds, roads, resolution, grid_size, threshold, road_mode
     )
-    clusters = gr.percolation_clusters(cells.filter("is_open_space"), grid_size)
+    clusters = gr.run_clusters(gr.open_runs(blocked, bounds), grid_size)
     sums = clusters.groupBy(KEY).agg(
         F.max("area").alias("largest_cluster_area"),
         F.sum("area").alias("total_open_area"),

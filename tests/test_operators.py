@@ -64,21 +64,93 @@ def test_range_join_splits_hot_cells(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_ring_search_reaches_far(spark):
+def test_range_join_of_boxes_of_all_sizes(spark):
+    from tessera.operators import range_join as rj
+
+    rng = random.Random(4)
+    boxes = []
+    for i in range(90):
+        side = rng.choice([0.0, 1.0, 9.0, 80.0, 700.0])
+        x, y = rng.uniform(-500, 500), rng.uniform(-500, 500)
+        boxes.append((i % 2, i, x, y, x + side, y + side * rng.random()))
+    boxes += [(0, 90, -25_000.0, -25_000.0, 25_000.0, 25_000.0), (1, 91, 5000.0, 0.0, 5001.0, 40_000.0)]
+    box = ["x0", "y0", "x1", "y1"]
+    df = spark.createDataFrame(boxes, "location_id long, id long, x0 double, y0 double, x1 double, y1 double")
+    other = df.select("location_id", F.col("id").alias("id2"), *[F.col(c).alias("o" + c) for c in box])
+
+    def apart(a, b):
+        dx = max(0.0, b[2] - a[4], a[2] - b[4])
+        return math.sqrt(dx * dx + max(0.0, b[3] - a[5], a[3] - b[5]) ** 2)
+
+    for distance in (3.0, 60.0):
+        want = {(a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and apart(a, b) <= distance}
+        for hot_rows in (5, 50_000):
+            got = range_join(df, other, distance, box, ["o" + c for c in box], hot_rows=hot_rows).select("id", "id2").collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    # One footprint of 50 km among 10,000 small ones: a few rows for each, not one for each cell.
+    small = spark.range(10_000).selectExpr(
+        "0L AS location_id", "id", "10D * (id % 100) AS x0", "10D * (id div 100) AS y0", "10D * (id % 100) + 5 AS x1",
+        "10D * (id div 100) + 5 AS y1",
+    )
+    both = rj._own_level(small.union(df.filter("id = 90")), box, 20.0, 20.0, "l")
+    levels = [r[0] for r in both.select("_lm").distinct().collect()]
+    assert rj._in_cells(both, box, 20.0, 20.0, "l", levels).count() < 200_000
+
+
+def test_nearest_target_is_found_far_away(spark):
     probes = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 900.0, 0.0), (2, 3, 5.0, 5.0)], "location_id long, p long, px double, py double")
     targets = spark.createDataFrame([(1, 7, 3.0, 4.0), (1, 8, 100.0, 0.0)], "location_id long, t long, tx double, ty double")
-    got = {r.p: (r.t, r.distance) for r in px.nearest_by_rings(probes, targets, ["p"], "t", start=1.0).collect()}
+    got = {r.p: (r.t, r.distance) for r in px.nearest_targets(probes, targets, ["p"], "t", size=1.0).collect()}
     assert got == {1: (7, 5.0), 2: (8, 800.0)}  # no target in location 2
 
 
 def test_nearest_site_long_list(spark):
     sites = loc.curated_locations(spark)
-    given = [(1, 35.0, 139.0), (2, 40.0, -74.0), (3, None, 139.0), (4, 35.0, float("nan"))]
+    given = [(1, 35.0, 139.0), (1, 40.0, -74.0), (1, 35.0, 139.0), (2, 40.0, -74.0), (3, None, 139.0), (4, 35.0, float("nan"))]
     rows = spark.createDataFrame(given, "location_id long, latitude double, longitude double")
-    short = {r.location_id: r.site for r in st.nearest_site(rows, sites).collect()}
-    rings = {r.location_id: r.site for r in st.nearest_site(rows, sites, max_sites=3).collect()}
-    assert short == rings
-    assert short[3] is None and short[4] is None and short[1] and short[2]
+    short, long = (
+        sorted(map(str, st.nearest_site(rows, sites, **more).select("location_id", "latitude", "site_id", "site", "radius").collect()))
+        for more in ({}, {"max_sites": 3})
+    )
+    assert short == long and len(short) == len(given)
+    found = {r.location_id: r.site for r in st.nearest_site(rows, sites).collect()}
+    assert found[3] is None and found[4] is None and found[1] and found[2]
+
+
+def test_nearest_targets_by_brute_force(spark):
+    rng = random.Random(9)
+    spots = [(p, t, rng.gauss(0, 10) + 5000 * (t % 3), rng.gauss(0, 10)) for p in (1, 2) for t in range(60)]
+    spots += [(1, 200 + k, 100 * math.cos(k), 100 * math.sin(k)) for k in range(40)]  # a ring round the origin
+    spots += [(1, 300, 5000.0, 0.0), (1, 301, 5000.0, 0.0), (2, 302, None, 0.0), (2, 303, math.inf, 0.0)]
+    asked = [(1, 0, 0.0, 0.0), (1, 1, 5000.0, 0.0), (2, 2, 1e6, -1e6), (2, 3, None, 1.0), (3, 4, 0.0, 0.0)]
+    asked += [(1 + k % 2, 5 + k, rng.uniform(-9000, 9000), rng.uniform(-50, 50)) for k in range(40)]
+    probes = spark.createDataFrame(asked, "location_id long, p long, px double, py double")
+    targets = spark.createDataFrame(spots, "location_id long, t long, tx double, ty double")
+    want = {}
+    for plane, p, x, y in asked:
+        if x is None:
+            continue
+        near = [(math.sqrt((x - a) ** 2 + (y - b) ** 2), t) for q, t, a, b in spots if q == plane and a is not None and a < math.inf]
+        if near:
+            want[p] = min(near)[1]
+    for size in (3.0, 50.0, 1e5):
+        got = {r.p: r.t for r in px.nearest_targets(probes, targets, ["p"], "t", size=size).collect()}
+        assert got == want
+    assert px.nearest_targets(probes, targets.limit(0), ["p"], "t", size=5.0).count() == 0
+
+
+def test_a_far_probe_meets_few_targets(spark):
+    """A probe far from a dense town measures its facing edge at most, not its 40,000 buildings."""
+    from tessera.operators import pyramid
+
+    town = spark.range(40_000).selectExpr(
+        "1L AS location_id", "id AS t", "10D * (id % 200) AS tx", "10D * (id div 200) AS ty"
+    )
+    probes = spark.createDataFrame([(1, 1, 100_000.0, 700.0)], "location_id long, p long, px double, py double")
+    place = ["p"], ("tx", "ty", "tx", "ty")
+    assert pyramid.candidates(probes, town, *place, 25.0, "location_id").count() < 400
+    best = px.nearest_targets(probes, town, ["p"], "t", size=25.0).first()
+    assert (best.t, best.distance) == (14_199, 98_010.0)
 
 
 def test_draws_repeat_whatever_the_partitions(spark):
@@ -184,6 +256,51 @@ def test_checkerboard(spark):
     assert len(rows) == 13 and all(r.cells == 1 and r.area == 2500.0 for r in rows)
 
 
+def flood(cells):
+    """4-connected clusters of a set of cells, by plain flooding."""
+    left, sizes = set(cells), []
+    while left:
+        todo, size = [left.pop()], 0
+        while todo:
+            x, y = todo.pop()
+            size += 1
+            for near in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+        sizes.append(size)
+    return sorted(sizes)
+
+
+def test_open_runs_against_flooding(spark):
+    rng = random.Random(6)
+    sides = {1: (17, 13, 0.5), 2: (30, 8, 0.2), 3: (9, 9, 0.0), 4: (6, 6, 1.0), 5: (0, 4, 0.0), 6: (12, 20, 0.04), 7: (1, 9, 0.4)}
+    blocked, want = [], {}
+    for place, (nx, ny, share) in sides.items():
+        closed = {(x, y) for x in range(nx) for y in range(ny) if rng.random() < share}
+        blocked += [(place, x, y) for x, y in closed]
+        want[place] = flood({(x, y) for x in range(nx) for y in range(ny)} - closed)
+    frames = spark.createDataFrame([(k, nx, ny) for k, (nx, ny, _) in sides.items()], "location_id long, nx long, ny long")
+    runs = gr.open_runs(spark.createDataFrame(blocked, "location_id long, ix long, iy long"), frames)
+    got = {}
+    for r in gr.run_clusters(runs).collect():
+        got.setdefault(r.location_id, []).append(r.cells)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_one_building_far_off(spark):
+    """A hundred million empty cells are a few bands, not rows."""
+    shapes = [square(60.0 * k, 60.0 * (k % 3), 30.0) for k in range(12)] + [square(100_000.0, 100_000.0, 30.0)]
+    df = make(spark, shapes, area=900.0)
+    bounds = gr.grid_frame(df, 10.0)
+    runs = gr.open_runs(gr.blocked_cells(df, bounds, grid_size=50.0), bounds)
+    assert runs.count() < 300
+    nx, ny = bounds.select("nx", "ny").first()
+    blocked = gr.blocked_cells(df, bounds, grid_size=50.0).count()
+    row = ind.permeability_a(df).first()
+    assert blocked > 0 and row.total_open_area == (nx * ny - blocked) * 2500.0
+
+
 def test_small_grid(spark):
     cells = gr.analysis_grid(gr.grid_frame(make(spark, [square(0.0, 0.0, 40.0)]), 10.0)).collect()
     assert {(r.ix, r.iy) for r in cells} == {(i, j) for i in range(3) for j in range(3)}
