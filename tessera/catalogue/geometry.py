@@ -9,9 +9,11 @@ from tessera.catalogue import query
 from tessera.fixtures import with_views
 from tessera.functions import geometry as g
 from tessera.functions import labels
+from tessera.lineage import new_folder
 from tessera.operators import statistics as st
 from tessera.sources import features as ft
 from tessera.sources import locations as loc
+from tessera.sources import results as rs
 
 KEY = "location_id"
 
@@ -675,9 +677,89 @@ def sample_weighted(spark, sf_dir):
     return loc.sample_locations_weighted(_supplier_cities(spark, sf_dir), 300).select(KEY, "type")
 
 
-@query("sample_choice")
+@query(
+    "sample_choice",
+    with_views(
+        """SELECT location_id, row_number() OVER (ORDER BY location_id) <= least(50, count(*) OVER () // 3) AS near,
+          true AS placed FROM location_metrics""",
+        "location_metrics",
+    ),
+)
 def sample_choice(spark, sf_dir):
-    return loc.sample_locations_choice(_supplier_cities(spark, sf_dir), 300)
+    """Which rows draw a city, and whether each lies where its draw puts it."""
+    cities = _supplier_cities(spark, sf_dir)
+    drawn = loc.sample_locations_choice(fx.location_metrics(spark, sf_dir), cities)
+    centre = cities.select(F.col("city_order").cast("long"), F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
+    at_city = (F.abs(F.col("latitude") - F.col("clat")) < 1) & (F.abs(F.col("longitude") - F.col("clon")) < 1)
+    inside = F.col("latitude").between(20, 46) & F.col("longitude").between(122, 154)
+    return drawn.join(centre, "city_order", "left").select(
+        KEY, F.col("city_order").isNotNull().alias("near"),
+        F.when(F.col("city_order").isNotNull(), at_city).otherwise(inside).alias("placed"),
+    )
+
+
+@query(
+    "stored_features_in_windows",
+    with_views(
+        """SELECT w.location_id, f.location_id AS building_id
+        FROM (SELECT *, 0.001::DOUBLE + 0.9::DOUBLE * (location_id % 7) AS side FROM location_metrics) f
+        JOIN (SELECT location_id,
+            longitude - 60000.0::DOUBLE / (111000.0::DOUBLE * cos(radians(latitude))) AS w,
+            longitude + 60000.0::DOUBLE / (111000.0::DOUBLE * cos(radians(latitude))) AS e,
+            latitude - 60000.0::DOUBLE / 111000.0::DOUBLE AS s,
+            latitude + 60000.0::DOUBLE / 111000.0::DOUBLE AS n FROM location_metrics WHERE location_id % 10 = 3) w
+          ON f.longitude + side >= w.w AND f.longitude <= w.e AND f.latitude + side >= w.s AND f.latitude <= w.n""",
+        "location_metrics",
+    ),
+)
+def stored_features_in_windows(spark, sf_dir):
+    """Overlapping windows over a table ingested by tile, with features that span tiles."""
+    path = _ingested(spark, sf_dir)
+    places = fx.location_metrics(spark, sf_dir).filter("location_id % 10 = 3").withColumn("radius", F.lit(60000))
+    return ft.stored_features_in_windows(spark, path, places, zoom=7).select(KEY, "building_id")
+
+
+@query(
+    "stored_filter_bounds",
+    with_views(
+        """SELECT location_id AS building_id
+        FROM (SELECT *, 0.001::DOUBLE + 0.9::DOUBLE * (location_id % 7) AS side FROM location_metrics)
+        WHERE longitude + side >= 135 AND longitude <= 137.5 AND latitude + side >= 34 AND latitude <= 35.5""",
+        "location_metrics",
+    ),
+)
+def stored_filter_bounds(spark, sf_dir):
+    path = _ingested(spark, sf_dir)
+    return ft.stored_filter_by_bounds(spark, path, "ring", 135.0, 34.0, 137.5, 35.5, zoom=7).select("building_id")
+
+
+def _ingested(spark, sf_dir):
+    """Squares of 0.001 to 5.4 degrees, written by tile."""
+    side = F.lit(0.001) + F.lit(0.9) * (F.col(KEY) % 7)
+    x, y = F.col("longitude"), F.col("latitude")
+    corners = [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
+    squares = fx.location_metrics(spark, sf_dir).select(F.col(KEY).alias("building_id"), ring.alias("ring"))
+    path = new_folder(spark, "features")
+    ft.write_features(squares, path, "ring", zoom=7)
+    return path
+
+
+@query(
+    "results_table",
+    with_views(
+        """SELECT location_id, latitude, longitude, name, CAST(1000 AS INTEGER) AS radius, sparsity, resilience,
+          multi_nodality, permeability, emergence, overlap FROM location_metrics""",
+        "location_metrics",
+    ),
+)
+def results_table(spark, sf_dir):
+    """The result table written as CSV and read back, the first of two paths missing."""
+    path = new_folder(spark, "results")
+    columns = [c.split()[0] for c in rs.RESULT_SCHEMA.split(", ")]
+    rows = fx.location_metrics(spark, sf_dir).withColumn("radius", F.lit(1000)).select(columns)
+    rs.write_results(rows, f"{path}/table", "csv")
+    return rs.read_results(spark, f"{path}/missing", f"{path}/table")
 
 
 @query(

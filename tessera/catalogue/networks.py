@@ -255,7 +255,28 @@ def road_component_sizes(spark, sf_dir):
     ),
 )
 def network_statistics(spark, sf_dir):
-    return nw.network_statistics(urban(spark, sf_dir)).withColumn("density", F.round("density", 9))
+    found = nw.network_statistics(urban(spark, sf_dir)).withColumn("density", F.round("density", 9))
+    kinds = {"nodes": ("building", "road"), "edges": ("road", "building_road_connection", "building_building")}
+    for what, names in kinds.items():
+        for name in names:
+            count = F.coalesce(F.try_element_at(f"{what}_by_type", F.lit(name)), F.lit(0))
+            found = found.withColumn(f"{name}_{what}", count.cast("long"))
+    return found.drop("nodes_by_type", "edges_by_type")
+
+
+def type_counts_sql(nodes, edges):
+    """Maps as JSON text, keys in order."""
+    return f"""SELECT location_id, nodes_by_type, coalesce(edges_by_type, '{{}}') AS edges_by_type FROM (
+        SELECT location_id, '{{' || string_agg('"' || node_type || '":' || n, ',' ORDER BY node_type) || '}}' AS nodes_by_type
+        FROM (SELECT location_id, node_type, count(*) AS n FROM {nodes} GROUP BY ALL) GROUP BY location_id)
+      LEFT JOIN (SELECT location_id, '{{' || string_agg('"' || edge_type || '":' || n, ',' ORDER BY edge_type) || '}}' AS edges_by_type
+        FROM (SELECT location_id, edge_type, count(*) AS n FROM {edges} GROUP BY ALL) GROUP BY location_id) USING (location_id)"""
+
+
+@query("network_type_counts", graph_sql(type_counts_sql("un", "ue"), URBAN))
+def network_type_counts(spark, sf_dir):
+    found = nw.network_statistics(urban(spark, sf_dir))
+    return found.select(KEY, *[F.to_json(c).alias(c) for c in ("nodes_by_type", "edges_by_type")])
 
 
 # --- analytics ----------------------------------------------------------------------------

@@ -279,27 +279,31 @@ def density(n: Column, m: Column) -> Column:
     return F.when((n > 1) & (m > 0), F.lit(2.0) * m / (n * (n - 1))).otherwise(F.lit(0.0))
 
 
-EDGE_TYPES = ["road", "building_road_connection", "building_building"]
+def counts_by_type(rows: DataFrame, kind: str, total: str, name: str) -> DataFrame:
+    """``location_id``, the number of rows, and a map from each type present to its rows.
+
+    Types are counted before anything is gathered, so a location gathers one entry for each type.
+    """
+    entry = F.struct(F.coalesce(kind, F.lit("")).alias("key"), F.col("n").alias("value"))
+    return rows.groupBy(KEY, kind).agg(F.count("*").alias("n")).groupBy(KEY).agg(
+        F.sum("n").alias(total),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name),
+    )
 
 
 def network_statistics(network: Network) -> DataFrame:
-    """Sizes, density, connectivity and counts by type, one row per location."""
-    nodes = network.nodes.groupBy(KEY).agg(
-        F.count("*").alias("num_nodes"),
-        *[F.count_if(F.col("node_type") == t).alias(f"{t}_nodes") for t in ("building", "road")],
-    )
-    edges = network.edges.groupBy(KEY).agg(
-        F.count("*").alias("num_edges"),
-        *[F.count_if(F.col("edge_type") == t).alias(f"{t}_edges") for t in EDGE_TYPES],
-    )
+    """Sizes, density, connectivity and counts by every type present, one row per location."""
+    nodes = counts_by_type(network.nodes, "node_type", "num_nodes", "nodes_by_type")
+    edges = counts_by_type(network.edges, "edge_type", "num_edges", "edges_by_type")
     sizes = component_sizes(connected_components(network.nodes, network.edges))
     parts = sizes.groupBy(KEY).agg(
         F.count("*").alias("num_components"), F.max("size").alias("largest_component_size")
     )
-    counts = ["num_edges", *[f"{t}_edges" for t in EDGE_TYPES]]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     return (
         nodes.join(edges, KEY, "left")
-        .fillna(0, counts)
+        .fillna(0, ["num_edges"])
+        .withColumn("edges_by_type", F.coalesce("edges_by_type", none))
         .join(parts, KEY)
         .withColumn("density", density(F.col("num_nodes"), F.col("num_edges")))
         .withColumn("is_connected", F.col("num_components") == 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_RADIUS_M = 2000
@@ -114,31 +114,43 @@ def sample_locations_weighted(cities: DataFrame, n: int, seed: int = 42) -> Data
     return near.unionByName(rest)
 
 
-def sample_locations_choice(cities: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``min(50, n // 3)`` weighted picks with jitter, then uniform rows.
+def sample_locations_choice(
+    wanted: DataFrame, cities: DataFrame, picks: int | None = None, seed: int = 42
+) -> DataFrame:
+    """A place for each wanted ``location_id``: near a city drawn by weight for the first ones, else uniform.
 
-    The city list is a small dimension; a draw picks the city whose cumulative weight interval
-    holds it.
+    The first ``picks`` rows by ``location_id`` (a third of all, 50 at most, if not given) draw a city by its
+    integer ``weight``: every city holds as many places in one running order as it weighs, and a draw joins
+    on the place. A city that no row draws has no copies in the result; rows are never put in one task.
     """
-    spark = cities.sparkSession
-    picks = min(50, n // 3)
-    # The city list is a dimension of at most a few hundred rows, so its running sum is one task.
-    upto = Window.orderBy("city_order").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("weight").over(upto) / F.sum("weight").over(Window.partitionBy())
-    intervals = cities.withColumn("high", F.round(share, 12)).withColumn(
-        "low", F.coalesce(F.lag("high").over(Window.orderBy("city_order")), F.lit(0.0))
-    )
-    draws = spark.range(picks).withColumn("u", drawn(seed, F.col("id")))
-    near = draws.join(
-        F.broadcast(intervals), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))
-    ).select(
-        F.col("id").alias("location_id"),
-        (F.col("latitude") + drawn_normal(seed + 1, F.col("id")) * 0.1).alias("latitude"),
-        (F.col("longitude") + drawn_normal(seed + 2, F.col("id")) * 0.1).alias("longitude"),
-    )
-    rest = _uniform_rows(spark, n - picks, seed + 3).select(
-        (F.col("id") + picks).alias("location_id"), "latitude", "longitude"
-    )
+    from tessera.operators.ordering import running_positions
+
+    whole = F.lit(0).alias("_all")
+    rows = running_positions(wanted.select("location_id", whole), ["_all"], ["location_id"])
+    limit = F.lit(picks) if picks is not None else F.least(F.lit(50), F.floor(F.col("group_total") / 3))
+    rows = rows.select("location_id", (F.col("before") < limit).alias("near"))
+    slots = running_positions(
+        cities.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).withColumn("_all", F.lit(0)),
+        ["_all"], ["city_order", "_copy"],
+    )
+    n_slots = slots.agg(F.max("group_total")).first()[0] or 0
+    key = F.col("location_id")
+    drawn_slot = F.floor(drawn(seed, key) * F.lit(n_slots)).alias("slot")
+    near = (
+        rows.filter("near").select("location_id", drawn_slot)
+        .join(slots.select(F.col("before").alias("slot"), "city_order", "latitude", "longitude"), "slot")
+        .select(
+            "location_id", F.col("city_order").cast("long").alias("city_order"),
+            (F.col("latitude") + drawn_normal(seed + 1, key) * 0.1).alias("latitude"),
+            (F.col("longitude") + drawn_normal(seed + 2, key) * 0.1).alias("longitude"),
+        )
+    )
+    b = NATIONAL_BOUNDS
+    rest = rows.filter("NOT near").select(
+        "location_id", F.lit(None).cast("long").alias("city_order"),
+        (F.lit(b["south"]) + drawn(seed + 3, key) * (b["north"] - b["south"])).alias("latitude"),
+        (F.lit(b["west"]) + drawn(seed + 4, key) * (b["east"] - b["west"])).alias("longitude"),
+    )
     return near.unionByName(rest)
 
 
