@@ -17,8 +17,8 @@ to the set that most of its rows agree on, so that X holds only what x has, or l
   by their count within the leader's rows, rarest first, so those of one row alone come first and never
   meet; filters for size, position and component follow.
 
-In a list of more than ``LIST`` rows with an element in common, all are first compared with one of them, for
-``ROUNDS`` rounds, and only what these links leave unconnected is paired. So a bucket is not expanded
+Where such lists are crowded, all rows of a list are first compared with one of them, for up to ``ROUNDS``
+rounds, and only what these links leave unconnected is paired. So a bucket is not expanded
 into its pairs, and no link between rows that share a bucket is lost: similarity is computed on the full
 sets, from the texts, and a pair that is passed over is either connected or too far apart. What is left
 are pairs of rows that have a rare element in common and enough others to be similar, but are not
@@ -48,8 +48,9 @@ from tessera.llm.store import stored
 HALVES, ROWS = 10, 2
 #: Rows that one task compares with their leader.
 SHARE = 256
-#: Longer lists of rows with a rare element in common are compared with one row first, so many times.
-LIST, ROUNDS = 8, 2
+#: If lists of rows with a rare element in common hold more than ``CROWDED`` pairs for each row, all rows of
+#: those longer than ``LIST`` are compared with one of them first, up to so many times.
+CROWDED, LIST, ROUNDS = 256, 8, 2
 
 _seeds = np.random.Generator(np.random.PCG64(85)).integers(
     1, 1 << 63, (2, 2 * HALVES * ROWS), np.uint64
@@ -224,28 +225,32 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
         return known
     differs = differences(rows.filter("a <> b").select("a", "b"), texts, size)
     placed, entries = _rare_elements(rows, differs, percent)
-    known = more_links(known, _near_centre(placed))
-    for turn in range(ROUNDS):
-        head = F.min_by("b", F.xxhash64("b", F.lit(turn)))
-        heads = _lists(entries, components(known), LIST).groupBy("a", "e").agg(head.alias("head"))
-        heads = entries.join(heads, ["a", "e"]).select(F.col("head").alias("a"), "b")
-        known = more_links(known, heads)
-    return more_links(known, _pairs(_lists(entries, components(known), 1), percent))
+    lists = stored(_lists(entries))
+    turn, most = 0, CROWDED * rows.count()
+    while turn < ROUNDS and _volume(lists) > most:
+        long = lists.filter(F.col("size") > LIST)
+        heads = long.groupBy("a", "e").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("head"))
+        known = more_links(known, long.join(heads, ["a", "e"]).select(F.col("head").alias("a"), "b"))
+        lists = stored(_lists(_rooted(entries, components(known))))
+        turn += 1
+    # Near rows are linked through their centre in any case, so these pairs need not wait for that.
+    return more_links(known, _near_centre(placed).union(_pairs(lists, percent)))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    roots = roots.withColumnRenamed("node", "b")
+    """``rows`` with the root of ``b`` as ``root``."""
+    rows, roots = rows.drop("root"), roots.withColumnRenamed("node", "b")
     return rows.join(roots, "b", "left").withColumn("root", F.coalesce("root", "b"))
 
 
 def _open_groups(judged: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b, n, d``: rows of the leaders whose rows are not all connected, the leader included."""
+    """``a, b, n, d, root``: rows of the leaders whose rows are not all connected, the leader included."""
     own = judged.groupBy("a").agg(F.max("na").alias("n"))
     rows = judged.select("a", "b", F.col("nb").alias("n"), (F.col("total") - F.col("common")).alias("d"))
     rows = rows.union(own.select("a", F.col("a").alias("b"), "n", F.lit(0).cast("long")))
     # The leader's own row always has its root, so groups of linked rows alone are not open.
     ends = _rooted(rows, roots).groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rows.join(ends.filter("lo <> hi").select("a"), "a", "left_semi")
+    return _rooted(rows, roots).join(ends.filter("lo <> hi").select("a"), "a", "left_semi")
 
 
 def _rare_elements(rows: DataFrame, differs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -284,17 +289,24 @@ def _rare_elements(rows: DataFrame, differs: DataFrame, percent: int) -> tuple[D
     )
     none = F.array().cast("array<struct<rare:bigint,e:bigint>>")
     placed = rows.join(moved, ["a", "b"], "left").select(
-        "a", "b", "n", (F.col("d") + F.coalesce("change", F.lit(0))).alias("d"), F.coalesce("met", none).alias("met")
+        "a", "b", "n", "root", (F.col("d") + F.coalesce("change", F.lit(0))).alias("d"),
+        F.coalesce("met", none).alias("met"),
     )
     t = F.col("d") * plus - F.col("n") * minus
     placed = stored(placed.withColumn("t", t))
-    nearest = placed.groupBy("a").agg(F.min("t").alias("low"), F.min_by("b", F.struct("t", "b")).alias("centre"))
-    placed = stored(placed.join(nearest, "a").withColumn("near", F.col("t") + F.col("low") <= 0))
+    first = F.min_by(F.struct("b", "root"), F.struct("t", "b")).alias("first")
+    nearest = placed.groupBy("a").agg(F.min("t").alias("low"), first)
+    near = F.col("t") + F.col("low") <= 0
+    placed = stored(
+        placed.join(nearest, "a").withColumns(
+            {"near": near, "centre": F.col("first.b"), "root": F.when(near, F.col("first.root")).otherwise(F.col("root"))}
+        )
+    )
     most = F.expr(f"({minus} * (n + n * 100 div {percent})) div {plus}")
     outside = F.floor((F.col("d") * plus + F.col("n") * minus + F.col("low")) / (2 * plus))
     outside = F.when(F.col("near"), outside).otherwise(F.least(outside, F.floor(most / 2)))
     alone = F.col("d") - F.size("met")
-    columns = ["a", "b", "near", "n", "d", "most", "outside", "alone"]
+    columns = ["a", "b", "root", "near", "n", "d", "most", "outside", "alone"]
     entries = (
         placed.withColumns({"most": most, "outside": outside, "alone": alone})
         .withColumn("take", F.when(F.col("near"), F.col("outside")).otherwise(F.greatest("outside", "most")) + 1 - F.col("alone"))
@@ -310,20 +322,28 @@ def _near_centre(placed: DataFrame) -> DataFrame:
     return placed.filter("near").select(F.col("centre").alias("a"), "b")
 
 
-def _lists(entries: DataFrame, roots: DataFrame, longer: int) -> DataFrame:
-    """Entries of the lists, of more than ``longer`` rows, whose rows are not all connected."""
-    rows = _rooted(entries, roots)
+def _lists(entries: DataFrame) -> DataFrame:
+    """Entries of the lists, with their ``size``, whose rows are not all connected."""
     left = (
-        rows.groupBy("a", "e")
+        entries.groupBy("a", "e")
         .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .filter((F.col("size") > longer) & (F.col("lo") != F.col("hi")))
+        .filter("size > 1 AND lo <> hi")
     )
-    return rows.join(left.select("a", "e"), ["a", "e"], "left_semi")
+    return entries.join(left.select("a", "e", "size"), ["a", "e"])
+
+
+PROBES, LISTED = "NOT near AND at <= most", "at <= outside"
+
+
+def _volume(entries: DataFrame) -> int:
+    """Pairs that a join of the lists looks at."""
+    each = entries.groupBy("a", "e").agg(F.count_if(F.expr(PROBES)).alias("x"), F.count_if(F.expr(LISTED)).alias("y"))
+    return each.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
 
 
 def _pairs(entries: DataFrame, percent: int) -> DataFrame:
     """``a, b``: pairs of a list that may be similar and are not connected so far."""
-    probes, listed = entries.filter("NOT near AND at <= most").alias("x"), entries.filter("at <= outside").alias("y")
+    probes, listed = entries.filter(PROBES).alias("x"), entries.filter(LISTED).alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     allowed = F.floor((x("n") + y("n")) * (100 - percent) / (100 + percent))
     needed = F.ceil((x("d") + y("d") - allowed) / 2)
