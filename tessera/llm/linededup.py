@@ -1,17 +1,19 @@
 """Line dedup by content-defined chunks of lines.
 
 A chunk ends after a line where a rolling hash over the hashes of it and the line before is smaller than
-at both neighbours; so boundaries follow the content alone, chunks have two lines at least and three in
-the mean, and a passage that starts at another place in another document falls into the same
-chunks after its first one. Chunks of two or more lines that are not blank
-are looked up by hash over all documents. The first occurrence (smallest doc_id, then position)
-stays; any other is removed once its bytes equal those of the first.
+at both neighbours. Blank lines take no part in that: neighbours are the nearest lines that are not blank.
+So boundaries follow the content alone, chunks have two such lines at least and three in the mean, and a
+passage that starts at another place in another document falls into the same chunks after its first
+one, whatever blank lines stand around it. Chunks of two or more lines that are not blank
+are looked up by hash over all documents, from their first to their last such line. The first occurrence
+(smallest doc_id, then position) stays; any other is removed once its bytes equal those of the first, with
+the blank lines before it (and those at the end of the document after its last chunk).
 
 Defined cases: a null text stays null. Rows without a doc_id take no part and stay as they are.
 Rows that repeat a doc_id count as one document. A chunk whose hash equals the first's but whose
-bytes differ stays. A document that loses all its lines has the empty text. Blank lines count as
-lines of a chunk but not towards its two. Other columns pass through under their own names. Memory
-in a task follows the longest text.
+bytes differ stays. A document that loses all its lines has the empty text; one of blank lines alone stays.
+Other columns pass through under their own names; where they hold the names of the two new columns, these take
+more underscores in front. Memory in a task follows the longest text.
 """
 
 from __future__ import annotations
@@ -33,10 +35,13 @@ NEWLINE = 0x0A
 
 
 class Chunks(NamedTuple):
-    """Chunks of consecutive documents: byte spans without the last newline, hash, lines not blank."""
+    """Chunks of consecutive documents: byte spans with the blank lines around, without the last newline;
+    spans from the first to the last line that is not blank, their hash, and number of such lines."""
 
     start: np.ndarray
     end: np.ndarray
+    body: np.ndarray
+    body_end: np.ndarray
     hash: np.ndarray
     full: np.ndarray
     first: np.ndarray
@@ -54,35 +59,36 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     start = np.concatenate([start[start < len(data)], ended])
     order = np.lexsort((start, owner))
     start, owner = start[order], owner[order]
-    if not len(owner):
-        return Chunks(start, start, np.zeros(0, np.uint64), start, np.zeros(len(offsets), np.int64))
     stop = np.searchsorted(breaks, start)
     end = np.append(breaks, len(data))[stop]
-    end = np.maximum(np.minimum(end, offsets[owner + 1]), start)
+    end = np.maximum(np.minimum(end, offsets[owner + 1]), start) if len(owner) else start
     words = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~T.SPACE[data], out=words[1:])
-    solid = words[end] > words[start]
-    line = T.span_hash(T._BYTES[0][data], start, end)
-    new = np.ones(len(owner) + 1, bool)
-    new[1:-1] = owner[1:] != owner[:-1]
-    before = np.where(new[:-1], T.U(0), np.roll(line, 1))
+    solid = np.flatnonzero(words[end] > words[start])
+    if not len(solid):
+        none = np.zeros(0, np.int64)
+        return Chunks(none, none, none, none, np.zeros(0, np.uint64), none, np.zeros(len(offsets), np.int64))
+    doc = owner[solid]
+    line = T.span_hash(T._BYTES[0][data], start[solid], end[solid])
+    opens = np.append(True, doc[1:] != doc[:-1])
+    before = np.where(opens, T.U(0), np.roll(line, 1))
     rolled = T.mix(line + before * T.U(31))
     # A line opens a chunk if the one before it is a minimum within its document, but for the last.
-    opens = new[:-1].copy()
     if len(rolled) > 3:
         low = (rolled[1:-2] < rolled[:-3]) & (rolled[1:-2] <= rolled[2:-1])
-        inside = (owner[:-3] == owner[1:-2]) & (owner[1:-2] == owner[3:])
+        inside = (doc[:-3] == doc[1:-2]) & (doc[1:-2] == doc[3:])
         opens[2:-1] |= low & inside
     opens = np.flatnonzero(opens)
-    closes = np.append(opens[1:], len(owner))
-    counts = np.zeros(len(owner) + 1, np.int64)
-    np.cumsum(solid, out=counts[1:])
-    last = closes - 1
-    whole = T.span_hash(T._BYTES[1][data], start[opens], end[last], 1)
-    return Chunks(
-        start[opens], end[last], whole, counts[closes] - counts[opens],
-        np.searchsorted(owner[opens], np.arange(len(offsets))),
-    )
+    last = np.append(opens[1:], len(solid)) - 1
+    body, body_end = start[solid[opens]], end[solid[last]]
+    of = doc[opens]
+    first = np.searchsorted(of, np.arange(len(offsets)))
+    # Spans with blank lines: from the end of the chunk before, and to the end of the document.
+    leads, trails = np.append(True, of[1:] != of[:-1]), np.append(of[1:] != of[:-1], True)
+    whole_start = np.where(leads, offsets[of], np.append(0, body_end[:-1] + 1))
+    whole_end = np.where(trails, offsets[of + 1], body_end)
+    whole = T.span_hash(T._BYTES[1][data], body, body_end, 1)
+    return Chunks(whole_start, whole_end, body, body_end, whole, last - opens + 1, first)
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
@@ -123,7 +129,7 @@ def _chunk_bytes(rows: DataFrame) -> DataFrame:
                         place = at + want["chunk"]
                         if place >= c.first[k - lo + 1] or int(T.signed(c.hash)[place]) != want["h"]:
                             continue
-                        found = data[c.start[place] : c.end[place]].tobytes()
+                        found = data[c.body[place] : c.body_end[place]].tobytes()
                         for share in want["shares"]:
                             row = (want["h"], share, want["first"], ids[k], want["chunk"], found)
                             for column, value in zip(out, row):
@@ -197,6 +203,9 @@ def repeated_chunks(texts: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and the columns ``_lines_removed`` and
     ``_chunks_removed``."""
+    added = ["_lines_removed", "_chunks_removed"]
+    while set(added) & set(docs.columns):
+        added = [f"_{name}" for name in added]
     numbered = docs.filter("doc_id IS NOT NULL")
     texts = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = (
@@ -236,15 +245,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             columns[at_text] = pa.array(new, batch.schema.field(at_text).type)
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(lines, pa.int64()), pa.array(cuts, pa.int64())],
-                [*batch.schema.names[: len(names)], "_lines_removed", "_chunks_removed"],
+                [*batch.schema.names[: len(names)], *added],
             )
 
-    zero = docs.withColumns({"_lines_removed": spare, "_chunks_removed": spare})
+    zero = docs.withColumns({name: spare for name in added})
     marked = numbered.join(gone, numbered["doc_id"].cast("long") == gone["_id"], "left").select(
         *[numbered[c] for c in names], gone["_gone"]
     )
     rewritten = marked.mapInArrow(run, zero.schema)
     untouched = docs.filter("doc_id IS NULL").withColumns(
-        {"_lines_removed": F.lit(0).cast("long"), "_chunks_removed": F.lit(0).cast("long")}
+        {name: F.lit(0).cast("long") for name in added}
     )
     return rewritten.unionByName(untouched)

@@ -66,20 +66,26 @@ def line_brute(prose):
             out[doc_id] = (text, 0, 0)
             continue
         lines = text.encode().split(b"\n")
-        hashes = [line_hash(line) for line in lines]
+        full = [k for k, line in enumerate(lines) if words_of(line.decode())]
+        if not full:
+            out[doc_id] = (text, 0, 0)
+            continue
+        hashes = [line_hash(lines[k]) for k in full]
         joined = [(h + b * 31) % 2**64 for h, b in zip(hashes, [0, *hashes])]
         r = [int(x) for x in T.mix(np.array(joined, np.uint64))]
         ends = [k for k in range(1, len(r) - 2) if r[k - 1] > r[k] <= r[k + 1]] + [len(r) - 1]
-        chunks = [lines[a + 1 : b + 1] for a, b in zip([-1, *ends], ends)]
-        kept, lines, cuts = [], 0, 0
-        for chunk in chunks:
-            body = b"\n".join(chunk)
-            if sum(1 for line in chunk if words_of(line.decode())) >= 2:
-                if body in seen:
-                    lines, cuts = lines + len(chunk), cuts + 1
-                    continue
-                seen.add(body)
-            kept.append(body)
+        kept, gone, cuts, upto = [], 0, 0, 0
+        for a, b in zip([-1, *ends], ends):
+            body = b"\n".join(lines[full[a + 1] : full[b] + 1])
+            stop = len(lines) if b == len(r) - 1 else full[b] + 1
+            if b - a >= 2 and body in seen:
+                gone, cuts = gone + stop - upto, cuts + 1
+            else:
+                kept.append(b"\n".join(lines[upto:stop]))
+                if b - a >= 2:
+                    seen.add(body)
+            upto = stop
+        lines = gone
         out[doc_id] = (b"\n".join(kept).decode(), lines, cuts)
     return out
 
@@ -98,6 +104,22 @@ def test_lines(documents, prose, monkeypatch):
     assert sum(w[2] for w in want.values()) > 20
 
 
+def test_blank_lines_do_not_hide_copies(documents):
+    """Whole copies go whatever blank lines separate or surround their paragraphs."""
+    draw = random.Random(3)
+    bodies = [[f"paragraph {k} {draw.random()} of it" for k in range(draw.randrange(2, 12))] for _ in range(40)]
+    rows = [(k, "\n\n".join(body)) for k, body in enumerate(bodies)]
+    rows += [(100 + k, "\n\n".join(body) + "\n \n") for k, body in enumerate(bodies)]
+    rows += [(300, "\n \n\t"), (301, "\n \n\t")]
+    done = linededup.line_dedup(documents(rows))
+    got = {r.doc_id: r.text for r in done.collect()}
+    assert all(got[k] == text for k, text in rows[:40]) and got[300] == got[301] == "\n \n\t"
+    assert all(got[100 + k] == "" for k in range(40))
+    again = linededup.line_dedup(done)  # its own columns are there already
+    assert again.columns[-2:] == ["__lines_removed", "__chunks_removed"]
+    assert {r.doc_id: r.text for r in again.collect()} == got
+
+
 def test_lines_of_repeated_rows_and_empty_table(documents):
     text = "\n".join(f"line {k} of it" for k in range(12))
     rows = linededup.line_dedup(documents([(4, text), (4, text), (9, text)])).collect()
