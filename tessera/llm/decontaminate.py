@@ -42,8 +42,6 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items of one pass, and the ratio of one class of lengths to the one before.
 MAX_ITEMS, RATIO = 2000, 1.6
-#: Largest weight of a shingle.
-MAX_WEIGHT = 60
 
 #: All masks of at most BLOCK_RADIUS bits of a block.
 _MASKS = np.array(
@@ -59,9 +57,9 @@ class Features:
         self.hash = T.span_hash(h, at, at + size)
         lengths = np.zeros(len(h) + 1, np.int64)
         np.cumsum(w.end - w.start, out=lengths[1:])
-        self.weight = np.minimum(lengths[at + size] - lengths[at], MAX_WEIGHT)
+        self.weight = lengths[at + size] - lengths[at]
         # Sums may wrap around; differences over a window are exact while they fit.
-        kind = np.int16 if span * MAX_WEIGHT < 2**15 else np.int64
+        kind = np.int16 if span * self.weight.max(initial=0) < 2**15 else np.int64
         bits = np.unpackbits(self.hash.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
         signed = (bits * np.int8(2) - np.int8(1)) * self.weight.astype(kind)[:, None]
         self.sums = np.zeros((len(at) + 1, 64), kind)
@@ -197,16 +195,27 @@ class Index:
         lo, hi = max(a, left), min(b + n - size + 1, right)
         hashes = f.hash[lo:hi]
         slot = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-        mass = np.zeros(hi - lo + 1, np.int64)
-        np.cumsum(np.where(own[slot] == hashes, weight[slot], 0), out=mass[1:])
-        starts = np.arange(a, b + 1)
-        ends = np.clip(starts + n - size + 1, lo, hi)
-        bound = (mass[ends - lo] - mass[np.clip(starts, lo, hi) - lo]) / int(weight.sum())
-        # The bound counts a repeated shingle again, so it is not below the similarity.
+        at = np.flatnonzero(own[slot] == hashes)
+        slot = slot[at]
+        # An occurrence counts for the windows that hold it and not the one before of its shingle.
+        order = np.argsort(slot, kind="stable")
+        earlier = np.full(len(at), a - 1)
+        again = slot[order[1:]] == slot[order[:-1]]
+        earlier[order[1:][again]] = lo + at[order[:-1][again]]
+        since = np.maximum(np.maximum(earlier + 1, lo + at - (n - size)), a)
+        until = np.minimum(lo + at, b)
+        some = since <= until
+        change = np.zeros(b - a + 2, np.int64)
+        np.add.at(change, since[some] - a, weight[slot[some]])
+        np.add.at(change, until[some] - a + 1, -weight[slot[some]])
+        bound = np.cumsum(change[:-1]) / int(weight.sum())
         for k in np.argsort(-bound, kind="stable").tolist():
-            if bound[k] < max(SIMILARITY, best[doc, item][0] if (doc, item) in best else 0.0):
+            found = best.get((doc, item))
+            if bound[k] < max(SIMILARITY, found[0] if found else 0.0):
                 break
-            self.verify(f, w, int(starts[k]), item, best, doc)
+            start = a + k
+            if found is None or bound[k] > found[0] or max(start, left) - left < found[1]:
+                self.verify(f, w, start, item, best, doc)
 
     @staticmethod
     def near(found: np.ndarray, prints: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:

@@ -34,20 +34,23 @@ def training_rows(
 ) -> DataFrame:
     """``text, label`` of at most ``bound`` documents that have a label and are ``allowed``.
 
-    The sample is the ``bound`` smallest hashes of the document number, so it is the same at each
-    run and independent of the order of rows. A document labelled more than once counts with its
-    largest label. Only the bounded list of numbers is broadcast.
+    The sample is the ``bound`` smallest hashes of the document number among the labelled documents that
+    ``docs`` holds, so it is the same at each run and independent of the order of rows; labels of other
+    documents use nothing of the bound. A document labelled more than once counts with its
+    largest label, a repeated doc_id with its smallest text. Only the bounded list of numbers is broadcast.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed)
         .groupBy("doc_id")
         .agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_y"))
+        .join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(
-        ["doc_id"]
-    ).select("doc_id", "text", F.col("_y").alias("label"))
+    return (
+        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("label"))
+    )
 
 
 def distinct_terms(hashes: np.ndarray, owner: np.ndarray, n_docs: int, bits: int) -> Terms:

@@ -3,15 +3,16 @@
 A language is a distribution over hashed letter trigrams, counted over all labelled documents that may
 be read. For each document, expectation-maximisation estimates the proportions of the languages that
 best explain its trigrams. Language sets of growing size, by descending proportion, are refitted on
-their own, and the set of the highest likelihood less a penalty for each language is chosen; the
-largest proportion in it names the document's language. The score is that language's proportion
+their own as long as the likelihood less a penalty for each language rises, up to all
+languages; the last set that raised it is the document's, with its proportions. The
+largest of them names the document's language. The score is that language's proportion
 among all languages.
 
 Letters are a-z (A-Z folded) and all bytes past ASCII; other bytes are spaces, and so is the edge of a
 document.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if no
-language could be learned. Rows with a null or blank lang teach nothing. Repeated rows are predicted
+language could be learned; its set is empty. Rows with a null lang teach nothing, a blank one is a value. Repeated rows are predicted
 each, and each counts in training. Memory in a task follows the longest text.
 """
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from tessera.llm import text as T
 from tessera.llm.labelled import doc_sums, remainder
 
-#: Hash width of trigrams, counts added to each, EM rounds, languages in a set at most.
-BITS, SMOOTHING, ROUNDS, SET = 15, 0.5, 10, 3
+#: Hash width of trigrams, counts added to each.
+BITS, SMOOTHING = 15, 0.5
+#: EM ends when no proportion of a slice's documents moves by more, or after so many rounds.
+MOVED, ROUNDS = 5e-3, 40
 #: Log likelihood, for each unit of log(trigrams), that one more language must gain.
 PENALTY = 3.0
 
@@ -78,7 +81,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and for each trigram its probability in each: a table of bounded size."""
-    rows = counts(docs.filter("text IS NOT NULL AND trim(lang) <> ''")).toPandas()
+    rows = counts(docs.filter("text IS NOT NULL AND lang IS NOT NULL")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((1 << BITS, len(langs)), SMOOTHING)
     for k, lang in enumerate(langs):
@@ -88,42 +91,54 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def mixture(
-    p: np.ndarray, n: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int
+    p: np.ndarray, n: np.ndarray, first: np.ndarray, share: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Proportions after EM from ``share`` (zeros stay), and log likelihood, of each document."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     total = np.maximum(doc_sums(n, first), 1.0)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         part = p * share[owner]
         part *= (n / part.sum(1))[:, None]
-        share = doc_sums(part, first) / total[:, None]
+        before, share = share, doc_sums(part, first) / total[:, None]
+        if np.abs(share - before).max(initial=0.0) <= MOVED:
+            break
     return share, doc_sums(n * np.log((p * share[owner]).sum(1)), first)
 
 
 def infer(
     data: np.ndarray, offsets: np.ndarray, p: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document: language number, its proportion, and whether there is any trigram."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each document: language number, its proportion among all, the proportions in the chosen set
+    (0 outside it), and whether there is any trigram."""
     docs, langs = len(offsets) - 1, p.shape[1]
     grams, of = trigrams(data, offsets)
     key, n = np.unique(of << BITS | grams, return_counts=True)
     first = np.searchsorted(key, np.arange(docs + 1) << BITS)
     own, n = p[key & ((1 << BITS) - 1)], n.astype(float)
     even = np.full((docs, langs), 1.0 / langs)
-    share, _ = mixture(own, n, first, even, ROUNDS)
+    share, _ = mixture(own, n, first, even)
     single = doc_sums(n[:, None] * np.log(own), first)
     cost = PENALTY * np.log(np.maximum(doc_sums(n, first), 2.0))
-    best = single.argmax(1)
+    chosen = np.zeros((docs, langs))
+    chosen[np.arange(docs), single.argmax(1)] = 1.0
     value = single.max(1) - cost
     order = np.argsort(-share, axis=1)
-    for size in range(2, min(SET, langs) + 1):
-        allowed = np.zeros((docs, langs))
-        np.put_along_axis(allowed, order[:, :size], 1.0 / size, axis=1)
-        fitted, likelihood = mixture(own, n, first, allowed, ROUNDS)
-        better = likelihood - size * cost > value
-        best = np.where(better, fitted.argmax(1), best)
-        value = np.maximum(value, likelihood - size * cost)
-    return best, share[np.arange(docs), best], np.diff(first) > 0
+    rising = np.diff(first) > 0  # documents whose set still grows
+    for size in range(2, langs + 1):
+        at = np.flatnonzero(rising)
+        if not len(at):
+            break
+        entries = rising[np.repeat(np.arange(docs), np.diff(first))]
+        bounds = np.append(0, np.cumsum(np.diff(first)[at]))
+        allowed = np.zeros((len(at), langs))
+        np.put_along_axis(allowed, order[at, :size], 1.0 / size, axis=1)
+        fitted, likelihood = mixture(own[entries], n[entries], bounds, allowed)
+        gained = likelihood - size * cost[at] > value[at]
+        chosen[at[gained]] = fitted[gained]
+        value[at[gained]] = (likelihood - size * cost[at])[gained]
+        rising[at[~gained]] = False
+    best = chosen.argmax(1)
+    return best, share[np.arange(docs), best], chosen, np.diff(first) > 0
 
 
 def has_letter(text: str) -> bool:
@@ -131,7 +146,9 @@ def has_letter(text: str) -> bool:
 
 
 def languages(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every document.
+    """``doc_id, held_out, lang_pred, score, langs, proportions`` of every document.
+
+    ``langs`` is the chosen set by falling ``proportions``.
 
     Languages are learned of documents only whose crc32 remainder is not ``out``.
     """
@@ -145,22 +162,31 @@ def languages(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:
         plain[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:
             texts = batch.column(2)
-            said, score = [], []
+            said, score, sets, parts = [], [], [], []
             for lo, hi, data, offsets in T.slices(texts):
                 letters = doc_sums(plain[data].astype(np.int64), offsets) > 0
                 if names:
-                    best, share, some = infer(data, offsets, p)
+                    best, share, chosen, some = infer(data, offsets, p)
                 for k in range(hi - lo):
                     sure = letters[k] or (offsets[k + 1] > offsets[k] and has_letter(texts[lo + k].as_py()))
                     known = bool(names) and sure and some[k]
                     said.append(names[best[k]] if known else "und")
                     score.append(float(min(max(share[k], 0.0), 1.0)) if known else 0.0)
+                    held_by = [i for i in np.argsort(-chosen[k], kind="stable") if chosen[k, i] > 0] if known else []
+                    sets.append([names[i] for i in held_by])
+                    parts.append([float(chosen[k, i]) for i in held_by])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [
+                    batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score, pa.float64()),
+                    pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())),
+                ],
+                ["doc_id", "held_out", "lang_pred", "score", "langs", "proportions"],
             )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "text"
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(
+        run,
+        "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>, proportions array<double>",
+    )

@@ -15,16 +15,20 @@ of ``CONTAINMENT`` or more are kept. Nothing is shuffled but the matches.
 Words are runs of letters and digits in lower case, with dots and hyphens inside. Templates are a
 parameter, so their number is known; they are scanned for ``PART`` at a time.
 
-Defined cases: a null or short text matches nothing. A template of fewer than five words is an error.
+Templates of fewer than five words are one shingle of their own length: a place where a document's words equal
+them is a match. Only texts that contain all their words as strings are looked at for that.
+
+Defined cases: a null or short text matches nothing. A template without words is an error.
 A row without a doc_id is scanned as well. Rows that repeat a doc_id count as one. Equal containments
 keep the first place.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +39,27 @@ SIZES = (1, 2, 4, 8)
 #: Templates of one pass.
 PART = 500
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+#: The same for Python, where \w without the underscore stands for letters and digits.
+WORD_ASCII = r"[^\W_]+(?:[.\-][^\W_]+)*"
 
 #: The notices by which works declare common public licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("All-rights-reserved", "All rights reserved."),
+    ("Apache-2.0-SPDX", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-SPDX", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT-SPDX", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
@@ -131,9 +142,13 @@ def license_scan(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES)
 ) -> DataFrame:
     """``doc_id, license_id, containment, first_word, n_words``: the best place of each match."""
-    found = None
-    for lo in range(0, len(templates), PART):
-        part = _scan(docs, templates[lo : lo + PART])
+    sized = [(len(re.findall(WORD_ASCII, t.lower())), (i, t)) for i, t in templates]
+    if not all(n for n, _ in sized):
+        raise ValueError("templates need words")
+    short, long = [t for n, t in sized if n < SHINGLE], [t for n, t in sized if n >= SHINGLE]
+    found = _short(docs, short) if short else None
+    for lo in range(0, len(long), PART):
+        part = _scan(docs, long[lo : lo + PART])
         found = part if found is None else found.union(part)
     best = F.max(F.struct("containment", -F.col("first_word"), "n_words")).alias("best")
     return found.groupBy("doc_id", "license_id").agg(best).select(
@@ -142,14 +157,33 @@ def license_scan(
     )
 
 
+def _short(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """Places of templates shorter than a shingle, word by word."""
+    low, none = F.lower("text"), F.array().cast("array<struct<license_id:string,p:int,n:int>>")
+    hold, found = [], []
+    for license_id, text in templates:
+        own = re.findall(WORD_ASCII, text.lower())
+        all_in = reduce(and_, [F.contains(low, F.lit(w)) for w in own])
+        hold.append(all_in)
+        at = F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size("words") - len(own), F.lit(0))),
+            lambda i: reduce(and_, [F.get("words", i + k) == F.lit(w) for k, w in enumerate(own)]),
+        )
+        place = F.transform(at, lambda p: F.struct(F.lit(license_id).alias("license_id"), p.alias("p"), F.lit(len(own)).alias("n")))
+        found.append(F.when(all_in, F.slice(place, 1, 1)).otherwise(none))
+    rows = docs.filter(reduce(or_, hold)).select("doc_id", "text", _words(F.col("text")).alias("words"))
+    return rows.select("doc_id", F.inline(F.concat(*found))).select(
+        "doc_id", "license_id", F.lit(1.0).alias("containment"), F.col("p").cast("long").alias("first_word"),
+        F.col("n").cast("long").alias("n_words"),
+    )
+
+
 def _scan(docs: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
     index = _index(docs, templates)
     listed = index.select("size", "band", "key").distinct().collect()  # bounded by PART
     known: dict[tuple[int, int], list[int]] = {}
     for size, band, key in listed:
         known.setdefault((size, band), []).append(key)
-    if len(known) == 0:
-        raise ValueError("templates need five words or more")
     sizes = sorted({size for size, _ in known})
     shingled = docs.select("doc_id", _words(F.col("text")).alias("words")).withColumn(
         "shingles", _shingles(F.col("words"))

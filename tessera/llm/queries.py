@@ -101,7 +101,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_language")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.languages(table(spark, sf_dir, "documents"))
+    found = language.languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op7_toxicity")

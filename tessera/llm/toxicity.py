@@ -4,8 +4,8 @@ The logit of a document is ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``.
 interaction that additive weights miss, such as an insult next to the mention of a group; it costs
 one pass by ``1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``. Terms are the distinct words of
 a document (runs of letters and digits, lower-cased A-Z) and the first bytes of each longer word, so
-that inflected forms share a term. Terms seen in too few training documents are dropped before the
-fit: their weights would be noise. Training is AdaGrad over small batches on a bounded sample.
+that inflected forms share a term. Terms of a single training document are dropped before the
+fit. Training is AdaGrad over small batches on a bounded sample.
 
 Defined cases: a null, empty or blank text has no terms and scores by ``w0`` alone. Without a
 labelled document every score is 0.5. A repeated row is scored again.
@@ -24,8 +24,8 @@ from tessera.llm import text as T
 BITS, FACTORS, MAX_TRAINING_DOCS = 18, 4, 12_000
 #: Stems: leading bytes that stand for a longer word as well.
 STEMS = (4, 5)
-#: Share of the training documents, and their number at least, that a term must occur in.
-MIN_SHARE, MIN_DOCS = 1 / 800, 2
+#: Training documents that a term must occur in.
+MIN_DOCS = 2
 EPOCHS, BATCH = 10, 128
 #: Step sizes of the weights and of the factors, L1 strength of the weights, L2 of the factors.
 RATE, PAIR_RATE, SPARSE, DECAY = 0.3, 0.1, 1e-3, 1e-3
@@ -72,7 +72,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray) -> bytes:
     """``w0, w, v`` as float32."""
     size = 1 << BITS
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]), minlength=size)
-    kept = np.flatnonzero(seen >= max(MIN_DOCS, len(docs) * MIN_SHARE))
+    kept = np.flatnonzero(seen >= MIN_DOCS)
     number = np.full(size, -1)
     number[kept] = np.arange(len(kept))
     docs = [number[d][number[d] >= 0] for d in docs]

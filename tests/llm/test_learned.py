@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import language, quality, toxicity
@@ -87,6 +88,96 @@ def test_without_labels_or_rows(documents, spark):
     assert toxicity.toxicity(documents([]), none).count() == 0
 
 
+def test_labels_of_absent_documents_use_no_bound(labelled, spark):
+    docs, labels, _, known = labelled
+    strangers = spark.range(1_000_000, 1_100_000).selectExpr("id AS doc_id", "1 AS quality", "1 AS toxic")
+    more = labels.select("doc_id", "quality", "toxic").union(strangers)
+    from pyspark.sql import functions as F
+
+    from tessera.llm import labelled as L
+
+    rows = L.training_rows(docs, more, "quality", F.lit(True), 100).collect()
+    assert len(rows) == 100 and len({r.label for r in rows}) == 2
+    again = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (2, None)], "doc_id long, text string")
+    one = L.training_rows(again, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"), "quality", F.lit(True), 10)
+    assert [tuple(r) for r in one.collect()] == [(1, "a", 1)]
+
+
+def test_a_rare_term_keeps_its_weight():
+    draw = np.random.Generator(np.random.PCG64(1))
+    docs = [np.unique(draw.integers(10, 400, 30)) for _ in range(6000)]
+    y = np.zeros(6000)
+    for k in range(0, 60, 10):  # six documents in six thousand
+        docs[k], y[k] = np.append(docs[k], 5000), 1.0
+    w = np.frombuffer(toxicity.fit(docs, y), np.float32)[1 : (1 << toxicity.BITS) + 1]
+    assert w[5000] > 0.5 and w[5000] > 2 * np.abs(w[:5000]).max()
+
+
+def test_factorization_machine_is_a_sum_over_pairs():
+    draw = np.random.Generator(np.random.PCG64(2))
+    w, v = draw.normal(size=50), draw.normal(size=(50, toxicity.FACTORS))
+    docs = [np.sort(draw.choice(50, n, replace=False)) for n in (0, 1, 2, 7, 30)]
+    first = np.cumsum([0] + [len(d) for d in docs])
+    got = toxicity.logits(np.concatenate(docs), first, 0.3, w, v)
+    for d, value in zip(docs, got):
+        scale = min(toxicity.PAIR_SCALE, toxicity.PAIR_NORM / np.sqrt(max(len(d), 1)))
+        pairs = sum(v[i] @ v[j] * scale**2 for a, i in enumerate(d) for j in d[a + 1 :])
+        assert np.isclose(value, 0.3 + w[d].sum() + pairs)
+
+
+def test_ftrl_against_plain_python():
+    draw = np.random.Generator(np.random.PCG64(3))
+    docs = [np.unique(draw.integers(0, 40, n)) for n in (1, 5, 9, 3, 12, 7) * 5]
+    y = np.array([float(d[0] % 2) for d in docs])
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return (sign * quality.L1 - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for d, label in zip(docs, y):
+            x = {int(i): len(d) ** -0.5 for i in d} | {quality.INTERCEPT: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / quality.ALPHA * w[i]
+                n[i] = old + g * g
+    got = np.frombuffer(quality.fit(docs, y), np.float32)
+    assert np.allclose(got[[*range(40), quality.INTERCEPT]], [weight(i) for i in [*range(40), quality.INTERCEPT]], atol=1e-5)
+    assert not got[40 : quality.INTERCEPT].any()
+
+
+def test_mixture_and_set_against_plain_em():
+    draw = np.random.Generator(np.random.PCG64(4))
+    grams = 1 << language.BITS
+    p = draw.dirichlet(np.full(grams, 0.02), 4).T + 1e-9
+    texts = [" ".join("".join(chr(97 + c) for c in draw.integers(0, 26, 5)) for _ in range(60)) for _ in range(6)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    # Make languages out of the texts: 0 and 1 of one text each, 2 of two, 3 of nothing here.
+    found, of = language.trigrams(data, offsets)
+    for lang, docs in enumerate([(0,), (1,), (2, 3)]):
+        p[:, lang] = np.bincount(found[np.isin(of, docs)], minlength=grams) + 0.01
+    p /= p.sum(0)
+    mixed = texts[0] + " " + texts[1] + " " + texts[2]
+    for text, want in ((texts[0], {0}), (texts[3], {2}), (mixed, {0, 1, 2}), (texts[0] + " " + texts[2] * 2, {0, 2})):
+        one = np.frombuffer(text.encode(), np.uint8)
+        best, share, chosen, some = language.infer(one, np.array([0, len(one)]), p)
+        assert set(np.flatnonzero(chosen[0])) == want and some[0]
+        grams_of = language.trigrams(one, np.array([0, len(one)]))[0]
+        plain = np.full(4, 0.25)
+        for _ in range(400):
+            part = p[grams_of] * plain
+            plain = (part / part.sum(1, keepdims=True)).mean(0)
+        assert abs(share[0] - plain[best[0]]) < 0.03
+        assert plain.argmax() == best[0]
+
+
 def test_languages(documents):
     draw = random.Random(9)
 
@@ -106,6 +197,8 @@ def test_languages(documents):
     assert all(own[k].lang_pred == langs[k] for k in range(300) if own[k].held_out)
     assert own[901].lang_pred == "aa" and 0.5 < own[901].score < 0.95
     assert own[902].lang_pred == "bb"
+    assert own[901].langs == ["aa", "bb"] and abs(sum(own[901].proportions) - 1) < 1e-6
+    assert own[910].langs == [] and own[910].proportions == []
     assert [(own[k].lang_pred, own[k].score) for k in (910, 911, 912)] == [("und", 0.0)] * 3
     assert own[913].lang_pred in LANGS and own[None].lang_pred == "cc" and not own[None].held_out
     assert all(r.held_out == (crc(r.doc_id, 4) == 2) for r in got if r.doc_id is not None)

@@ -29,7 +29,57 @@ def test_licenses(documents):
     assert got[55, "MIT"].first_word == 44_000 and got[55, "MIT"].n_words == 5
     assert licenses.license_scan(documents([])).count() == 0
     with pytest.raises(ValueError):
-        licenses.license_scan(documents(rows), [("x", "too short")])
+        licenses.license_scan(documents(rows), [("x", " !? ")])
+
+
+def test_short_templates_beside_long_ones(documents):
+    templates = [("long", notice_of("MIT-grant")), ("short", "All rights reserved."), ("one", "copyleft")]
+    rows = [(1, "x all RIGHTS reserved y all rights reserved"), (2, "all rights are reserved"), (3, "Copyleft"), (4, None)]
+    got = {(r.doc_id, r.license_id, r.first_word, r.n_words) for r in licenses.license_scan(documents(rows), templates).collect()}
+    assert got == {(1, "short", 1, 3), (3, "one", 0, 1)}
+
+
+def notice_of(name):
+    return dict(licenses.TEMPLATES)[name]
+
+
+def test_licenses_against_all_windows(documents):
+    """Texts with edited notices: every place of the template's length, by brute force."""
+    draw = random.Random(2)
+    word = re.compile(licenses.WORD_ASCII)
+    rows, want = [], {}
+    templates = [t for t in licenses.TEMPLATES if len(word.findall(t[1])) >= 5]
+    for k in range(150):
+        words = word.findall(draw.choice(templates)[1].lower())
+        for _ in range(draw.randrange(3)):
+            words[draw.randrange(len(words))] = draw.choice(["changed", "the", "license"])
+        text = [draw.choice("some other words of a page".split()) for _ in range(draw.randrange(30))]
+        rows.append((k, " ".join(text + words + text[::-1])))
+        own = word.findall(rows[-1][1])
+        for name, template in templates:
+            t = word.findall(template.lower())
+            shingles = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+            best = 0.0
+            for start in range(-len(t), len(own)):
+                region = own[max(start, 0) : start + len(t)]
+                its = {tuple(region[i : i + 5]) for i in range(len(region) - 4)}
+                best = max(best, len(shingles & its) / len(shingles))
+            if best >= 0.8:
+                want[k, name] = best
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.license_scan(documents(rows), templates).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 50
+    assert all(got[key] <= want[key] + 1e-9 for key in got)
+
+
+def test_one_repeated_word_as_item_and_text():
+    """Every window is the item: the first is taken, the others are not verified one by one."""
+    index = decontaminate.Index([(1, "again " * 40), (2, "other words " * 20)])
+    data = np.frombuffer(b"again " * 30_000, np.uint8)
+    verified = []
+    plain = index.verify
+    index.verify = lambda *args: verified.append(1) or plain(*args)
+    found = index.matches(data, np.array([0, len(data)]))
+    assert found == {(0, 0): (1.0, 0, 40)}
 
 
 def test_decontamination(documents, spark, monkeypatch):
@@ -78,7 +128,7 @@ def test_decontamination_near_the_threshold():
     def shingles(text):
         out = {}
         for k in range(len(text) - 4):
-            out[tuple(text[k : k + 5])] = min(sum(map(len, text[k : k + 5])), decontaminate.MAX_WEIGHT)
+            out[tuple(text[k : k + 5])] = sum(map(len, text[k : k + 5]))
         return out
 
     def similarity(a, b):
