@@ -2,11 +2,14 @@
 
 Shortest paths of components up to ``SMALL_COMPONENT`` nodes are solved inside tasks on dense arrays,
 split into slices of source nodes so no task owns more than a bounded piece. Larger components take the
-join-based routes below; both give the same numbers. Fiedler values have one route for all sizes.
+join-based routes below; both give the same numbers. Fiedler values of components up to ``SMALL_EDGES`` edges
+are solved in a task, those of larger ones by joins and grouped sums over all of them at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +21,7 @@ from tessera.operators.networks import density, degrees
 
 KEY = "location_id"
 SMALL_COMPONENT = 1500
+SMALL_EDGES = 500_000
 SOURCES_PER_SLICE = 128
 PAIRS_PER_BATCH = 20_000_000_000
 TIE = 1e-12  # relative tolerance for equally short paths
@@ -521,13 +525,108 @@ def _component_fiedler(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+BASIS = ("x", "r", "p")
+
+
+def _turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Coefficients of the smallest Ritz vector in the span of x, r and p, from their dot products."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            mass, form = (
+                np.array([[getattr(row, f"{kind}_{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)])
+                for kind in ("m", "a")
+            )
+            scale = np.sqrt(np.maximum(np.diag(mass), 1e-300))
+            mass, form = mass / np.outer(scale, scale), form / np.outer(scale, scale)
+            spread, turn = np.linalg.eigh(mass)
+            kept = turn[:, spread > 1e-10] / np.sqrt(spread[spread > 1e-10])
+            values, vectors = np.linalg.eigh(kept.T @ form @ kept)
+            out.append((kept @ vectors[:, 0] / scale, float(values[0])))
+        frame = batch[[KEY, "component"]].copy()
+        for k, name in enumerate(BASIS):
+            frame[f"c_{name}"] = [c[k] for c, _ in out]
+        frame["value"] = [v for _, v in out]
+        yield frame
+
+
+def _large_fiedler(members: DataFrame, links: DataFrame, patience: int = 6) -> DataFrame:
+    """``location_id, component, fiedler`` by descent in the span of the vector, its residual and the last step.
+
+    One round is one product of the Laplacian (a join of the links with the nodes) and the dot products of
+    three vectors (a grouped sum), for all components at once. A component is settled once its residual is
+    small beside its value, or its value has not fallen for ``patience`` rounds, which is the end of what
+    doubles resolve; settled ones are set aside. No task holds a component.
+    """
+    part = [KEY, "component"]
+    links = cut(links.select(*part, "u", "v", "w"))
+    degree = links.groupBy(*part, F.col("u").alias("node")).agg(F.sum("w").alias("degree"))
+
+    def product(state: DataFrame, column: str) -> DataFrame:
+        """``state`` with the Laplacian's product with a column, as ``l<column>``."""
+        ends = state.select(*part, F.col("node").alias("v"), F.col(column).alias("_x"))
+        pull = links.join(ends, [*part, "v"]).groupBy(*part, F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("_x")).alias("_p"))
+        return state.join(pull, [*part, "node"]).withColumn(f"l{column}", F.col("degree") * F.col(column) - F.col("_p")).drop("_p")
+
+    def centred(state: DataFrame, column: str) -> DataFrame:
+        mean = state.groupBy(*part).agg(F.avg(column).alias("_mean"))
+        return state.join(mean, part).withColumn(column, F.col(column) - F.col("_mean")).drop("_mean")
+
+    start = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(2.0**53) - 0.5
+    state = members.select(*part, "node").join(degree, [*part, "node"]).withColumn("x", start)
+    zero = F.lit(0.0)
+    state = cut(product(centred(state, "x"), "x").withColumns({"p": zero, "lp": zero, "least": F.lit(float("inf")), "idle": F.lit(0)}))
+    done = None
+    while True:
+        sums = state.groupBy(*part).agg(
+            F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("lx")).alias("xlx"),
+            F.max("degree").alias("top"), F.count("*").alias("n"),
+        )
+        state = state.join(sums, part).withColumn("value", F.col("xlx") / F.col("xx"))
+        state = state.withColumn("rest", F.col("lx") - F.col("value") * F.col("x"))
+        size = state.groupBy(*part).agg(F.sqrt(F.sum(F.col("rest") * F.col("rest"))).alias("residual"))
+        fell = F.col("value") < F.col("least") * (1 - 1e-15)
+        idle = F.when(fell, 0).otherwise(F.col("idle") + 1)
+        settled = (F.col("residual") <= F.greatest(1e-6 * F.col("value"), 1e-14 * F.col("top") * F.sqrt("n")) * F.sqrt("xx")) | (
+            idle > patience
+        )
+        state = cut(
+            state.join(size, part).withColumns({"settled": settled, "idle": idle, "least": F.least("least", "value")})
+            .drop("residual", "xlx", "xx", "top", "n")
+        )
+        ended = cut(state.filter("settled").groupBy(*part).agg(F.greatest(F.lit(0.0), F.max("value")).alias("fiedler")))
+        done = ended if done is None else done.unionByName(ended)
+        state = state.filter("NOT settled")
+        if state.isEmpty():
+            return done
+        state = cut(product(centred(state.withColumn("r", F.col("rest") / F.col("degree")), "r"), "r"))
+        dots = [
+            F.sum(F.col(a) * F.col(f"{'l' if kind == 'a' else ''}{b}")).alias(f"{kind}_{i}{j}")
+            for kind in ("m", "a") for i, a in enumerate(BASIS) for j, b in enumerate(BASIS) if i <= j
+        ]
+        schema = ", ".join(f"{c} {t}" for c, t in state.select(*part).dtypes) + ", c_x double, c_r double, c_p double, value double"
+        turn = state.groupBy(*part).agg(*dots).mapInPandas(_turned, schema).drop("value")
+        step = {n: F.col("c_r") * F.col(f"{n}r") + F.col("c_p") * F.col(f"{n}p") for n in ("", "l")}
+        state = cut(
+            state.join(turn, part)
+            .select(
+                *part, "node", "degree", "least", "idle", step[""].alias("p"), step["l"].alias("lp"),
+                (F.col("c_x") * F.col("x") + step[""]).alias("x"), (F.col("c_x") * F.col("lx") + step["l"]).alias("lx"),
+            )
+        )
+
+
 def component_fiedler(
-    nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    components: DataFrame | None = None,
+    small: int = SMALL_EDGES,
 ) -> DataFrame:
     """``location_id, component, size, fiedler`` of every component with two or more nodes.
 
     A component held together only by zero-weight edges is split for the Laplacian: exactly 0.
-    Every component has a value; one task holds the edges of one component, whatever its size.
+    Every component has a value. A task holds the edges of one component, up to ``small`` of them; larger
+    components are solved by joins.
     """
     parts = cut(components if components is not None else connected_components(nodes, edges))
     sizes = component_sizes(parts).filter("size >= 2")
@@ -541,7 +640,15 @@ def component_fiedler(
     whole = sizes.join(solid_sizes.select(KEY, "component", F.col("size").alias("solid")), [KEY, "component"]).filter("size = solid")
     members = solid.join(whole.select(KEY, "component", "size"), [KEY, "component"])
     links = both_ways(weighted).join(members.withColumnRenamed("node", "u"), [KEY, "u"])
-    values = links.groupBy(KEY, "component").applyInPandas(_component_fiedler, FIEDLER_SCHEMA)
+    counts = links.groupBy(KEY, "component").agg((F.count("*") / 2).alias("links"))
+    links = links.join(counts, [KEY, "component"])
+    large = counts.filter(F.col("links") > small)
+    values = links.filter(F.col("links") <= small).groupBy(KEY, "component").applyInPandas(_component_fiedler, FIEDLER_SCHEMA)
+    if not large.isEmpty():
+        far = large.select(KEY, "component")
+        values = values.unionByName(
+            _large_fiedler(members.join(far, [KEY, "component"], "left_semi"), links.filter(F.col("links") > small))
+        )
     pending = values.withColumn("solved", F.lit(True))
     return sizes.join(pending, [KEY, "component"], "left").select(
         KEY, "component", "size",

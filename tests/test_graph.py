@@ -42,6 +42,20 @@ def test_fiedler(network):
     assert all(math.isclose(v, 2.0) for v in per_part) and len(per_part) == 2
 
 
+def test_fiedler_by_joins(network, spark):
+    """Components past the bound of a task, against the route inside tasks."""
+    street = [(9, f"s{k:02}", f"s{k + 1:02}", 1.0 + k % 3) for k in range(3)]
+    street = spark.createDataFrame(street, "location_id long, src string, dst string, weight double")
+    some = "location_id IN (2, 4)"
+    nodes = network.nodes.filter(some).union(street.selectExpr("location_id", "explode(array(src, dst)) AS node").distinct())
+    edges = network.edges.filter(some).union(street)
+    one, two = (
+        values(graph.component_fiedler(nodes, edges, small=small), "location_id", "component", "fiedler")
+        for small in (graph.SMALL_EDGES, 2)
+    )
+    assert set(one) == set(two) and all(math.isclose(one[k], two[k], rel_tol=1e-8, abs_tol=1e-9) for k in one)
+
+
 def test_fiedler_of_large_components(spark):
     """Where the closed form is known: a path and a lattice, past any size solved densely."""
     path = [(1, f"p{k:04}", f"p{k + 1:04}", 1.0) for k in range(1599)]
