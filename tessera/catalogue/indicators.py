@@ -9,9 +9,12 @@ from tessera.catalogue import query
 from tessera.catalogue.joins import GAUSS, OPEN_POINTS, POINT_GAP
 from tessera.catalogue.networks import BUILDING, URBAN, distances, graph_sql, symmetric, urban
 from tessera.fixtures import with_views
+from tessera.lineage import new_folder
 from tessera.operators import cluster as cl
 from tessera.operators import grid as gr
 from tessera.plans import indicators as ind
+from tessera.plans.batch import run_batch
+from tessera.sources import features as ft
 
 KEY = "location_id"
 
@@ -465,6 +468,40 @@ def all_indicators(spark, sf_dir):
     return ind.all_indicators(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
 
 
+def _lonlat_features(spark, sf_dir):
+    """Buildings and roads of each location around a place of its own, in degrees, as feature tables by kind."""
+
+    def moved(shape):
+        return F.transform(
+            shape, lambda p: F.struct((138.5 + F.col(KEY) * 0.1 + p.x / 1e5).alias("x"), (35.0 + p.y / 1e5).alias("y"))
+        )
+
+    buildings = fx.buildings(spark, sf_dir).select(
+        KEY, F.col("building_id").alias("feature_id"), "type", F.lit(None).cast("double").alias("width"), moved("ring").alias("shape")
+    )
+    roads = fx.roads(spark, sf_dir).select(KEY, F.col("road_id").alias("feature_id"), "type", "width", moved("path").alias("shape"))
+    return {"building": buildings, "road": roads}
+
+
+@query("batch_results")
+def batch_results(spark, sf_dir):
+    """The whole batch over ingested tables: even locations have national features, the others open-map ones,
+    every seventh none at all."""
+    paths = {"national": {}, "open": {}}
+    for kind, rows in _lonlat_features(spark, sf_dir).items():
+        for source, mine in (("national", f"{KEY} % 2 = 0"), ("open", "true")):
+            paths[source][kind] = new_folder(spark, f"{source}-{kind}")
+            some = rows.filter(f"{KEY} % 7 <> 3").filter(mine).drop(KEY)
+            ft.write_features(some, paths[source][kind], "shape", zoom=10)
+    places = fx.buildings(spark, sf_dir).select(KEY).distinct().select(
+        KEY, F.lit(35.005).alias("latitude"), (138.505 + F.col(KEY) * 0.1).alias("longitude"),
+        F.concat(F.lit("place "), KEY).alias("name"), F.lit(2000).alias("radius"),
+    )
+    out = new_folder(spark, "batch")
+    run_batch(spark, paths["national"], paths["open"], places, out)
+    return spark.read.parquet(out)
+
+
 @query("detailed_indicators")
 def detailed_indicators(spark, sf_dir):
     return ind.detailed_indicators(fx.buildings(spark, sf_dir), fx.roads(spark, sf_dir))
