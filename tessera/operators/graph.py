@@ -481,7 +481,11 @@ def _inverse_apply(degree: np.ndarray, u, v, w, rhs: np.ndarray) -> np.ndarray:
     p, rz, best, stale = z, r @ z, np.inf, 0
     while True:
         lp = degree * p - np.bincount(u, w * p[v], len(degree))
-        step = rz / (p @ lp)
+        bend = p @ lp
+        # What is left of the right-hand side is rounding, along which there is no descent.
+        if not (rz > 0 and bend > 0 and np.isfinite(rz / bend)):
+            return x - x.mean()
+        step = rz / bend
         x += step * p
         r -= step * lp
         size = np.linalg.norm(r)

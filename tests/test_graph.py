@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import graph
@@ -133,3 +135,19 @@ def test_robustness(network):
     assert found[(5,)] == 0.0  # disconnected to begin with
     # cycle: removing a leaves the path b-c-d, removing b keeps c-d
     assert found[(2,)] == 0.0
+
+
+def test_fiedler_of_two_stars_with_many_leaves():
+    """Solves whose remainder is rounding alone."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        weights = np.append(60.0, np.round(rng.uniform(1, 100, 751), 1)[1:])
+        ends = ["h0"] + [f"h{k}" for k in rng.integers(0, 2, 750)], ["h1"] + [f"s{k}" for k in range(750)]
+        frame = {"u": ends[0] + ends[1], "v": ends[1] + ends[0], "w": np.r_[weights, weights]}
+        found = graph._component_fiedler(pd.DataFrame({"location_id": 1, "component": "h0", **frame}))
+        codes, names = pd.factorize(pd.Series(frame["u"] + frame["v"]))
+        half = len(codes) // 2
+        matrix = np.zeros((len(names), len(names)))
+        np.add.at(matrix, (codes[:half], codes[half:]), -frame["w"])
+        np.fill_diagonal(matrix, -matrix.sum(axis=1))
+        assert math.isclose(found.fiedler[0], np.linalg.eigvalsh(matrix)[1], rel_tol=1e-8)
