@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,13 @@ def _within(lat: Column, lon: Column, south: float, north: float, west: float, e
 
 def fixed(value: Column, digits: int) -> Column:
     """Fixed-point text, rounding the exact binary value (format_string rounds its decimal form)."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    # Below one unit of the last digit format_number takes the double next to half a unit for half a unit.
+    half = 0.5 / 10**digits
+    size = F.abs(value)
+    above = size >= half if Fraction(half) > Fraction(1, 2 * 10**digits) else size > half
+    unit = F.concat(F.when(value < 0, "-").otherwise(""), F.lit("0." + "0" * (digits - 1) + "1"))
+    return F.when((size < 1.0 / 10**digits) & above, unit).otherwise(text)
 
 
 def first_match(rules: list[tuple[Column, Column]], default: Column) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import labels
 from tessera.operators import cluster as cl
 from tessera.operators import grid as gr
 from tessera.operators import ordering
@@ -337,3 +338,11 @@ def test_constant_metric(spark):
     assert st.correlation(df, "a", "b").first().correlation is None
     out = st.normalise_minmax(df, ["a", "b"]).orderBy("location_id").collect()
     assert [r.a_normalized for r in out] == [0.0, 1 / 3, 2 / 3, 1.0] and all(r.b_normalized == 0 for r in out)
+
+
+def test_fixed_rounds_the_exact_value(spark):
+    values = [0.0005, -0.0005, 0.00049999, 0.0006, 0.0625, 0.0015, 0.9995, -0.0001, 0.0, 0.00005, 12.3455]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (3, 4):
+        for row in rows.select("v", labels.fixed(F.col("v"), digits).alias("text")).collect():
+            assert row.text == f"{row.v:.{digits}f}"
