@@ -96,11 +96,12 @@ def nearest_node(
 
     ``points``: ``location_id`` and the coordinates; ``nodes``: ``location_id, node, node_order,
     x, y``. Points stay in their own cell and nodes are replicated, so the minimum is taken
-    before the shuffle.
+    before the shuffle. Of nodes at one place only the first can win, so one row stands for them.
     """
     px, py = point_xy
     spots = cut(points.select(KEY, px, py).distinct())
-    targets = cut(nodes.select(KEY, "node", "node_order", "x", "y"))
+    first = F.min(F.struct("node_order", "node")).alias("first")
+    targets = cut(nodes.groupBy(KEY, "x", "y").agg(first).select(KEY, "first.*", "x", "y"))
     pairs = range_join(targets, spots, distance, ("x", "y", "x", "y"), (px, py, px, py))
     best = F.min(F.struct(F.col("box_gap").alias("d"), "node_order", "node")).alias("best")
     return pairs.groupBy(KEY, px, py).agg(best).select(
@@ -123,7 +124,7 @@ def connect_nearest(
     buildings: DataFrame, nodes: DataFrame, distance: float = 100.0
 ) -> DataFrame:
     """``location_id, building_id, node, distance``: building centroid to nearest node."""
-    centres = footprints(buildings).select(KEY, "building_id", "cx", "cy")
+    centres = cut(footprints(buildings).select(KEY, "building_id", "cx", "cy"))
     found = nearest_node(centres, nodes, distance, ("cx", "cy"))
     return centres.join(found, [KEY, "cx", "cy"]).select(KEY, "building_id", "node", "distance")
 

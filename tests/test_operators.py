@@ -340,6 +340,28 @@ def test_constant_metric(spark):
     assert [r.a_normalized for r in out] == [0.0, 1 / 3, 2 / 3, 1.0] and all(r.b_normalized == 0 for r in out)
 
 
+def test_nearest_node_meets_a_place_once(spark):
+    """Many nodes at one place: the first by order wins, and one row stands for them in the join."""
+    nodes = spark.range(400).selectExpr(
+        "1L AS location_id", "concat('n', id) AS node", "400 - id AS node_order", "0.0D AS x", "cast(id % 2 AS double) AS y"
+    )
+    points = spark.createDataFrame([(1, 3.0, 0.0), (1, 3.0, 1.0), (1, 50.0, 0.0)], "location_id long, px double, py double")
+    seen = []
+    join = px.range_join
+
+    def counted(left, *args, **kwargs):
+        seen.append(left.count())
+        return join(left, *args, **kwargs)
+
+    px.range_join = counted
+    try:
+        found = px.nearest_node(points, nodes, 10.0, ("px", "py")).collect()
+    finally:
+        px.range_join = join
+    assert {(r.py, r.node, r.distance) for r in found} == {(0.0, "n398", 3.0), (1.0, "n399", 3.0)} and len(found) == 2
+    assert seen == [2]
+
+
 def test_fixed_rounds_the_exact_value(spark):
     values = [0.0005, -0.0005, 0.00049999, 0.0006, 0.0625, 0.0015, 0.9995, -0.0001, 0.0, 0.00005, 12.3455]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
