@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.lineage import cut
 from tessera.operators import proximity as px
 from tessera.operators.components import component_sizes, connected_components
 
@@ -291,19 +292,27 @@ def counts_by_type(rows: DataFrame, kind: str, total: str, name: str) -> DataFra
     )
 
 
-def network_statistics(network: Network) -> DataFrame:
-    """Sizes, density, connectivity and counts by every type present, one row per location."""
+def type_counts(network: Network) -> DataFrame:
+    """Numbers of nodes and edges, whole and by every type present, one row per location."""
     nodes = counts_by_type(network.nodes, "node_type", "num_nodes", "nodes_by_type")
     edges = counts_by_type(network.edges, "edge_type", "num_edges", "edges_by_type")
-    sizes = component_sizes(connected_components(network.nodes, network.edges))
-    parts = sizes.groupBy(KEY).agg(
-        F.count("*").alias("num_components"), F.max("size").alias("largest_component_size")
-    )
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     return (
         nodes.join(edges, KEY, "left")
         .fillna(0, ["num_edges"])
         .withColumn("edges_by_type", F.coalesce("edges_by_type", none))
+    )
+
+
+def network_statistics(network: Network) -> DataFrame:
+    """Sizes, density, connectivity and counts by every type present, one row per location."""
+    network = Network(cut(network.nodes), cut(network.edges))
+    sizes = component_sizes(connected_components(network.nodes, network.edges))
+    parts = sizes.groupBy(KEY).agg(
+        F.count("*").alias("num_components"), F.max("size").alias("largest_component_size")
+    )
+    return (
+        type_counts(network)
         .join(parts, KEY)
         .withColumn("density", density(F.col("num_nodes"), F.col("num_edges")))
         .withColumn("is_connected", F.col("num_components") == 1)

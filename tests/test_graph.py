@@ -151,3 +151,15 @@ def test_fiedler_of_two_stars_with_many_leaves():
         np.add.at(matrix, (codes[:half], codes[half:]), -frame["w"])
         np.fill_diagonal(matrix, -matrix.sum(axis=1))
         assert math.isclose(found.fiedler[0], np.linalg.eigvalsh(matrix)[1], rel_tol=1e-8)
+
+
+def test_type_counts_need_no_components(network, monkeypatch):
+    from tessera.operators import networks
+
+    def never(*args):
+        raise AssertionError("components are not asked for")
+
+    monkeypatch.setattr(networks, "connected_components", never)
+    typed = Network(network.nodes.selectExpr("*", "'building' AS node_type"), network.edges.selectExpr("*", "'road' AS edge_type"))
+    rows = {r.location_id: r for r in networks.type_counts(typed).collect()}
+    assert (rows[3].num_nodes, rows[3].num_edges, rows[3].edges_by_type) == (5, 10, {"road": 10})
