@@ -43,3 +43,18 @@ def test_lone_nodes(spark):
     got = {r.node: r.component for r in connected_components(nodes, edges).collect()}
     assert got == {"a": "a", "b": "b", "c": "b"}
     assert {r.component for r in connected_components(nodes, edges.limit(0)).collect()} == set("abc")
+
+
+def test_edges_are_worked_out_once(spark):
+    """The edges of a network come from joins; both directions must not repeat them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c")], "location_id long, src string, dst string")
+    labels = component_labels(edges.mapInArrow(watched, edges.schema)).collect()
+    assert {(r.u, r.component) for r in labels} == {(n, "a") for n in "abc"}
+    assert seen.value == 2
