@@ -47,6 +47,15 @@ class Chunks(NamedTuple):
     first: np.ndarray
 
 
+def _with_blank(c: Chunks, offsets: np.ndarray) -> Chunks:
+    """One chunk without a line that is not blank for each document that has blank lines alone."""
+    blank = np.flatnonzero((np.diff(c.first) == 0) & (np.diff(offsets) > 0))
+    at = c.first[blank]
+    start, end = offsets[blank], offsets[blank + 1]
+    columns = [np.insert(old, at, new) for old, new in zip(c[:-1], (start, end, start, start, 0, 0))]
+    return Chunks(*columns, c.first + np.searchsorted(blank, np.arange(len(offsets))))
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     """The chunks of each document, in order and without gaps but for the newlines between them."""
     breaks = np.flatnonzero(data == NEWLINE)
@@ -67,7 +76,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     solid = np.flatnonzero(words[end] > words[start])
     if not len(solid):
         none = np.zeros(0, np.int64)
-        return Chunks(none, none, none, none, np.zeros(0, np.uint64), none, np.zeros(len(offsets), np.int64))
+        empty = Chunks(none, none, none, none, np.zeros(0, np.uint64), none, np.zeros(len(offsets), np.int64))
+        return _with_blank(empty, offsets)
     doc = owner[solid]
     line = T.span_hash(T._BYTES[0][data], start[solid], end[solid])
     opens = np.append(True, doc[1:] != doc[:-1])
@@ -88,7 +98,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     whole_start = np.where(leads, offsets[of], np.append(0, body_end[:-1] + 1))
     whole_end = np.where(trails, offsets[of + 1], body_end)
     whole = T.span_hash(T._BYTES[1][data], body, body_end, 1)
-    return Chunks(whole_start, whole_end, body, body_end, whole, last - opens + 1, first)
+    return _with_blank(Chunks(whole_start, whole_end, body, body_end, whole, last - opens + 1, first), offsets)
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
