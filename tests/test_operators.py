@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import labels
 from tessera.operators import cluster as cl
 from tessera.operators import grid as gr
+from tessera.operators import networks as nw
 from tessera.operators import ordering
 from tessera.operators import proximity as px
 from tessera.operators import statistics as st
@@ -368,3 +369,61 @@ def test_fixed_rounds_the_exact_value(spark):
     for digits in (3, 4):
         for row in rows.select("v", labels.fixed(F.col("v"), digits).alias("text")).collect():
             assert row.text == f"{row.v:.{digits}f}"
+
+
+def test_pairs_are_spread_over_tasks(spark, monkeypatch):
+    """A crowded table in one partition: as many tasks as its pairs need, and every pair once."""
+    from tessera.operators import range_join as rj
+
+    monkeypatch.setattr(rj, "PAIRS_PER_TASK", 2_000)
+    rng = random.Random(8)
+    corners = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(150)]
+    shapes = [square(x, y, 3.0) for x, y in corners]
+    diamond = [(30.0, 20.0), (40.0, 10.0), (50.0, 20.0), (40.0, 30.0), (30.0, 20.0)]
+    table = make(spark, [diamond, *shapes, diamond]).coalesce(1)
+    pairs = px.building_proximity(table, 20.0)
+    rows = pairs.withColumn("task", F.spark_partition_id()).collect()
+    got = {(r.building_a, r.building_b): r.distance for r in rows}
+    assert len(rows) == len(got) and len({r.task for r in rows}) > 3 and all(a < b for a, b in got)
+
+    def apart(a, b):
+        return math.hypot(*[max(0.0, abs(p - q) - 3.0) for p, q in zip(a, b)])
+
+    boxes = {k: d for k, d in got.items() if k[0] > 0 and k[1] < 151}
+    want = {(i + 1, j + 1): apart(corners[i], corners[j]) for i in range(150) for j in range(i + 1, 150)}
+    assert boxes.keys() == {k for k, d in want.items() if d <= 20.0}
+    assert all(math.isclose(d, want[k], abs_tol=1e-9) for k, d in boxes.items())
+    assert got[(0, 151)] == 0.0  # two rings that are no boxes
+    assert {j for i, j in got if i == 0 and j < 151} == {i for i, j in got if j == 151 and i > 0}
+    named = nw.building_network(table, 20.0).edges.collect()
+    ends = {tuple(sorted((f"b:{a}", f"b:{b}"))) for a, b in got}
+    assert len(named) == len(ends) and {(r.src, r.dst) for r in named} == ends
+    boxes_only = px.building_proximity(make(spark, shapes), 20.0)
+    plan = boxes_only._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "transform(" not in plan  # boxes are compared without rings
+
+
+def test_subgraph_of_buildings_needs_no_join_of_edges(spark):
+    road = [(1, 1, "residential", 4.0, [(0.0, 0.0), (30.0, 0.0)])]
+    roads = spark.createDataFrame(road, "location_id long, road_id long, type string, width double, path array<struct<x:double,y:double>>")
+    network = nw.mixed_network(make(spark, [square(9.0 * k, 1.0, 2.0) for k in range(9)]), roads, 20.0)
+    fast = nw.induced_subgraph(network, "building", closed=True).edges
+    for kind in ("building", "road"):
+        got, want = (nw.induced_subgraph(network, kind, closed).edges.collect() for closed in (True, False))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and got
+    only = fast.filter("edge_type = 'building_building'")
+    assert "LeftSemi" not in only._jdf.queryExecution().optimizedPlan().toString()
+    odd = network._replace(edges=network.edges.withColumn("edge_type", F.lit("path")))
+    assert nw.induced_subgraph(odd, "building", closed=True).edges.count() == fast.count()
+
+
+def test_rounded_is_round(spark):
+    from tessera.functions import geometry as g
+
+    rng = random.Random(9)
+    values = [0.0, -0.0, 0.5, 1.0000005, 2.5e-7, 1.5e-6, -1.5e-6, 1e300, 123456.7890125, float("nan"), float("inf"), None]
+    values += [rng.uniform(-300, 300) for _ in range(3000)] + [rng.randrange(10**9) / 10**7 for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (6, 12):
+        found = df.select(g.rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
+        assert found.filter("NOT a <=> b").count() == 0
