@@ -49,6 +49,22 @@ def test_windows_over_stored_features(spark, stored, monkeypatch, tmp_path):
     assert sorted(map(tuple, got.select("location_id", "fid").collect())) == rows
 
 
+def test_windows_meet_wide_features_in_many_tasks(spark, stored, monkeypatch):
+    from tessera.operators import range_join as rj
+
+    df, path = stored
+    monkeypatch.setattr(rj, "PAIRS_PER_TASK", 500)
+    places = [(k, 30.0 + k % 15, 130.0 + k % 14, 60_000.0) for k in range(60)]
+    places = spark.createDataFrame(places, "location_id long, latitude double, longitude double, radius double")
+    wide = ft.read_features(spark, path).filter(F.col("tile") == ft.WIDE).select("fid")
+    got = ft.stored_features_in_windows(spark, path, places, ZOOM).withColumn("task", F.spark_partition_id())
+    rows, inside = got.select("location_id", "fid", "task").collect(), {r.fid for r in wide.collect()}
+    met = [r for r in rows if r.fid in inside]
+    assert len({r.task for r in met}) > 3
+    want = ft.features_in_windows(df.join(wide, "fid", "left_semi"), places, "ring", zoom=7)
+    assert sorted((r.location_id, r.fid) for r in met) == sorted((r.location_id, r.fid) for r in want.collect())
+
+
 def test_rectangles_over_stored_features(spark, stored):
     df, path = stored
     for box in ((135.0, 33.0, 137.2, 36.0), (140.0, 30.0, 140.0, 30.0), (100.0, 0.0, 170.0, 60.0)):
