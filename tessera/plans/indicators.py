@@ -315,7 +315,7 @@ def emergence_a(
     if method == "eigenvector":
         scores = gp.eigenvector(nodes, edges)
     else:
-        stats = gp.path_statistics(nodes, edges)
+        stats = gp.path_statistics(nodes, edges, hops=False, dependency=method == "betweenness")
         scores = gp.betweenness(stats) if method == "betweenness" else gp.closeness(stats)
     points = cut(px.open_points(buildings))
     order = F.col("node_type").alias("kind"), F.length("node").alias("len"), F.col("node").alias("name")
