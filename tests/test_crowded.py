@@ -63,3 +63,13 @@ def test_fiedler_of_crowded_components(crowd, monkeypatch):
     got = found(small=100)
     assert got.keys() == want.keys() and len(want) >= 2
     assert all(math.isclose(got[k], v, rel_tol=1e-8) for k, v in want.items())
+
+
+def test_eigenvectors_of_thousands_of_nodes_stay_in_a_task(spark, monkeypatch):
+    """A star of 2,000 leaves: the centre has the root of the leaves' number times a leaf's value."""
+    edges = spark.range(2000).selectExpr("1L AS location_id", "'hub' AS src", "concat('leaf', id) AS dst", "1.0D AS weight")
+    nodes = edges.selectExpr("location_id", "dst AS node").union(spark.sql("SELECT 1L, 'hub'"))
+    monkeypatch.setattr(graph, "_large_eigenvector", None)  # not reached
+    found = {r.node: r.eigenvector for r in graph.eigenvector(nodes, edges, rounds=300).collect()}
+    assert len(found) == 2001 and math.isclose(found["hub"], math.sqrt(0.5), rel_tol=1e-3)
+    assert math.isclose(found["hub"], math.sqrt(2000) * found["leaf7"], rel_tol=1e-3)
