@@ -117,73 +117,128 @@ def _relax(sources: np.ndarray, n: int, u, v, w, starts) -> np.ndarray:
         dist[:, targets] = np.where(better, best, dist[:, targets])
 
 
-def _slice_paths(part: pd.DataFrame) -> pd.DataFrame:
-    """Path sums and dependencies for one slice of source nodes of one small component."""
-    names, codes = np.unique(np.concatenate([part["u"], part["v"]]).astype(str), return_inverse=True)
-    n, m = len(names), len(part)
-    u, v, w = codes[:m], codes[m:], part["w"].to_numpy(float)
-    order = np.argsort(v, kind="stable")
+def _links_of(front: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links that start at the nodes of ``front``, and for each the place of its node in ``front``."""
+    many = count[front]
+    shift = first[front] - (np.cumsum(many) - many)
+    owner = np.repeat(np.arange(len(front)), many)
+    return owner, np.arange(len(owner)) + shift[owner]
+
+
+def _once(places: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Every place once; ``mark`` is scratch over all places."""
+    order = np.arange(len(places))
+    mark[places] = order
+    return places[mark[places] == order]
+
+
+def _walk(src: np.ndarray, n: int, v: np.ndarray, first: np.ndarray, count: np.ndarray, follows=None):
+    """Hops from every source to every node over the links that ``follows`` admits, and these links by their places.
+
+    A place is the row of a source times ``n`` plus a node. Every place is left once, so a link is looked at
+    once for a source, however many rounds there are.
+    """
+    depth, mark = np.full(len(src) * n, -1, np.int32), np.empty(len(src) * n, np.int64)
+    front, step, used = np.arange(len(src)) * n + src, 0, []
+    depth[front] = 0
+    while len(front):
+        node = front % n
+        owner, link = _links_of(node, first, count)
+        here, there = front[owner], (front - node)[owner] + v[link]
+        if follows is not None:
+            kept = follows(here, there, link)
+            here, there, link = here[kept], there[kept], link[kept]
+            used.append((here, there, link))
+        front, step = _once(there[depth[there] < 0], mark), step + 1
+        depth[front] = step
+    return depth, [np.concatenate(side) for side in zip(*used)]
+
+
+def _dependencies(src: np.ndarray, dist: np.ndarray, v, w, first, count) -> np.ndarray:
+    """What the shortest paths from the sources to all others owe to every node."""
+    n, far = dist.shape[1], dist.ravel()
+
+    def tight(here, there, link):
+        return np.abs(far[here] + w[link] - far[there]) <= TIE * np.maximum(1.0, far[there])
+
+    depth, (here, there, link) = _walk(src, n, v, first, count, tight)
+    # Links as short as the tolerance are tight both ways: keep only those that lead one hop further.
+    kept = ~tight(there, here, link) | (depth[here] + 1 == depth[there])
+    here, there = here[kept], there[kept]
+    # The walk lists the links of a place together. A place is passed on when all its links have come in.
+    count, waiting, first = np.bincount(here, minlength=len(far)), np.bincount(there, minlength=len(far)), np.zeros(len(far), int)
+    heads = np.flatnonzero(np.r_[True, here[1:] != here[:-1]][: len(here)])
+    first[here[heads]] = heads
+    start = np.arange(len(src)) * n + src
+    sigma, mark, rounds, front = np.zeros(len(far)), np.empty(len(far), np.int64), [], start
+    sigma[start] = 1.0
+    while len(front):
+        owner, link = _links_of(front, first, count)
+        a, b = front[owner], there[link]
+        np.add.at(sigma, b, sigma[a])
+        np.subtract.at(waiting, b, 1)
+        rounds.append((a, b))
+        front = _once(b[waiting[b] == 0], mark)
+    back = 1.0 / sigma
+    for a, b in reversed(rounds):
+        np.add.at(back, a, back[b])
+    owed = sigma * back - 1.0
+    owed[start] = 0.0
+    return owed.reshape(dist.shape).sum(axis=0)
+
+
+def path_sums(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, mine: np.ndarray, hops: bool, dependency: bool) -> dict:
+    """Path sums of the nodes ``mine`` and what their paths owe to all; links stand in both directions."""
+    order = np.argsort(u, kind="stable")
     u, v, w = u[order], v[order], w[order]
-    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    # Sorted by either end, an edge and its reverse stand at the same place.
-    reverse = np.empty(m, int)
-    reverse[np.lexsort((w, u, v))] = np.lexsort((w, v, u))
-    lo = int(part["slice"].iloc[0]) * SOURCES_PER_SLICE
-    mine = np.arange(lo, min(lo + SOURCES_PER_SLICE, n))
+    count = np.bincount(u, minlength=n)
+    first = np.cumsum(count) - count
+    # Nodes that zero-weight links hold together are as far as one another from everything.
+    label = _touching(n, u[w <= 0], v[w <= 0])
+    apart = np.flatnonzero(label[u] != label[v])
+    apart = apart[np.argsort(label[v[apart]], kind="stable")]
+    to = label[v[apart]]
+    heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
     out = {k: np.zeros(n) for k in ("reach", "dist_sum", "hop_sum", "hop_max", "dependency")}
-    step = max(1, 2_000_000 // max(m, 1))
-    # Edges are symmetric, so sorting by target also groups the reversed edges by source.
+    step = max(1, 2_000_000 // max(len(u), 1))
     for at in range(0, len(mine), step):
         src = mine[at : at + step]
-        rows = np.arange(len(src))
-        hops = _relax(src, n, u, v, np.ones(m), starts)
-        dist = _relax(src, n, u, v, w, starts)
+        parts, row = np.unique(label[src], return_inverse=True)
+        dist = _relax(parts, label.max() + 1, label[u[apart]], to, w[apart], heads) if len(to) else np.zeros((1, 1))
+        dist = np.ascontiguousarray(dist[row][:, label])
         out["reach"][src] = n
         out["dist_sum"][src] = dist.sum(axis=1)
-        out["hop_sum"][src] = hops.sum(axis=1)
-        out["hop_max"][src] = hops.max(axis=1)
-        tight = np.abs(dist[:, u] + w - dist[:, v]) <= TIE * np.maximum(1.0, dist[:, v])
-        both = tight & tight[:, reverse]
-        if both.any():
-            # Edges as short as the tolerance are tight both ways: keep only those that lead one
-            # hop further.
-            depth = np.full_like(dist, np.inf)
-            depth[rows, src] = 0
-            while True:
-                best = np.minimum.reduceat(np.where(tight, depth[:, u] + 1, np.inf), starts, axis=1)
-                if not (best < depth).any():
-                    break
-                depth = np.minimum(depth, best)
-            tight &= ~both | (depth[:, u] + 1 == depth[:, v])
-        sigma = np.zeros_like(dist)
-        wave = np.zeros_like(dist)
-        wave[rows, src] = 1.0
-        while wave.any():
-            sigma += wave
-            wave = np.add.reduceat(np.where(tight, wave[:, u], 0.0), starts, axis=1)
-        back = np.zeros_like(dist)
-        wave = 1.0 / sigma
-        # The reverse of edge (u, v) carries what v owes to u: swap the roles of the two ends.
-        flip = np.lexsort((v, u))
-        while wave.any():
-            back += wave
-            wave = np.add.reduceat(np.where(tight, wave[:, v], 0.0)[:, flip], starts, axis=1)
-        owed = sigma * back - 1.0
-        owed[rows, src] = 0.0
-        out["dependency"] += owed.sum(axis=0)
-    frame = pd.DataFrame({"node": names, **out})
+        if hops:
+            steps = _walk(src, n, v, first, count)[0].reshape(dist.shape)
+            out["hop_sum"][src] = steps.sum(axis=1)
+            out["hop_max"][src] = steps.max(axis=1)
+        if dependency:
+            out["dependency"] += _dependencies(src, dist, v, w, first, count)
+    return out
+
+
+def _sliced(number: int, n: int) -> np.ndarray:
+    return np.arange(number * SOURCES_PER_SLICE, min((number + 1) * SOURCES_PER_SLICE, n))
+
+
+def _slice_paths(part: pd.DataFrame, hops: bool = True, dependency: bool = True) -> pd.DataFrame:
+    """Path sums and dependencies for one slice of source nodes of one small component."""
+    names, codes = np.unique(np.concatenate([part["u"], part["v"]]).astype(str), return_inverse=True)
+    n, m = len(names), len(part)
+    mine = _sliced(int(part["slice"].iloc[0]), n)
+    frame = pd.DataFrame({"node": names, **path_sums(n, codes[:m], codes[m:], part["w"].to_numpy(float), mine, hops, dependency)})
     frame.insert(0, KEY, part[KEY].iloc[0])
     frame["reach"] = frame["reach"].astype("int64")
     return frame
 
 
-def _small_paths(edges: DataFrame) -> DataFrame:
-    """``edges``: location_id, component, size, u, v, w of small components."""
+def _small_paths(edges: DataFrame, hops: bool = True, dependency: bool = True) -> DataFrame:
+    """``edges``: location_id, component, size, u, v, w of small components. What is not asked for is 0."""
     slices = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / SOURCES_PER_SLICE).cast("int"))
     return (
         edges.withColumn("slice", F.explode(slices))
         .groupBy(KEY, "component", "slice")
-        .applyInPandas(_slice_paths, PATH_SCHEMA)
+        .applyInPandas(lambda part: _slice_paths(part, hops, dependency), PATH_SCHEMA)
         .groupBy(KEY, "node")
         .agg(
             F.max("reach").alias("reach"),
@@ -242,25 +297,30 @@ def _hops(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         front = fresh.astype(np.float32)
 
 
+def shortest_links(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances from every node of a component, and which links are shortest paths between their own ends."""
+    # Nodes that zero-weight links hold together are as far as one another from everything.
+    label = _touching(n, a[w <= 0], b[w <= 0])
+    count = np.bincount(label)
+    far = np.full((len(count), len(count)), np.inf)
+    np.minimum.at(far, (label[a], label[b]), w)
+    far = np.minimum(far, far.T)
+    np.fill_diagonal(far, 0.0)
+    for k in range(len(far)):
+        np.minimum(far, far[:, k, None] + far[k], out=far)
+    # A link on some shortest path is a shortest path between its own ends, within the tolerance.
+    return (far @ count)[label], w - far[label[a], label[b]] <= 4 * TIE * max(1.0, far.max())
+
+
 def _reduced(hops: bool):
     """Sums of distances and hops of one crowded component, and its links that are shortest paths themselves."""
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         n = int(part["size"].iloc[0])
         a, b, w = part["a"].to_numpy(), part["b"].to_numpy(), part["w"].to_numpy(float)
-        # Nodes that zero-weight links hold together are as far as one another from everything.
-        label = _touching(n, a[w <= 0], b[w <= 0])
-        count = np.bincount(label)
-        far = np.full((len(count), len(count)), np.inf)
-        np.minimum.at(far, (label[a], label[b]), w)
-        far = np.minimum(far, far.T)
-        np.fill_diagonal(far, 0.0)
-        for k in range(len(far)):
-            np.minimum(far, far[:, k, None] + far[k], out=far)
-        # A link on some shortest path is a shortest path between its own ends, within the tolerance.
-        kept = w - far[label[a], label[b]] <= 4 * TIE * max(1.0, far.max())
+        sums, kept = shortest_links(n, a, b, w)
         total, most = _hops(n, a, b) if hops else (np.zeros(n), np.zeros(n))
-        sums = pd.DataFrame({"a": np.arange(n), "dist_sum": (far @ count)[label], "hop_sum": total, "hop_max": most})
+        sums = pd.DataFrame({"a": np.arange(n), "dist_sum": sums, "hop_sum": total, "hop_max": most})
         links = pd.DataFrame({"a": a[kept], "b": b[kept], "w": w[kept]})
         out = pd.concat([sums, links]).reindex(columns=["a", "b", "w", "dist_sum", "hop_sum", "hop_max"])
         out["b"] = out["b"].astype("Int32")
@@ -284,7 +344,7 @@ def _crowded_paths(sized: DataFrame, edges: DataFrame, hops: bool, dependency: b
     kept = found.filter("b IS NOT NULL").join(ends[0], [*part, "a"]).join(ends[1], [*part, "b"])
     kept = cut(both_ways(kept.withColumnRenamed("w", "weight")))
     inside = kept.join(codes.select(*part, "size", F.col("node").alias("u")), [KEY, "u"])
-    return sums.join(_small_paths(inside).select(KEY, "node", "dependency"), [KEY, "node"])
+    return sums.join(_small_paths(inside, hops=False).select(KEY, "node", "dependency"), [KEY, "node"])
 
 
 def _distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -409,7 +469,7 @@ def path_statistics(
         stats = _crowded_paths(sized.join(keys, [KEY, "component"], "left_semi"), edges, hops, dependency)
         plain = sized.join(keys, [KEY, "component"], "left_anti")
     inside = both_ways(edges).join(plain.withColumnRenamed("node", "u"), [KEY, "u"])
-    found = _small_paths(inside.filter(F.col("size") <= small))
+    found = _small_paths(inside.filter(F.col("size") <= small), hops, dependency)
     stats = found if stats is None else stats.unionByName(found)
     large = sized.filter(F.col("size") > small)
     pairs = large.agg(F.sum("size")).first()[0]
@@ -650,18 +710,23 @@ def _fiedler_row(part: pd.DataFrame, value: float) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+def table_fiedler(table: np.ndarray) -> float:
+    """Smallest non-zero Laplacian eigenvalue of a connected graph from its symmetric table of weights, which is overwritten."""
+    n, degree = len(table), table.sum(axis=1)
+    np.negative(table, out=table)
+    table[np.arange(n), np.arange(n)] += degree
+    # The added constant moves the value 0 of the constant vector away and no other.
+    solver = np.linalg.inv(table + degree.mean() / n)
+    return max(0.0, _least_value(degree, lambda q: table @ q, lambda q: solver @ q))
+
+
 def _crowded_fiedler(part: pd.DataFrame) -> pd.DataFrame:
     """The same for a component of few nodes and very many links, from a table of its nodes."""
     n = int(part["size"].iloc[0])
     table = np.zeros((n, n))
     np.add.at(table, (part["a"].to_numpy(), part["b"].to_numpy()), part["w"].to_numpy(float))
     table += table.T
-    degree = table.sum(axis=1)
-    np.negative(table, out=table)
-    table[np.arange(n), np.arange(n)] += degree
-    # The added constant moves the value 0 of the constant vector away and no other.
-    solver = np.linalg.inv(table + degree.mean() / n)
-    return _fiedler_row(part, _least_value(degree, lambda q: table @ q, lambda q: solver @ q))
+    return _fiedler_row(part, table_fiedler(table))
 
 
 BASIS = ("x", "r", "p")
