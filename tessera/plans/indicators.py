@@ -381,15 +381,17 @@ def emergence_a(
     Only ``method`` is computed; the other types, and points with no node within ``reach``, count
     as zeros. The graph defaults to buildings within 200 m of one another.
     """
-    if network is not None:
-        nodes, edges = materialised(network)
-        scores = _centrality(nodes, edges, method)
-    else:
-        nodes, scores = nw.building_nodes(buildings), _building_centrality(buildings, 200.0, method)
+    nodes = nw.building_nodes(buildings) if network is None else cut(network.nodes)
     points = cut(px.open_points(buildings))
     order = F.col("node_type").alias("kind"), F.length("node").alias("len"), F.col("node").alias("name")
     ranked = nodes.withColumn("node_order", F.struct(*order))
-    nearest = px.nearest_node(points, ranked, reach, ("px", "py"))
+    nearest = cut(px.nearest_node(points, ranked, reach, ("px", "py")))
+    # No other location's scores meet a point, and a graph's scores depend on its own location alone.
+    asked = nearest.select(KEY).distinct()
+    if network is None:
+        scores = _building_centrality(_within(buildings, asked), 200.0, method)
+    else:
+        scores = _centrality(*(cut(_within(side, asked)) for side in (nodes, network.edges)), method)
     dense = px.building_density(points, buildings, radius, density_method)
     scored = (
         dense.join(nearest.select(KEY, "px", "py", "node"), [KEY, "px", "py"], "left")

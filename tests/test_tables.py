@@ -100,3 +100,23 @@ def walkable(near):
     u, v = np.nonzero(near)
     count = np.bincount(u, minlength=len(near))
     return v, np.cumsum(count) - count, count
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_only_locations_with_open_points_are_scored(town, spark, monkeypatch, given):
+    """A location whose buildings leave no open point needs no paths, whatever its size."""
+    buildings, _ = town
+    full = [(9, 2000 + i, "x", 20.0, box(20.0 * (i % 6), 20.0 * (i // 6), 5.0, 5.0)) for i in range(36)]
+    both = buildings.unionByName(spark.createDataFrame(full, BUILDINGS))
+    want = ind.emergence_a(buildings)
+    seen, inner = [], ind._centrality if given else ind._building_centrality
+
+    def scored(first, *more):
+        seen.extend(r[0] for r in first.select("location_id").distinct().collect())
+        return inner(first, *more)
+
+    monkeypatch.setattr(ind, "_centrality" if given else "_building_centrality", scored)
+    got = ind.emergence_a(both, nw.building_network(both, 200.0) if given else None)
+    assert 9 not in seen and seen
+    same(got.filter("location_id <> 9"), want)
+    assert got.filter("location_id = 9").first().asDict() == {**dict.fromkeys(got.columns, 0), "location_id": 9}
