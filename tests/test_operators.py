@@ -427,3 +427,17 @@ def test_rounded_is_round(spark):
     for digits in (6, 12):
         found = df.select(g.rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
         assert found.filter("NOT a <=> b").count() == 0
+
+
+def test_written_pairs_come_by_distance(spark):
+    """Equal distances stand together in a task's rows, so a file of pairs takes little room."""
+    shapes = [square(4.0 * (k * 7 % 20), 4.0 * (k * 11 % 23), 3.0) for k in range(300)]
+    table, none = make(spark, shapes), spark.createDataFrame([], "location_id long, road_id long, type string, width double, path array<struct<x:double,y:double>>")
+    pairs = px.building_proximity(table, 60.0).select("building_a", "building_b", "distance")
+    near = nw.coordinate_network(table, none, 60.0, 60.0).edges.select("src", "dst", "weight")
+    for found in (pairs, near):
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r[:2] for r in rows}) == len(rows) > 10_000
+        for task in {r.task for r in rows}:
+            mine = [r[2] for r in rows if r.task == task]
+            assert mine == sorted(mine)
